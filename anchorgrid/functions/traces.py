@@ -12,6 +12,11 @@ MINIMUM_TRACE_STD = 1e-7
 MINIMUM_SCALE = 1e-6
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; a lambda variable is its name."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -22,7 +27,7 @@ def mean(a: Column) -> Column:
 
 def std(a: Column) -> Column:
     """Population standard deviation, from centred squares."""
-    return F.sqrt(centred_squares(a, mean(a)) / F.size(a))
+    return let(a, lambda a: F.sqrt(centred_squares(a, mean(a)) / F.size(a)))
 
 
 def centred_squares(a: Column, m: Column) -> Column:
@@ -35,14 +40,21 @@ def centred_squares(a: Column, m: Column) -> Column:
 
 def collapse_near_constant(a: Column) -> Column:
     """A trace whose deviation is at most 1e-7 but not zero range becomes its mean."""
-    flat = (std(a) <= MINIMUM_TRACE_STD) & (F.array_max(a) != F.array_min(a))
-    return F.when(flat, F.array_repeat(mean(a), F.size(a))).otherwise(a)
+
+    def leveled(a):
+        flat = (std(a) <= MINIMUM_TRACE_STD) & (F.array_max(a) != F.array_min(a))
+        return F.when(flat, F.array_repeat(mean(a), F.size(a))).otherwise(a)
+
+    return let(a, leveled)
 
 
 def difference(a: Column, times: int = 1) -> Column:
-    for _ in range(times):
+    def once(a):
         n = F.size(a)
-        a = F.zip_with(F.slice(a, F.lit(2), n - 1), F.slice(a, F.lit(1), n - 1), lambda x, y: x - y)
+        return F.zip_with(F.slice(a, F.lit(2), n - 1), F.slice(a, F.lit(1), n - 1), lambda x, y: x - y)
+
+    for _ in range(times):
+        a = let(a, once)
     return a
 
 
@@ -58,8 +70,9 @@ def moving_average(a: Column, window: int) -> Column:
     """Centred moving average of odd length with reflected ends."""
     if window < 3 or window % 2 == 0:
         raise ValueError("window must be odd and at least 3")
-    padded = reflect_pad(a, window // 2)
-    return F.transform(a, lambda x, i: total(F.slice(padded, i + 1, F.lit(window))) / window)
+    return let(let(a, lambda a: reflect_pad(a, window // 2)), lambda padded: F.transform(
+        F.sequence(F.lit(1), F.size(padded) - (window - 1)),
+        lambda i: total(F.slice(padded, i, F.lit(window))) / window))
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -79,9 +92,11 @@ def temporal_view(a: Column, name: str, *, window: int = 5, epsilon: float = 1e-
     elif name == "highpass":
         view = minus(a, moving_average(a, window))
     elif name == "local_norm":
-        rest = minus(a, moving_average(a, window))
-        local = moving_average(F.transform(rest, lambda x: x * x), window)
-        view = F.zip_with(rest, local, lambda x, v: x / F.sqrt(v + F.lit(epsilon)))
+        def scaled(rest):
+            local = moving_average(F.transform(rest, lambda x: x * x), window)
+            return F.zip_with(rest, local, lambda x, v: x / F.sqrt(v + F.lit(epsilon)))
+
+        view = let(minus(a, moving_average(a, window)), scaled)
     else:
         raise ValueError(f"unknown view {name!r}")
     return collapse_near_constant(view)
@@ -117,12 +132,12 @@ def masked_derivative(values: Column, present: Column, seconds: float) -> Column
 
 
 def z_normalised(a: Column, epsilon: float = 1e-8) -> Column:
-    m, s = mean(a), std(a)
-    return F.transform(a, lambda x: (x - m) / (s + epsilon))
+    moments = F.struct(mean(a).alias("m"), std(a).alias("s"))
+    return let(moments, lambda z: F.transform(a, lambda x: (x - z["m"]) / (z["s"] + epsilon)))
 
 
 def periodogram(a: Column, points: int) -> Column:
-    """Magnitude spectrum |DFT| of a trace of ``points`` values, frequencies 0..points/2.
+    """Magnitude spectrum |DFT| of a trace of ``points`` values, frequencies 0..points/2 - 1.
 
     The cosine and sine basis are literals, so this is a dot product per frequency.
     """
@@ -135,7 +150,7 @@ def periodogram(a: Column, points: int) -> Column:
         return total(F.zip_with(a, b, lambda x, y: x * y))
 
     out = []
-    for f in range(points // 2 + 1):
+    for f in range(points // 2):
         re, im = dot(basis(f, math.cos)), dot(basis(f, math.sin))
         out.append(F.sqrt(re * re + im * im))
     return F.array(*out)
@@ -209,13 +224,16 @@ def pooled(values: Column, present: Column, times: list[float], region: str) ->
                  lambda z: inside(z["t"]) & (z["p"] == 1)),
         lambda z: z["v"],
     )
-    some = F.size(kept) > 0
-    zero = F.lit(0.0)
-    return F.struct(
-        F.when(some, mean(kept)).otherwise(zero).alias("mean"),
-        F.when(some, F.array_max(kept)).otherwise(zero).alias("maximum"),
-        F.when(some, std(kept)).otherwise(zero).alias("std"),
-    )
+
+    def statistics(kept):
+        some, zero = F.size(kept) > 0, F.lit(0.0)
+        return F.struct(
+            F.when(some, mean(kept)).otherwise(zero).alias("mean"),
+            F.when(some, F.array_max(kept)).otherwise(zero).alias("maximum"),
+            F.when(some, std(kept)).otherwise(zero).alias("std"),
+        )
+
+    return let(kept, statistics)
 
 
 def clips(a: Column, length: int) -> Column:

@@ -30,7 +30,9 @@ def coarse_controls(
     The sample size is set by the wanted positive share; too small a pool is an error.
     """
     far = nearest_distance(pool, references, t=t, id_column=id_column)
-    far = far.filter(F.col("distance_ms").isNull() | (F.col("distance_ms") >= min_distance_ms))
+    # read by the ranking and its count pass, so the distances are computed once
+    far = cut_lineage(
+        far.filter(F.col("distance_ms").isNull() | (F.col("distance_ms") >= min_distance_ms)))
     n = positives.count()
     wanted = int((n - balance * n) / balance)
     chosen = hashed_rank(far, [], id_column, seed, "__rank").filter(F.col("__rank") <= wanted)

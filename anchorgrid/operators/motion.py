@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorgrid.functions import values as v
 from anchorgrid.functions.channels import FLAG_WIDTH, MOTION_WIDTH
+from anchorgrid.functions.traces import let
 from anchorgrid.operators.ordered import Ordered
 
 
@@ -77,22 +78,27 @@ def angular_velocity(current: Column, previous: Column, seconds: Column) -> Colu
     """Rotation vector per second along the shorter way between two xyzw quaternions."""
 
     def unit(q):
-        parts = [q[i] for i in range(4)]
-        norm = F.greatest(F.sqrt(sum((c * c for c in parts[1:]), parts[0] * parts[0])), F.lit(1e-8))
-        return [c / norm for c in parts]
-
-    (ax, ay, az, aw), (px, py, pz, bw) = unit(current), unit(previous)
-    bx, by, bz = -px, -py, -pz  # inverse of the previous rotation
-    rx = aw * bx + bw * ax + (ay * bz - az * by)
-    ry = aw * by + bw * ay + (az * bx - ax * bz)
-    rz = aw * bz + bw * az + (ax * by - ay * bx)
-    rw = aw * bw - (ax * bx + ay * by + az * bz)
-    sign = F.when(rw < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    length = F.sqrt(rx * rx + ry * ry + rz * rz)
-    angle = 2.0 * F.atan2(length, F.least(rw * sign, F.lit(1.0)))
-    still = (seconds <= 0) | (length < 1e-8)
-    return F.when(still, F.array(*[F.lit(0.0)] * 3)).otherwise(
-        F.array(*[v.finite(r * sign / length * angle / seconds) for r in (rx, ry, rz)]))
+        return let(q, lambda q: let(
+            F.greatest(F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3]), F.lit(1e-8)),
+            lambda n: F.transform(q, lambda c: c / n)))
+
+    def relative(z):
+        a, p = z["a"], z["p"]
+        ax, ay, az, aw, bw = a[0], a[1], a[2], a[3], p[3]
+        bx, by, bz = -p[0], -p[1], -p[2]  # inverse of the previous rotation
+        return F.array(
+            aw * bx + bw * ax + (ay * bz - az * by), aw * by + bw * ay + (az * bx - ax * bz),
+            aw * bz + bw * az + (ax * by - ay * bx), aw * bw - (ax * bx + ay * by + az * bz))
+
+    def vector(r):
+        length = F.sqrt(r[0] * r[0] + r[1] * r[1] + r[2] * r[2])
+        factor = F.when(r[3] < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) * 2.0 * F.atan2(
+            length, F.least(F.abs(r[3]), F.lit(1.0))) / length / seconds
+        return F.when((seconds <= 0) | (length < 1e-8), F.array(*[F.lit(0.0)] * 3)).otherwise(
+            let(factor, lambda f: F.transform(F.slice(r, 1, 3), lambda c: v.finite(c * f))))
+
+    pair = F.struct(unit(current).alias("a"), unit(previous).alias("p"))
+    return let(let(pair, relative), vector)
 
 
 def pose_velocity(current: Column, previous: Column, seconds: Column, at: int = 0) -> Column:
@@ -113,10 +119,12 @@ def modality_motion(kind: str, current: Column, previous: Column, seconds: Colum
         return rate(cut(current, 0, 63), cut(previous, 0, 63), seconds)
     if kind in ("Head", "Body", "LeftHand", "RightHand"):
         return pose_velocity(current, previous, seconds)
-    bones = [angular_velocity(cut(current, 16 + 4 * b, 4), cut(previous, 16 + 4 * b, 4), seconds) for b in range(26)]
+    bone = lambda a, b: F.slice(a, 17 + 4 * b, F.lit(4))
+    bones = F.flatten(F.transform(
+        F.sequence(F.lit(0), F.lit(25)), lambda b: angular_velocity(bone(current, b), bone(previous, b), seconds)))
     return F.concat(
         rate(cut(current, 1, 1), cut(previous, 1, 1), seconds), pose_velocity(current, previous, seconds, 2),
-        pose_velocity(current, previous, seconds, 9), *bones, rate(cut(current, 125, 5), cut(previous, 125, 5), seconds),
+        pose_velocity(current, previous, seconds, 9), bones, rate(cut(current, 125, 5), cut(previous, 125, 5), seconds),
     )
 
 
@@ -133,12 +141,15 @@ def with_rates(df: DataFrame, keys: list[str], order: list[str], t: str, feature
     return rows.withColumn("motion", rate(F.col(features), before, seconds)).drop("previous")
 
 
-def with_motion(df: DataFrame, keys: list[str], order: list[str], t: str) -> DataFrame:
-    """Base features followed by the motion vector of their modality."""
+def with_motion(df: DataFrame, keys: list[str], order: list[str], t: str, kinds=tuple(MOTION_WIDTH)) -> DataFrame:
+    """Base features followed by the motion vector of their modality.
+
+    ``kinds`` are the modalities that occur; each adds its branch to the expression.
+    """
     rows = with_previous(df, keys, order, [t, "features"])
     seconds = F.coalesce((F.col(t) - F.col(f"previous.{t}")) / F.lit(1000.0), F.lit(0.0))
     before, motion = F.coalesce(F.col("previous.features"), F.col("features")), None
-    for kind in MOTION_WIDTH:
+    for kind in kinds:
         vector = modality_motion(kind, F.col("features"), before, seconds)
         test = F.col("event_type") == kind
         motion = F.when(test, vector) if motion is None else motion.when(test, vector)

@@ -197,3 +197,22 @@ def exact_quantile(
     return both.groupBy(*keys).agg(
         at_rank(low).alias("__lo"), at_rank(high).alias("__hi"), F.max(at - low).alias("__f")
     ).select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias(name))
+
+
+def centred_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, half: int, name: str) -> DataFrame:
+    """Mean over ``half`` rows on both sides of every row.
+
+    A row frame cannot cross a segment edge, so the mean comes from running sums: the sum up
+    to row i + half minus the sum up to row i - half - 1, looked up by row number.
+    """
+    keys = list(keys)
+    line = Ordered(df, keys, list(order)).running(
+        {"__rn": F.lit(1).cast("bigint"), "__upto": F.lit(0.0) + F.col(value)})
+    if not line.split:
+        frame = line._window().rowsBetween(-half, half)
+        return line.df.withColumn(name, F.avg(value).over(frame)).drop("__rn", "__upto", SEG)
+    rows = line.done()
+    spread = rows.select(*keys, F.col(value).alias("__v"), F.explode(
+        F.sequence(F.col("__rn") - half, F.col("__rn") + half)).alias("__rn"))
+    means = spread.groupBy(*keys, "__rn").agg(F.avg("__v").alias(name))
+    return rows.join(means, [*keys, "__rn"]).drop("__rn", "__upto")

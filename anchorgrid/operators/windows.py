@@ -11,7 +11,7 @@ ANY = "both"
 
 def attach_windows(
     anchors: DataFrame, events: DataFrame, *, by: list[str] = (), left: int | str, right: int | str,
-    source: str = ANY, anchor_player: str = "player", event_player: str = "player",
+    source: str = ANY, anchor_player: str = "player", event_player: str = "event_player",
     t_anchor: str = "t0", t_event: str = "t", bucket_ms: int,
 ) -> DataFrame:
     """Inner interval join: events with ``t0 - left <= t < t0 + right``.
