@@ -62,18 +62,18 @@ def ranking_metrics(df: DataFrame, by: list[str], score: str = "probability", la
     """
     w = F.lit(1) if weight is None else weight
     cells = df.groupBy(*by, score).agg(
-        F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("__p"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(w)).alias("__n"))
+        F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("__pos"),
+        F.sum(F.when(F.col(label) == 1, 0).otherwise(w)).alias("__neg"))
     cells = cells.withColumn("__down", -F.col(score))
-    line = Ordered(cells, by, ["__down"]).running({"__tp": F.col("__p"), "__fp": F.col("__n")}).done()
+    line = Ordered(cells, by, ["__down"]).running({"__tp": F.col("__pos"), "__fp": F.col("__neg")}).done()
     sums = line.groupBy(*by).agg(
-        F.sum("__p").alias("__P"), F.sum("__n").alias("__N"),
-        F.sum(F.col("__n") * (F.col("__tp") - F.col("__p") / 2)).alias("__u"),
-        F.sum(F.col("__p") * ratio(F.col("__tp").cast("double"), F.col("__tp") + F.col("__fp"))).alias("__a"))
-    both = (F.col("__P") > 0) & (F.col("__N") > 0)
+        F.sum("__pos").alias("__all_pos"), F.sum("__neg").alias("__all_neg"),
+        F.sum(F.col("__neg") * (F.col("__tp") - F.col("__pos") / 2)).alias("__u"),
+        F.sum(F.col("__pos") * ratio(F.col("__tp").cast("double"), F.col("__tp") + F.col("__fp"))).alias("__a"))
+    both = (F.col("__all_pos") > 0) & (F.col("__all_neg") > 0)
     return sums.select(
-        *by, F.when(both, F.col("__u") / (F.col("__P").cast("double") * F.col("__N"))).alias("roc_auc"),
-        F.when(both, F.col("__a") / F.col("__P")).alias("average_precision"))
+        *by, F.when(both, F.col("__u") / (F.col("__all_pos").cast("double") * F.col("__all_neg"))).alias("roc_auc"),
+        F.when(both, F.col("__a") / F.col("__all_pos")).alias("average_precision"))
 
 
 def bce(logit: Column, label: Column) -> Column:
@@ -92,16 +92,16 @@ def best_threshold(df: DataFrame, by: list[str], metric: str = "macro_f1", score
     as cells without rows.
     """
     cells = df.groupBy(*by, F.col(score).alias("__t")).agg(
-        F.sum((F.col(label) == 1).cast("bigint")).alias("__p"), F.sum((F.col(label) != 1).cast("bigint")).alias("__n"))
+        F.sum((F.col(label) == 1).cast("bigint")).alias("__pos"), F.sum((F.col(label) != 1).cast("bigint")).alias("__neg"))
     fixed = F.explode(F.array(F.lit(EPS32), F.lit(0.5), F.lit(1 - EPS32))).alias("__t")
     zero = F.lit(0).cast("bigint")
-    extra = df.select(*by).distinct().select(*by, fixed, zero.alias("__p"), zero.alias("__n"))
-    cells = cells.unionByName(extra).groupBy(*by, "__t").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
+    extra = df.select(*by).distinct().select(*by, fixed, zero.alias("__pos"), zero.alias("__neg"))
+    cells = cells.unionByName(extra).groupBy(*by, "__t").agg(F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg"))
     cells = cells.withColumn("__down", -F.col("__t"))
-    line = Ordered(cells, by, ["__down"]).running({"tp": F.col("__p"), "fp": F.col("__n")}).done()
-    totals = line.groupBy(*by).agg(F.sum("__p").alias("__P"), F.sum("__n").alias("__N"))
+    line = Ordered(cells, by, ["__down"]).running({"tp": F.col("__pos"), "fp": F.col("__neg")}).done()
+    totals = line.groupBy(*by).agg(F.sum("__pos").alias("__all_pos"), F.sum("__neg").alias("__all_neg"))
     joined = line.join(totals, by) if by else line.join(F.broadcast(totals))
-    made = metric_columns(F.col("tp"), F.col("fp"), F.col("__N") - F.col("fp"), F.col("__P") - F.col("tp"))
+    made = metric_columns(F.col("tp"), F.col("fp"), F.col("__all_neg") - F.col("fp"), F.col("__all_pos") - F.col("tp"))
     key = F.struct(made[metric].alias("m"), made["balanced_accuracy"].alias("b"), (-F.abs(F.col("__t") - 0.5)).alias("d"), (-F.col("__t")).alias("t"))
     return joined.groupBy(*by).agg(F.max(key).alias("k")).select(*by, (-F.col("k.t")).alias("threshold"), F.col("k.m").alias("value"))
 
@@ -137,15 +137,15 @@ def pooled_metrics(df: DataFrame, by: list[str], score: str = "probability", pre
 
 def cv_summary(df: DataFrame, by: list[str], id_column: str = "sample_id") -> DataFrame:
     """Folds, rows, distinct and duplicated samples, and a fold -> rows map per key."""
-    cells = df.groupBy(*by, "fold", id_column).agg(F.count(F.lit(1)).alias("__n"))
-    ids = cells.groupBy(*by, id_column).agg(F.sum("__n").alias("__n"))
+    cells = df.groupBy(*by, "fold", id_column).agg(F.count(F.lit(1)).alias("__neg"))
+    ids = cells.groupBy(*by, id_column).agg(F.sum("__neg").alias("__neg"))
     dup = ids.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("samples"), F.sum((F.col("__n") > 1).cast("bigint")).alias("duplicated_samples"),
-        F.sum(F.when(F.col("__n") > 1, F.col("__n")).otherwise(0)).alias("duplicate_occurrences"))
-    per_fold = cells.groupBy(*by, "fold").agg(F.sum("__n").alias("__n"))
+        F.count(F.lit(1)).alias("samples"), F.sum((F.col("__neg") > 1).cast("bigint")).alias("duplicated_samples"),
+        F.sum(F.when(F.col("__neg") > 1, F.col("__neg")).otherwise(0)).alias("duplicate_occurrences"))
+    per_fold = cells.groupBy(*by, "fold").agg(F.sum("__neg").alias("__neg"))
     folds = per_fold.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("folds"), F.sum("__n").alias("predictions"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("fold").cast("string"), "__n")))).alias("predictions_per_fold"))
+        F.count(F.lit(1)).alias("folds"), F.sum("__neg").alias("predictions"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("fold").cast("string"), "__neg")))).alias("predictions_per_fold"))
     return dup.join(folds, by) if by else dup.join(F.broadcast(folds))
 
 
