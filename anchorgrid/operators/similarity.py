@@ -1,8 +1,26 @@
-"""Trajectory distances, neighbours and separability scans."""
+"""Trajectory distances, neighbours and separability scans.
+
+Pairs of a query and a reference are never shuffled one by one. Both sides of a key are cut
+into blocks of bounded size, a task gets one block of each, and sends back only the k nearest
+references per query. A hot key is many block pairs, and the result is exact.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
+
+from anchorgrid.functions.hashing import draw
+from anchorgrid.functions.traces import let
+from anchorgrid.functions.values import logit
+from anchorgrid.operators.attribution import scored
+from anchorgrid.operators.metrics import confusion, metric_columns
+from anchorgrid.operators.ordered import with_group_size
+
+QUERY_BLOCK, REFERENCE_BLOCK = 256, 2048
+ZERO_DISTANCE = 1e-12
 
 
 def trajectories(traces: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,3 +38,328 @@ def latent_statistics(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
     spread = df.select(F.explode(vector).alias("x")).agg(F.stddev_samp("x").alias("s"))
     means = rows.groupBy(*by).agg(F.avg("__n").alias("m")).join(F.broadcast(spread))
     return means.select(*by, (F.round("m", 6) + 0.0).alias("mean_norm"), (F.round("s", 6) + 0.0).alias("latent_std"))
+
+
+# -- kernels: one query against a padded block of references -------------------------------------
+
+
+def _band(n: int, lengths: np.ndarray, width: int, window: float) -> np.ndarray:
+    """[references, n, width] cells inside the Sakoe-Chiba band and the reference's length."""
+    small = np.minimum(n, lengths)
+    radius = np.floor(window * small).astype(int)
+    i, j = np.arange(n)[None, :, None], np.arange(width)[None, None, :]
+    extra = np.abs(lengths - n)[:, None, None]
+    r = radius[:, None, None]
+    longer_reference = (lengths >= n)[:, None, None]
+    lead = np.where(longer_reference, j - i, i - j)  # how far the longer side is ahead
+    return (lead >= -r) & (lead <= extra + r) & (j < lengths[:, None, None])
+
+
+def dtw_block(query: np.ndarray, refs: np.ndarray, lengths: np.ndarray, window: float) -> np.ndarray:
+    """sqrt(cost / path length) of banded multivariate DTW against every reference.
+
+    The path length is carried along with the cost; equal costs prefer the diagonal step.
+    """
+    n, count, width = len(query), len(refs), refs.shape[1]
+    inside = _band(n, lengths, width, window)
+    step = ((query[None, :, None, :] - refs[:, None, :, :]) ** 2).sum(axis=3)
+    cost = np.full((count, n + 1, width + 1), np.inf)
+    length = np.zeros((count, n + 1, width + 1), dtype=np.int64)
+    cost[:, 0, 0] = 0.0
+    for i in range(1, n + 1):
+        for j in range(1, width + 1):
+            diagonal, up, left = cost[:, i - 1, j - 1], cost[:, i - 1, j], cost[:, i, j - 1]
+            best, steps = diagonal, length[:, i - 1, j - 1]
+            take = up < best
+            best, steps = np.where(take, up, best), np.where(take, length[:, i - 1, j], steps)
+            take = left < best
+            best, steps = np.where(take, left, best), np.where(take, length[:, i, j - 1], steps)
+            cost[:, i, j] = np.where(inside[:, i - 1, j - 1], best + step[:, i - 1, j - 1], np.inf)
+            length[:, i, j] = steps + 1
+    rows = np.arange(count)
+    return np.sqrt(cost[rows, n, lengths] / length[rows, n, lengths])
+
+
+def euclidean_block(query: np.ndarray, refs: np.ndarray, lengths: np.ndarray, window: float) -> np.ndarray:
+    return np.sqrt(((refs - query[None]) ** 2).sum(axis=(1, 2)))
+
+
+KERNELS = {"dtw": dtw_block, "euclidean": euclidean_block}
+
+
+def _matrix(values) -> np.ndarray:
+    rows = [np.atleast_1d(np.asarray(v, dtype=np.float64)) for v in values]
+    return np.stack(rows)
+
+
+def nearest_references(
+    queries: DataFrame, references: DataFrame, keys: list[str], k: int, *, metric: str = "dtw", window: float = 1.0,
+    query_block: int = QUERY_BLOCK, reference_block: int = REFERENCE_BLOCK,
+) -> DataFrame:
+    """(keys, query_id, reference_id, reference_label, distance, rank): k nearest, plus the
+    nearest one of each label (rank may exceed k for those).
+
+    queries: keys, query_id, values array<double> or array<array<double>>; references: keys,
+    reference_id, label, values.
+    """
+    kernel = KERNELS[metric]
+
+    def blocked(df, ident, size, name):
+        sized = with_group_size(df, keys, "__n")
+        many = F.ceil(F.col("__n") / size).cast("int")
+        return sized.withColumn(name, (draw("block", F.col(ident)) % many).cast("int")).withColumn(f"{name}s", many).drop("__n")
+
+    q, r = blocked(queries, "query_id", query_block, "qb"), blocked(references, "reference_id", reference_block, "rb")
+    grid_q = r.groupBy(*keys).agg(F.max("rbs").alias("rbs"))
+    grid_r = q.groupBy(*keys).agg(F.max("qbs").alias("qbs"))
+    q = q.join(grid_q, keys).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rbs") - 1)))
+    r = r.join(grid_r, keys).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
+    at = [*keys, "qb", "rb"]
+    key_types = [(c, dict(queries.dtypes)[c]) for c in keys]
+    schema = ", ".join(f"`{c}` {t}" for c, t in key_types) + ", query_id bigint, reference_id bigint, reference_label int, distance double"
+    columns = [*keys, "query_id", "reference_id", "reference_label", "distance"]
+
+    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        refs = [_matrix(v) for v in right["r_values"]]
+        lengths = np.array([len(x) for x in refs])
+        padded = np.zeros((len(refs), lengths.max(), refs[0].reshape(len(refs[0]), -1).shape[1]))
+        for i, x in enumerate(refs):
+            padded[i, :len(x)] = x.reshape(len(x), -1)
+        labels, ids = right["label"].to_numpy(), right["reference_id"].to_numpy()
+        out = []
+        for query_id, values in zip(left["query_id"], left["q_values"]):
+            query = _matrix(values)
+            d = kernel(query.reshape(len(query), -1), padded, lengths, window)
+            order = np.lexsort((ids, d))
+            keep = set(order[:k].tolist())
+            for label in (0, 1):
+                same = order[labels[order] == label]
+                if len(same):
+                    keep.add(int(same[0]))
+            out += [(*key[:len(keys)], query_id, ids[i], labels[i], d[i]) for i in sorted(keep)]
+        return pd.DataFrame(out, columns=columns)
+
+    # both sides may come from one table, so each gets column names of its own
+    q = q.select(*[F.col(c).alias(f"q_{c}") for c in at], "query_id", F.col("values").alias("q_values"))
+    r = r.select(*[F.col(c).alias(f"r_{c}") for c in at], "reference_id", "label", F.col("values").alias("r_values"))
+    found = q.groupBy(*[f"q_{c}" for c in at]).cogroup(r.groupBy(*[f"r_{c}" for c in at])).applyInPandas(search, schema)
+    place = Window.partitionBy(*keys, "query_id").orderBy("distance", "reference_id")
+    per_label = Window.partitionBy(*keys, "query_id", "reference_label").orderBy("distance", "reference_id")
+    ranked = found.withColumn("rank", F.row_number().over(place)).withColumn("__l", F.row_number().over(per_label))
+    return ranked.filter((F.col("rank") <= k) | (F.col("__l") == 1)).drop("__l")
+
+
+def knn_inverse_distance(neighbours: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Probability of label 1 from the k nearest, weighted by inverse distance.
+
+    A neighbour at distance zero decides alone: the mean label of all such neighbours.
+    """
+    near = F.col("rank") <= k
+    d, y = F.col("distance"), F.col("reference_label")
+    zero = near & (d <= ZERO_DISTANCE)
+    weight = F.when(near & (d > ZERO_DISTANCE), 1 / d)
+    rows = neighbours.groupBy(*keys, "query_id").agg(
+        F.avg(F.when(zero, y)).alias("__z"), F.sum(weight * y).alias("__wy"), F.sum(weight).alias("__w"),
+        F.min(F.when(y == 0, d)).alias("nearest_negative"), F.min(F.when(y == 1, d)).alias("nearest_positive"),
+        F.min_by("reference_id", "rank").alias("nearest_reference"))
+    p = F.coalesce("__z", F.col("__wy") / F.col("__w"))
+    return rows.select(*keys, "query_id", p.alias("probability"), (p >= 0.5).cast("int").alias("prediction"),
+                       "nearest_negative", "nearest_positive", "nearest_reference")
+
+
+def select_neighbour_settings(scored_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, window, k, macro_f1): best validation score, then smaller window, then smaller k.
+
+    scored_rows: keys, window, k, label, prediction.
+    """
+    made = metric_columns(*[F.col(c) for c in ("tp", "fp", "tn", "fn")])["macro_f1"]
+    scores = confusion(scored_rows, [*keys, "window", "k"]).withColumn("macro_f1", made)
+    best = F.struct((-F.col("macro_f1")).alias("s"), F.col("window").alias("window"), F.col("k").alias("k"))
+    return scores.groupBy(*keys).agg(F.min(best).alias("b")).select(*keys, "b.window", "b.k", (-F.col("b.s")).alias("macro_f1"))
+
+
+def presence_baseline(reference: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """Positive rate of the query's presence state in the reference, else the base rate."""
+    rates = reference.groupBy(*keys, "observed").agg(F.avg("label").alias("__r"))
+    base = reference.groupBy(*keys).agg(F.avg("label").alias("__b"))
+    joined = queries.join(rates, [*keys, "observed"], "left").join(base, keys)
+    p = F.coalesce("__r", "__b")
+    return joined.withColumn("probability", p).withColumn("prediction", (p >= 0.5).cast("int")).drop("__r", "__b")
+
+
+def separability_summary(folds: DataFrame, predictions: DataFrame, total_samples: int) -> DataFrame:
+    """Per modality: coverage, macro F1, margins, chosen settings, reasons, rank.
+
+    folds: fold, modality, status, reason, window, k; predictions: modality, label,
+    probability, prediction, nearest_negative, nearest_positive.
+    """
+    made = metric_columns(*[F.col(c) for c in ("tp", "fp", "tn", "fn")])["macro_f1"]
+    same = F.when(F.col("label") == 1, F.col("nearest_positive")).otherwise(F.col("nearest_negative"))
+    other = F.when(F.col("label") == 1, F.col("nearest_negative")).otherwise(F.col("nearest_positive"))
+    score = confusion(predictions, ["modality"]).select("modality", made.alias("macro_f1"))
+    means = predictions.groupBy("modality").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(same).alias("mean_same_class"), F.avg(other).alias("mean_different_class"),
+        F.avg(F.col("nearest_negative") - F.col("nearest_positive")).alias("mean_margin"))
+    settings = folds.filter("status = 'complete'").groupBy("modality", "window", "k").agg(F.count(F.lit(1)).alias("c"))
+    packed = settings.groupBy("modality").agg(F.array_sort(F.collect_list(F.struct("window", "k", "c"))).alias("settings"))
+    state = folds.groupBy("modality").agg(
+        F.sum((F.col("status") == "complete").cast("int")).alias("complete_folds"),
+        F.array_sort(F.collect_set("reason")).alias("unavailable_reasons"))
+    order = Window.orderBy(F.desc("macro_f1"), "modality")  # one row per modality
+    return (score.join(means, "modality").join(state, "modality").join(packed, "modality", "left")
+            .withColumn("coverage", F.col("n") / F.lit(total_samples)).withColumn("rank", F.row_number().over(order)))
+
+
+def example_rows(predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """Most confident row per category: correct positive, correct control, error."""
+    hit = F.col("prediction") == F.col("label")
+    category = F.when(hit & (F.col("label") == 1), "correct_negation").when(hit, "correct_control").otherwise("high_confidence_error")
+    rows = predictions.withColumn("category", category)
+    best = F.max_by(F.struct(*predictions.columns), F.struct(F.abs(F.col("probability") - 0.5), -F.col("query_id")))
+    return rows.groupBy(*keys, "category").agg(best.alias("r")).select(
+        *keys, "category", *[F.col(f"r.{c}").alias(c) for c in predictions.columns if c not in keys])
+
+
+# -- preprocessing --------------------------------------------------------------------------------
+
+
+def fit_pca(frames: DataFrame, vector: str, variance: float = 0.95, max_components: int = 16):
+    """(mean, scale, components) by distributed moments and the ML PCA.
+
+    The number of components is the first that reaches the wanted share of variance.
+    """
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    rows = frames.select(array_to_vector(vector).alias("x")).cache()
+    n = rows.count()
+    scaler = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True).fit(rows)
+    width = len(scaler.mean)
+    model = PCA(k=min(max_components, width), inputCol="z", outputCol="p").fit(scaler.transform(rows))
+    ratio = np.cumsum(model.explainedVariance.toArray())
+    keep = min(len(ratio), int(np.searchsorted(ratio, variance, side="left")) + 1)
+    rows.unpersist()
+    # population deviation; a constant feature keeps scale 1
+    scale = np.asarray(scaler.std) * np.sqrt((n - 1) / n) if n > 1 else np.ones(width)
+    scale = np.where(scale > 0, scale, 1.0)
+    return np.asarray(scaler.mean), scale, model.pc.toArray()[:, :keep]
+
+
+def project(frame_vector: Column, fitted) -> Column:
+    """Standardise one frame vector and project it on the kept components."""
+    mean, scale, components = fitted
+    weights = components / scale[:, None]
+    offset = mean @ weights
+
+    def dot(c):
+        w = F.array(*[F.lit(float(x)) for x in weights[:, c]])
+        return F.aggregate(F.zip_with(frame_vector, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) - F.lit(float(offset[c]))
+
+    return F.array(*[dot(c) for c in range(weights.shape[1])])
+
+
+# -- channel scan -----------------------------------------------------------------------------------
+
+
+def point_biserial(df: DataFrame, keys: list[str], frame: str = "frame", value: str = "value", label: str = "label") -> DataFrame:
+    """Best frame per key by |r| with the label; r is 0 without variance, the first frame wins.
+
+    r comes from centred moments that merge across partitions.
+    """
+    stats = df.groupBy(*keys, frame).agg(
+        F.covar_pop(value, label).alias("__c"), F.stddev_pop(value).alias("__s"), F.stddev_pop(label).alias("__l"),
+        F.count(F.lit(1)).alias("__n"))
+    spread = F.col("__s") * F.col("__l")
+    r = stats.withColumn("r", F.when(spread * F.col("__n") > 1e-12, F.col("__c") / spread).otherwise(F.lit(0.0)))
+    return r.groupBy(*keys).agg(F.max_by(F.struct(frame, "r"), F.struct(F.abs("r"), -F.col(frame))).alias("b")).select(*keys, f"b.{frame}", "b.r")
+
+
+def best_channel_per_modality(scan: DataFrame, modality: str, channel: str) -> DataFrame:
+    """The channel with the largest |r| of each modality."""
+    pick = F.max_by(F.struct(channel, "frame", "r"), F.struct(F.abs("r"), -F.col("channel_ix")))
+    return scan.groupBy(modality).agg(pick.alias("b")).select(modality, f"b.{channel}", "b.frame", "b.r")
+
+
+def dtw_1d(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise univariate DTW, squared cost, root at the end; all rows have the same length."""
+    n, m = a.shape[1], b.shape[1]
+    cost = np.full((len(a), n + 1, m + 1), np.inf)
+    cost[:, 0, 0] = 0.0
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            low = np.minimum(np.minimum(cost[:, i - 1, j], cost[:, i, j - 1]), cost[:, i - 1, j - 1])
+            cost[:, i, j] = low + (a[:, i - 1] - b[:, j - 1]) ** 2
+    return np.sqrt(cost[:, n, m])
+
+
+@F.pandas_udf(DoubleType())
+def dtw_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Univariate DTW distance of two trace columns, one Arrow batch at a time."""
+    if a.empty:
+        return pd.Series([], dtype="float64")
+    return pd.Series(dtw_1d(np.stack(a.to_numpy()).astype(float), np.stack(b.to_numpy()).astype(float)))
+
+
+def class_mean_accuracy(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of traces nearer by DTW to the mean trace of their own class, per key.
+
+    Class means are over the full set, as a screening measure. Two rows per key are joined.
+    """
+    flat = traces.select(*keys, "label", F.posexplode("values").alias("f", "x")).groupBy(*keys, "label", "f").agg(F.avg("x").alias("x"))
+    means = flat.groupBy(*keys, "label").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("m"))
+    both = means.groupBy(*keys).agg(
+        F.max(F.when(F.col("label") == 1, F.col("m.x"))).alias("__p"), F.max(F.when(F.col("label") == 0, F.col("m.x"))).alias("__n"))
+    rows = traces.join(both, keys).withColumn("dp", dtw_distance("values", "__p")).withColumn("dn", dtw_distance("values", "__n"))
+    hit = (F.when(F.col("dp") < F.col("dn"), 1).otherwise(0) == F.col("label")).cast("int")
+    return rows.groupBy(*keys).agg(F.avg(hit).alias("dtw_accuracy"))
+
+
+def scan_channels(traces: DataFrame, channel: str, top: int) -> DataFrame:
+    """Point-biserial scan of all channels, then the DTW check on the ``top`` by |r|."""
+    long = traces.select(channel, "label", F.posexplode("values").alias("frame", "value"))
+    scan = point_biserial(long, [channel])
+    best = scan.orderBy(F.desc(F.abs("r")), channel).limit(top).select(channel)
+    return scan.join(class_mean_accuracy(traces.join(F.broadcast(best), channel, "left_semi"), [channel]), channel, "left")
+
+
+def fold_separability(trajectories_: DataFrame, folds: DataFrame, keys: list[str], *, windows: list[float], ks: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(fold rows, predictions) of DTW neighbours: settings chosen on validation, then the
+    references are train plus validation and the queries are test.
+
+    trajectories_: sample_id, label, keys, values; folds: sample_id, fold, split. A key whose
+    observed training rows have one class only is unavailable with a reason.
+    """
+    by = ["fold", *keys]
+    rows = trajectories_.join(folds, "sample_id")
+    state = rows.groupBy(*by).agg(
+        F.countDistinct(F.when(F.col("split") == "train", F.col("label"))).alias("__c"),
+        F.sum((F.col("split") == "validation").cast("int")).alias("__v"), F.sum((F.col("split") == "test").cast("int")).alias("__t"))
+    reason = (F.when(F.col("__c") < 2, "observed training references do not contain both classes")
+              .when(F.col("__v") == 0, "validation split contains no usable trajectories")
+              .when(F.col("__t") == 0, "test split contains no usable trajectories"))
+    state = state.select(*by, reason.alias("reason"))
+    usable = rows.join(state.filter("reason is null").select(*by), by, "left_semi")
+
+    def side(splits, ident):
+        return usable.filter(F.col("split").isin(*splits)).select(*by, F.col("sample_id").alias(ident), "label", "values")
+
+    chosen = None
+    for window in windows:
+        near = nearest_references(side(["validation"], "query_id").drop("label"), side(["train"], "reference_id"), by, max(ks), window=window)
+        for k in ks:
+            p = knn_inverse_distance(near, by, k).withColumn("window", F.lit(float(window))).withColumn("k", F.lit(k))
+            chosen = p if chosen is None else chosen.unionByName(p)
+    truth = side(["validation"], "query_id").select(*by, "query_id", "label")
+    best = select_neighbour_settings(chosen.join(truth, [*by, "query_id"]), by)
+    predictions = None
+    for window in windows:
+        near = nearest_references(side(["test"], "query_id").drop("label"), side(["train", "validation"], "reference_id"), by, max(ks), window=window)
+        for k in ks:
+            wanted = best.filter((F.col("window") == float(window)) & (F.col("k") == k)).select(*by)
+            p = knn_inverse_distance(near.join(wanted, by, "left_semi"), by, k)
+            predictions = p if predictions is None else predictions.unionByName(p)
+    predictions = predictions.join(side(["test"], "query_id").select(*by, "query_id", "label"), [*by, "query_id"])
+    fold_rows = state.join(best, by, "left").withColumn("status", F.when(F.col("reason").isNull(), "complete").otherwise("unavailable"))
+    return fold_rows, predictions
