@@ -318,4 +318,4 @@ def _(t):
 @query("D14_positive_marginal")
 def _(t):
     out = emissions(t).select("sample_id", sp.positive_marginal(F.col("e"), TRANSITIONS, EDGE, EDGE).alias("p"))
-    return out.select("sample_id", F.array_max("p").alias("window_score"), F.get("p", F.lit(0)).alias("first_frame"))
+    return out.select("sample_id", F.array_max("p").alias("window_score"), F.element_at("p", 1).alias("first_frame"))
