@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorgrid.functions.hashing import draw60
 from anchorgrid.functions.values import sigmoid
+from anchorgrid.operators.ordered import attach_row
 from anchorgrid.operators.metrics import bce, confusion, metric_columns, ranking_metrics
 
 COUNTS = ("tp", "fp", "tn", "fn")
@@ -80,7 +81,7 @@ def sampled_shapley(coalitions: DataFrame, bits: int, count: int, seed: int = 42
     steps = steps.withColumn("after", mask).withColumn("before", F.col("after") - F.pow(F.lit(2.0), F.col("bit")).cast("bigint"))
     packed = steps.agg(F.collect_list(F.struct("unit", "bit", "before", "after")).alias("steps"))
     logits = coalitions.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("coalition", "logit"))).alias("m"))
-    rows = logits.join(F.broadcast(packed)).select(*keys, "m", F.explode("steps").alias("s")).select(
+    rows = attach_row(logits, packed).select(*keys, "m", F.explode("steps").alias("s")).select(
         *keys, "s.unit", "s.bit", (F.element_at("m", F.col("s.after")) - F.element_at("m", F.col("s.before"))).alias("d"))
     pairs = rows.groupBy(*keys, "bit", "unit").agg(F.avg("d").alias("d"))
     return pairs.groupBy(*keys, "bit").agg(
@@ -135,7 +136,7 @@ def retraining_rankings(scores: DataFrame) -> DataFrame:
     scores: variant, kind, modality, value; one row per variant.
     """
     full = scores.filter("kind = 'full'").select(F.col("value").alias("full_value"))
-    rows = scores.filter(F.col("kind").isin(*VARIANT_KINDS)).join(F.broadcast(full))
+    rows = attach_row(scores.filter(F.col("kind").isin(*VARIANT_KINDS)), full)
     key = F.when(F.col("kind") == "modality_only", F.col("value")).otherwise(F.col("full_value") - F.col("value"))
     rows = rows.withColumn("ranking_value", key)
     order = Window.partitionBy("kind").orderBy(F.desc("ranking_value"), "modality")

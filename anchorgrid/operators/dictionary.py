@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorgrid.functions.hashing import draw, draw60
 from anchorgrid.functions.traces import difference, let, periodogram
-from anchorgrid.operators.ordered import exact_quantile
+from anchorgrid.operators.ordered import attach_row, exact_quantile
 
 MIN_WINDOW = 4
 
@@ -71,13 +71,13 @@ def cut_points(coefficients: DataFrame, many: int, binning: str) -> DataFrame:
     out = None
     for j in range(many):
         one = exact_quantile(coefficients, [], f"c{j}", 0.5, f"t{j}")
-        out = one if out is None else out.join(F.broadcast(one))  # one row each
+        out = one if out is None else attach_row(out, one)
     return out
 
 
 def words(coefficients: DataFrame, cuts: DataFrame, many: int, by: list[str]) -> DataFrame:
     """(by, position, word): two letters per coefficient as the bits of a number."""
-    rows = coefficients.join(F.broadcast(cuts))  # one row
+    rows = attach_row(coefficients, cuts)
     word = sum((F.when(F.col(f"c{j}") > F.col(f"t{j}"), 2**j).otherwise(0) for j in range(1, many)),
                F.when(F.col("c0") > F.col("t0"), 1).otherwise(0))
     return rows.select(*by, "position", word.cast("bigint").alias("word"))
@@ -101,12 +101,12 @@ def chi2_top_k(counts: DataFrame, labels: DataFrame, by: list[str], k: int) -> D
     counts: by, sample_id, label, word, n; labels: label, rows (class sizes).
     """
     total = labels.agg(F.sum("rows").alias("__all"))
-    shares = labels.join(F.broadcast(total)).select("label", (F.col("rows") / F.col("__all")).alias("share"))
+    shares = attach_row(labels, total).select("label", (F.col("rows") / F.col("__all")).alias("share"))
     seen = counts.groupBy(*by, "word", "label").agg(F.sum("n").alias("o"))
     whole = seen.groupBy(*by, "word").agg(F.sum("o").alias("t"))
     # every word meets every class, also those it never occurs in: at most two rows per word
     packed = shares.agg(F.collect_list(F.struct("label", "share")).alias("s"))
-    cells = whole.join(F.broadcast(packed)).select(*by, "word", "t", F.explode("s").alias("s")).select(*by, "word", "t", "s.label", "s.share")
+    cells = attach_row(whole, packed).select(*by, "word", "t", F.explode("s").alias("s")).select(*by, "word", "t", "s.label", "s.share")
     joined = cells.join(seen, [*by, "word", "label"], "left")
     expected = F.col("t") * F.col("share")
     gap = F.coalesce("o", F.lit(0)) - expected

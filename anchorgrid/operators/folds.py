@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorgrid.functions.hashing import draw60
 from anchorgrid.operators.matching import hashed_rank
-from anchorgrid.operators.ordered import Ordered, with_group_size
+from anchorgrid.operators.ordered import Ordered, attach_row, with_group_size
 
 
 def group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 42) -> DataFrame:
@@ -82,7 +82,7 @@ def pool_folds(df: DataFrame, id_column: str, order: list[str], max_duplicate_sh
     share = (F.col("rows") - F.col("ids")) / F.col("rows")
     checked = total.select(F.when(share <= max_duplicate_share, F.lit(True)).otherwise(
         F.raise_error(F.concat(F.lit("share of duplicate samples is "), share.cast("string"))).cast("boolean")).alias("__ok"))
-    return kept.join(F.broadcast(checked)).filter("__ok").select(id_column, "r.*")
+    return attach_row(kept, checked).filter("__ok").select(id_column, "r.*")
 
 
 def repeated_stratified_folds(df: DataFrame, label: str, id_column: str, k: int, repeats: int, seed: int = 42) -> DataFrame:

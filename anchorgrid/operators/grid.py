@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from anchorgrid.functions.traces import MINIMUM_SCALE
 from anchorgrid.functions.values import clipped_seconds
-from anchorgrid.operators.ordered import Ordered
+from anchorgrid.operators.ordered import Ordered, attach_row
 
 
 def step_gaps(df: DataFrame, sample: str, t: str, player: str, t_anchor: str, clip: float | None = 10.0) -> DataFrame:
@@ -86,7 +86,7 @@ def channel_matrix(traces: DataFrame, samples: DataFrame, channels: DataFrame, p
     """
     listed = channels.agg(F.array_sort(F.collect_list(
         F.struct("channel_ix", "channel", "modality", "kind", "kind_ix"))).alias("__c"))
-    wanted = samples.join(F.broadcast(listed)).select("sample_id", F.explode("__c").alias("c")).select("sample_id", "c.*")
+    wanted = attach_row(samples, listed).select("sample_id", F.explode("__c").alias("c")).select("sample_id", "c.*")
     seen = traces.groupBy("sample_id", "modality").agg(F.first("present").alias("__seen"))
     zeros = F.array_repeat(F.lit(0.0), points)
     out = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorgrid.functions.values import softplus
-from anchorgrid.operators.ordered import Ordered
+from anchorgrid.operators.ordered import Ordered, join_on
 
 COUNTS = ("tp", "fp", "tn", "fn")
 THRESHOLD_METRICS = (
@@ -100,7 +100,7 @@ def best_threshold(df: DataFrame, by: list[str], metric: str = "macro_f1", score
     cells = cells.withColumn("__down", -F.col("__t"))
     line = Ordered(cells, by, ["__down"]).running({"tp": F.col("__pos"), "fp": F.col("__neg")}).done()
     totals = line.groupBy(*by).agg(F.sum("__pos").alias("__all_pos"), F.sum("__neg").alias("__all_neg"))
-    joined = line.join(totals, by) if by else line.join(F.broadcast(totals))
+    joined = join_on(line, totals, by)
     made = metric_columns(F.col("tp"), F.col("fp"), F.col("__all_neg") - F.col("fp"), F.col("__all_pos") - F.col("tp"))
     key = F.struct(made[metric].alias("m"), made["balanced_accuracy"].alias("b"), (-F.abs(F.col("__t") - 0.5)).alias("d"), (-F.col("__t")).alias("t"))
     return joined.groupBy(*by).agg(F.max(key).alias("k")).select(*by, (-F.col("k.t")).alias("threshold"), F.col("k.m").alias("value"))
@@ -132,7 +132,7 @@ def pooled_metrics(df: DataFrame, by: list[str], score: str = "probability", pre
     decided = df.withColumn("__y", F.coalesce(F.col(prediction), (F.col(score) >= F.col(threshold)).cast("int")))
     a = threshold_metrics(decided, by, prediction="__y")
     b = ranking_metrics(df, by, score)
-    return a.join(b, by) if by else a.join(F.broadcast(b))
+    return join_on(a, b, by)
 
 
 def cv_summary(df: DataFrame, by: list[str], id_column: str = "sample_id") -> DataFrame:
@@ -146,7 +146,7 @@ def cv_summary(df: DataFrame, by: list[str], id_column: str = "sample_id") -> Da
     folds = per_fold.groupBy(*by).agg(
         F.count(F.lit(1)).alias("folds"), F.sum("__neg").alias("predictions"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("fold").cast("string"), "__neg")))).alias("predictions_per_fold"))
-    return dup.join(folds, by) if by else dup.join(F.broadcast(folds))
+    return join_on(dup, folds, by)
 
 
 def seed_statistics(long: DataFrame, by: list[str], seed: str = "seed") -> DataFrame:

@@ -162,11 +162,23 @@ class Ordered:
         return self.df.drop(SEG)
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table as a scalar subquery; more than one row is an error."""
+    return (
+        df.withColumn("__one", one.select(F.struct("*")).scalar()).select("*", "__one.*").drop("__one")
+    )
+
+
+def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join on the keys, or, without keys, ``b``'s single row added to ``a``."""
+    return a.join(b, list(keys)) if keys else attach_row(a, b)
+
+
 def with_group_size(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Add the row count of the key as a pre-aggregated join instead of a window."""
     if not keys:
         sizes = df.agg(F.count(F.lit(1)).alias(name))
-        return df.join(F.broadcast(sizes))  # one row
+        return attach_row(df, sizes)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     return df.join(sizes, list(keys))
 
@@ -187,7 +199,7 @@ def exact_quantile(
     ranked = Ordered(cells, keys, [value]).running({"__upto": F.col("__c")}).done()
     totals = ranked.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     at = F.lit(q) * (F.col("__n") - 1)
-    both = ranked.join(totals, keys) if keys else ranked.join(F.broadcast(totals))
+    both = join_on(ranked, totals, keys)
 
     def at_rank(rank: Column) -> Column:
         inside = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorgrid.functions.hashing import draw
 from anchorgrid.operators.metrics import metric_columns, ranking_metrics
-from anchorgrid.operators.ordered import Ordered
+from anchorgrid.operators.ordered import Ordered, attach_row
 
 MAX_CELLS = 4096
 
@@ -72,7 +72,7 @@ def bootstrap_threshold_metric(df: DataFrame, metric: str, reps: int, seed: int
     per = cell_draws(cells, ["label", "prediction"], reps, seed).groupBy("rep").agg(*_counts(df, [], "prediction"))
     value = lambda t: t.select("*", metric_columns(*[F.col(c) for c in ("tp", "fp", "tn", "fn")])[metric].alias("value"))
     point = value(cells.agg(*_counts(cells, [], "prediction"))).select(F.col("value").alias("point"))
-    return percentile_interval(value(per), [], level=level).join(F.broadcast(point))
+    return attach_row(percentile_interval(value(per), [], level=level), point)
 
 
 def indexed(df: DataFrame, order: list[str]) -> DataFrame:
@@ -91,7 +91,7 @@ def bootstrap_ranking_metric(df: DataFrame, metric: str, reps: int, order: list[
     per = ranking_metrics(drawn, ["rep"], weight=F.col("n")).select("rep", F.col(metric).alias("value"))
     point = ranking_metrics(df, []).select(F.col(metric).alias("point"))
     # a repetition that drew one class only has no value and counts as dropped
-    return percentile_interval(per, [], level=level).join(F.broadcast(point))
+    return attach_row(percentile_interval(per, [], level=level), point)
 
 
 def align(first: DataFrame, second: DataFrame, min_coverage: float = 0.9) -> DataFrame:
@@ -125,7 +125,7 @@ def paired_bootstrap(aligned: DataFrame, metric: str, reps: int, seed: int = 42,
     per = both(cell_draws(cells, keys, reps, seed), ["rep"]).withColumn("value", F.col("a") - F.col("b"))
     wins = per.agg(F.avg((F.col("a") > F.col("b")).cast("int")).alias("probability_a_better"))
     point = both(cells, []).select(F.col("a").alias("point_a"), F.col("b").alias("point_b"), (F.col("a") - F.col("b")).alias("difference"))
-    return percentile_interval(per, [], level=level).join(F.broadcast(wins)).join(F.broadcast(point))
+    return attach_row(attach_row(percentile_interval(per, [], level=level), wins), point)
 
 
 def mcnemar(aligned: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -158,7 +158,7 @@ def cluster_bootstrap(clusters: DataFrame, order: list[str], sums: list[str], st
         return point.select("point", F.col("point").alias("lower"), F.col("point").alias("upper"))
     drawn = row_draws(rows, reps, seed)
     per = drawn.groupBy("rep").agg(*[F.sum(F.col(c) * F.col("n")).alias(c) for c in sums]).select("rep", statistic.alias("value"))
-    return percentile_interval(per, [], level=level).join(F.broadcast(point)).select("point", "lower", "upper")
+    return attach_row(percentile_interval(per, [], level=level), point).select("point", "lower", "upper")
 
 
 def bootstrap_mean(folds: DataFrame, value: str, order: list[str], reps: int, seed: int = 42) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from anchorgrid.functions.hashing import draw60
 from anchorgrid.operators.folds import repeated_stratified_folds
 from anchorgrid.operators.matching import hashed_rank
+from anchorgrid.operators.ordered import attach_row
 
 TOP_OF_FAMILY, BONUS = 16, 0.05  # fixed values of the stable ranking
 
@@ -57,7 +58,7 @@ def ranked_groups(scores: DataFrame, top: int, group_size: int) -> DataFrame:
     ranked = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     count = ranked.agg(F.count(F.lit(1)).alias("__c"))
     groups = F.ceil(F.col("__c") / group_size).cast("int")
-    return ranked.join(F.broadcast(count)).withColumn("group_ix", ((F.col("rank") - 1) % groups).cast("int")).drop("__c")
+    return attach_row(ranked, count).withColumn("group_ix", ((F.col("rank") - 1) % groups).cast("int")).drop("__c")
 
 
 def screen_channels(df: DataFrame, channel: str, frame: str, value: str, label: str, top: int, epsilon: float = 1e-8) -> DataFrame:
@@ -143,7 +144,8 @@ def suppress_redundant(df: DataFrame, features: str, id_column: str, ranking: Da
         F.max("budget").alias("budget"), F.array_sort(F.collect_list(F.struct("rank", "ix"))).alias("p")).select("family", "budget", F.col("p.ix").alias("pool"))
     sample = hashed_rank(df.select(id_column, features), [], id_column, seed, "__r").filter(F.col("__r") <= sample_rows)
     values = F.transform("pool", lambda i: F.get(features, i).cast("double"))
-    rows = sample.join(F.broadcast(listed)).select("family", "budget", "pool", values.alias("x"))
+    packed = listed.agg(F.collect_list(F.struct("family", "budget", "pool")).alias("f"))  # a row per family
+    rows = attach_row(sample, packed).withColumn("f", F.explode("f")).select("*", "f.*").select("family", "budget", "pool", values.alias("x"))
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(group["x"].to_numpy())
@@ -211,7 +213,7 @@ def fit_sparse_scaler(df: DataFrame, features: str, *, per_column: bool = True,
 
 def apply_sparse_scaler(df: DataFrame, features: str, fitted: DataFrame, *, mask: bool, name: str) -> DataFrame:
     """(root - mean) / scale; with the mask a zero count stays zero."""
-    rows = df.join(F.broadcast(fitted))  # one row
+    rows = attach_row(df, fitted)
     root = F.transform(features, lambda x: F.sqrt(F.greatest(x.cast("double"), F.lit(0.0))))
     keep = (lambda r: (r != 0).cast("double")) if mask else (lambda r: F.lit(1.0))
     scaled = F.zip_with(F.zip_with(root, "__mean", lambda r, m: (r - m) * keep(r)), "__scale", lambda x, s: x / s)
@@ -223,5 +225,5 @@ def scale_without_centering(df: DataFrame, features: str, name: str) -> DataFram
     stats = Summarizer.metrics("variance", "count").summary(array_to_vector(F.col(features)))
     m = df.agg(stats.alias("m")).select(F.col("m.count").alias("n"), vector_to_array("m.variance").alias("var"))
     scale = m.select(F.transform("var", lambda v: F.sqrt(v * (F.col("n") - 1) / F.col("n"))).alias("__scale"))
-    rows = df.join(F.broadcast(scale))  # one row
+    rows = attach_row(df, scale)
     return rows.withColumn(name, F.zip_with(features, "__scale", lambda x, s: F.when(s > 0, x / s).otherwise(x.cast("double")))).drop("__scale")

@@ -17,7 +17,7 @@ from anchorgrid.functions.traces import let
 from anchorgrid.functions.values import logit
 from anchorgrid.operators.attribution import scored
 from anchorgrid.operators.metrics import confusion, metric_columns
-from anchorgrid.operators.ordered import with_group_size
+from anchorgrid.operators.ordered import attach_row, with_group_size
 
 QUERY_BLOCK, REFERENCE_BLOCK = 256, 2048
 ZERO_DISTANCE = 1e-12
@@ -36,7 +36,7 @@ def latent_statistics(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
     """Mean vector norm per key and the sample deviation of all components."""
     rows = df.withColumn("__n", F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)))
     spread = df.select(F.explode(vector).alias("x")).agg(F.stddev_samp("x").alias("s"))
-    means = rows.groupBy(*by).agg(F.avg("__n").alias("m")).join(F.broadcast(spread))
+    means = attach_row(rows.groupBy(*by).agg(F.avg("__n").alias("m")), spread)
     return means.select(*by, (F.round("m", 6) + 0.0).alias("mean_norm"), (F.round("s", 6) + 0.0).alias("latent_std"))
 
 

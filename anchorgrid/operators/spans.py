@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorgrid.operators.metrics import confusion, metric_columns, ranking_metrics, ratio
-from anchorgrid.operators.ordered import Ordered, exact_quantile
+from anchorgrid.operators.ordered import Ordered, attach_row, exact_quantile, join_on
 
 # fixed values: tag order; cue wins over scope where spans overlap
 TAGS = ("O", "B-CUE", "I-CUE", "B-SCOPE", "I-SCOPE")
@@ -70,7 +70,7 @@ def label_statistics(tags: DataFrame, spans: DataFrame, by: list[str]) -> DataFr
     b = spans.groupBy(*by).agg(
         F.countDistinct("sample_id").alias("windows_with_spans"), F.count(F.lit(1)).alias("spans"),
         F.sum(F.col("measured").cast("int")).alias("measured"), F.sum((~F.col("measured")).cast("int")).alias("assumed"))
-    return a.join(b, by, "left") if by else a.join(F.broadcast(b))
+    return a.join(b, by, "left") if by else attach_row(a, b)
 
 
 def decode_spans(tags: DataFrame, sample: str = "sample_id") -> DataFrame:
@@ -166,7 +166,7 @@ def frame_metrics(df: DataFrame, by: list[str]) -> DataFrame:
     exact = rows.groupBy(*by).agg(F.avg("same").alias("tag_accuracy"))
     made = metric_columns(*[F.col(c) for c in ("tp", "fp", "tn", "fn")])
     picked = confusion(rows, by).select(*by, *[made[m].alias(m) for m in ("precision", "recall", "f1", "balanced_accuracy", "positive_support")])
-    return picked.join(exact, by) if by else picked.join(F.broadcast(exact))
+    return join_on(picked, exact, by)
 
 
 def window_metrics(df: DataFrame, by: list[str], frame_probability: str, threshold: float = 0.5) -> DataFrame:
@@ -176,7 +176,7 @@ def window_metrics(df: DataFrame, by: list[str], frame_probability: str, thresho
     made = metric_columns(*[F.col(c) for c in ("tp", "fp", "tn", "fn")])
     a = confusion(rows, by).select(*by, made["accuracy"].alias("window_accuracy"), made["f1"].alias("window_f1"))
     b = ranking_metrics(rows, by).select(*by, F.col("roc_auc").alias("window_roc_auc"))
-    return a.join(b, by) if by else a.join(F.broadcast(b))
+    return join_on(a, b, by)
 
 
 # -- decoding ---------------------------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from anchorgrid.functions import channels as ch, naming, values as v
@@ -13,6 +11,7 @@ from anchorgrid.plans.registry import query
 from anchorgrid.plans.roles import (
     CUES, EV, GRID, LINKS, PREDS, SCOPES, WORDS, h32, links, q6, r6, words,
 )
+from anchorgrid.session import scratch
 from anchorgrid.sources import files, words as src
 
 for _target, _fields in src.TARGET_FIELDS.items():
@@ -56,7 +55,7 @@ _FOLD_SQL = f"""SELECT sample_id, group_id, label, fold::INTEGER AS fold,
 
 @query("S5_load_fold", f"SELECT split, count(*) AS n, sum(label)::BIGINT AS positives FROM ({_FOLD_SQL}) GROUP BY 1")
 def _(t):
-    folder = tempfile.mkdtemp(prefix="anchorgrid-fold-")
+    folder = scratch(t.spark, "fold")
     files.write_folds(_fold_table(t), folder)
     fold = files.load_fold(t.spark, folder, {"sample_id", "group_id", "label"})
     return fold.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
@@ -69,7 +68,7 @@ def _(t):
 
 @query("S11_fold_sink", f"SELECT fold, split, count(*) AS n FROM ({_FOLD_SQL}) GROUP BY 1, 2")
 def _(t):
-    folder = tempfile.mkdtemp(prefix="anchorgrid-fold-")
+    folder = scratch(t.spark, "fold")
     table = _fold_table(t)
     files.write_folds(table, folder)
     files.write_folds(table.filter("fold = 0"), folder)  # replaces that partition only
@@ -82,7 +81,7 @@ _PRED_ROWS = ["model", "fold", "sample_id", "group_id", "label", "logit", "proba
 @query("S7_read_predictions", f"""SELECT model, fold::INTEGER AS fold, sample_id::VARCHAR AS sample_id, group_id,
   label, probability, threshold, prediction FROM ({PREDS})""")
 def _(t):
-    folder = tempfile.mkdtemp(prefix="anchorgrid-jsonl-")
+    folder = scratch(t.spark, "jsonl")
     files.write_json_lines(t.preds.withColumn("logit", v.logit(F.col("probability"))).select(*_PRED_ROWS), folder)
     return files.read_predictions(t.spark, folder).drop("logit")
 
@@ -90,7 +89,7 @@ def _(t):
 @query("S14_json_lines_sink", f"""SELECT model, sample_id, {q6('ln(probability / (1 - probability))')} AS logit
   FROM ({PREDS})""")
 def _(t):
-    folder = tempfile.mkdtemp(prefix="anchorgrid-jsonl-")
+    folder = scratch(t.spark, "jsonl")
     files.write_json_lines(t.preds.withColumn("logit", v.logit(F.col("probability"))), folder)
     back = t.spark.read.schema("model string, sample_id bigint, logit double").json(folder)
     return back.withColumn("logit", r6(F.col("logit")))
@@ -159,7 +158,7 @@ def _(t):
 @query("S12_metrics_csv_sink", f"""SELECT fold::INTEGER AS fold, {q6('avg((label = prediction)::INTEGER)')} AS accuracy
   FROM ({PREDS}) WHERE model = 'a' GROUP BY fold""")
 def _(t):
-    folder = tempfile.mkdtemp(prefix="anchorgrid-csv-")
+    folder = scratch(t.spark, "csv")
     per = t.preds.filter("model = 'a'").groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("accuracy"))
     files.write_csv(per, folder)
     back = t.spark.read.option("header", True).schema("fold int, accuracy double").csv(folder)

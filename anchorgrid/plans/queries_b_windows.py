@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from anchorgrid.functions.hashing import draw
 from anchorgrid.operators import folds, grid, matching, turns, windows
 from anchorgrid.plans.queries_a_sources import _TOKENS, tokens
+from anchorgrid.operators.ordered import attach_row
 from anchorgrid.plans.registry import query
 from anchorgrid.plans.roles import (
     CUES, EV, LINKS, PREDS, SCOPES, WORDS, h32, h60, links, q6, r6, words,
@@ -106,7 +107,7 @@ def _(t):
     settings = windows.window_grid(t.spark, size_ms=10 * MINUTE, step_ms=5 * MINUTE)
     # the hops of one source share their scan of the events: one join over all window sizes
     sizes = settings.filter("source = 'both'").agg(F.collect_list(F.struct("left_ms", "right_ms")).alias("s"))
-    sized = anchors(t).join(F.broadcast(sizes)).select("*", F.explode("s").alias("w")).select(
+    sized = attach_row(anchors(t), sizes).select("*", F.explode("s").alias("w")).select(
         "anchor_id", "player", "t0", "w.left_ms", "w.right_ms")
     pairs = windows.attach_windows(sized, stream(t), left="left_ms", right="right_ms", bucket_ms=10 * MINUTE)
     same = F.col("player") == F.col("event_player")
@@ -342,7 +343,7 @@ def _(t):
 def _(t):
     runs = t.preds.join(F.broadcast(t.read("documents").agg(F.min("lang").alias("lang"))), "lang").select("lang", "fold").distinct()
     runs = runs.withColumn("signature", F.col("fold") % 2)
-    return folds.fold_compatibility(runs, ["signature"], "fold").join(F.broadcast(runs.select("lang").distinct()))
+    return attach_row(folds.fold_compatibility(runs, ["signature"], "fold"), runs.select("lang").distinct())
 
 
 _POOLED = f"""SELECT sample_id, fold, label, probability FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY fold, probability) AS rn FROM (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from anchorgrid.functions import values as v
 from anchorgrid.functions.hashing import draw
 from anchorgrid.operators import attribution as at, metrics as mt, resampling as rs, results as rl
-from anchorgrid.operators.ordered import exact_quantile
+from anchorgrid.operators.ordered import attach_row, exact_quantile
 from anchorgrid.plans.registry import query
 from anchorgrid.plans.roles import CUES, EV, PREDS, h32, h60, q6, r6
 
@@ -443,7 +443,7 @@ _RUNS = f"""SELECT 'm-' || model AS model, fold AS seed, lang AS variant, CASE l
 
 def runs(t):
     ends = t.read("documents").agg(F.min("lang").alias("lo"), F.max("lang").alias("hi"))
-    per = t.preds.groupBy("model", "fold", "lang").agg(F.avg("probability").alias("mean")).join(F.broadcast(ends))
+    per = attach_row(t.preds.groupBy("model", "fold", "lang").agg(F.avg("probability").alias("mean")), ends)
     hop = (100 * (1 + F.col("fold"))).cast("string")
     family = F.when(F.col("lang") == F.col("lo"), "tgt-cue_src-robot_window-100").when(
         F.col("lang") == F.col("hi"), F.concat(F.lit("tgt-cue_src-speaker_wL-500_wR-m"), hop)).otherwise(F.concat(F.lit("target-cue_window-"), hop))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from anchorgrid.plans.registry import query
 from anchorgrid.plans.roles import q6, r6
+from anchorgrid.session import scratch
 from anchorgrid.streaming import windows as sw
 
 
@@ -19,7 +18,7 @@ def stream(t):
 
 
 def finish(out):
-    folder = tempfile.mkdtemp(prefix="anchorgrid-stream-")
+    folder = scratch(out.sparkSession, "stream")
     return sw.run_available(out, f"{folder}/out", f"{folder}/state")
 
 
