@@ -26,22 +26,24 @@ def confusion(df: DataFrame, by: list[str], label: str = "label", prediction: st
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, zero when the denominator is zero."""
-    return F.when(b == 0, F.lit(0.0)).otherwise(a / F.when(b == 0, F.lit(1)).otherwise(b))
+    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
 def metric_columns(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
-    """All threshold metrics as expressions of the four counts."""
+    """All threshold metrics as expressions of the four counts.
+
+    F1 is written by counts, 2tp / (2tp + fp + fn), which equals the harmonic mean of
+    precision and recall and is zero exactly when that one is.
+    """
     tp, fp, tn, fn = [c.cast("double") for c in (tp, fp, tn, fn)]
     total = tp + fp + tn + fn
-    precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    n_precision, n_recall = ratio(tn, tn + fn), ratio(tn, tn + fp)
-    f1, n_f1 = ratio(2 * precision * recall, precision + recall), ratio(2 * n_precision * n_recall, n_precision + n_recall)
-    known = F.when(total > 0, total)
+    recall, n_recall = ratio(tp, tp + fn), ratio(tn, tn + fp)
+    f1, n_f1 = ratio(2 * tp, 2 * tp + fp + fn), ratio(2 * tn, 2 * tn + fp + fn)
     return {
-        "accuracy": (tp + tn) / known, "balanced_accuracy": (recall + n_recall) / 2, "precision": precision,
-        "recall": recall, "specificity": n_recall, "f1": f1, "negative_precision": n_precision,
+        "accuracy": F.try_divide(tp + tn, total), "balanced_accuracy": (recall + n_recall) / 2, "precision": ratio(tp, tp + fp),
+        "recall": recall, "specificity": n_recall, "f1": f1, "negative_precision": ratio(tn, tn + fn),
         "negative_recall": n_recall, "negative_f1": n_f1, "macro_f1": (f1 + n_f1) / 2,
-        "weighted_f1": (f1 * (tp + fn) + n_f1 * (tn + fp)) / known,
+        "weighted_f1": F.try_divide(f1 * (tp + fn) + n_f1 * (tn + fp), total),
         "mcc": ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))),
         "positive_support": tp + fn, "negative_support": tn + fp, "num_examples": total,
     }

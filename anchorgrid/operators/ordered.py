@@ -107,25 +107,18 @@ class Ordered:
 
     def carried(self, value: Column, name: str, step: int = -1) -> "Ordered":
         """Add the last non-null ``value`` at or before the row (step=1: first at or after)."""
-        frame = (
-            self._window().rowsBetween(Window.unboundedPreceding, 0)
-            if step < 0
-            else self._window().rowsBetween(0, Window.unboundedFollowing)
-        )
-        function = F.last if step < 0 else F.first
-        out = self.df.withColumn(name, function(value, ignorenulls=True).over(frame))
+        # a frame to the unbounded end is quadratic, so "next" is "last" in descending order
+        order = self.order if step < 0 else [F.desc(c) for c in self.order]
+        frame = Window.partitionBy(*self.keys, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        out = self.df.withColumn(name, F.last(value, ignorenulls=True).over(frame))
         if self.split:
             order = F.struct(*[F.col(c) for c in self.order])
             tagged = F.when(value.isNotNull(), order)
             pick = F.max_by(value, tagged) if step < 0 else F.min_by(value, tagged)
             edges = self._edges(pick, "__edge")
-            across = Window.partitionBy(*self.keys).orderBy(SEG)
-            across = (
-                across.rowsBetween(Window.unboundedPreceding, -1)
-                if step < 0
-                else across.rowsBetween(1, Window.unboundedFollowing)
-            )
-            edges = edges.withColumn("__edge", function("__edge", ignorenulls=True).over(across))
+            across = Window.partitionBy(*self.keys).orderBy(SEG if step < 0 else F.desc(SEG))
+            across = across.rowsBetween(Window.unboundedPreceding, -1)
+            edges = edges.withColumn("__edge", F.last("__edge", ignorenulls=True).over(across))
             out = self._join_edges(out, edges).withColumn(
                 name, F.coalesce(F.col(name), F.col("__edge"))
             ).drop("__edge")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorgrid.operators.metrics import confusion, metric_columns, ranking_metrics, ratio
-from anchorgrid.operators.ordered import Ordered, attach_row, exact_quantile, join_on
+from anchorgrid.operators.ordered import attach_row, exact_quantile, join_on
 
 # fixed values: tag order; cue wins over scope where spans overlap
 TAGS = ("O", "B-CUE", "I-CUE", "B-SCOPE", "I-SCOPE")
@@ -73,19 +73,33 @@ def label_statistics(tags: DataFrame, spans: DataFrame, by: list[str]) -> DataFr
     return a.join(b, by, "left") if by else attach_row(a, b)
 
 
-def decode_spans(tags: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """(sample, span_type, start_frame, stop_frame): lenient BIO decoding.
+def span_array(tags: Column) -> Column:
+    """array<struct<span_type, start_frame, stop_frame>> of one tag array, lenient BIO decoding.
 
-    A span opens at B, or at I of another type than the frame before; gaps and islands over
-    (sample, frame) rows.
+    A span opens at B, or at I of another type than the frame before. The array is folded
+    once; a window has as many tags as its grid has frames, so this needs no shuffle.
     """
-    long = tags.select(sample, F.posexplode("tags").alias("frame", "tag"))
-    kind = F.when(F.col("tag").isin(1, 2), "CUE").when(F.col("tag").isin(3, 4), "SCOPE")
-    line = Ordered(long.withColumn("kind", kind), [sample], ["frame"]).neighbour(["kind"], "__p", -1)
-    opens = F.col("kind").isNotNull() & (F.col("tag").isin(1, 3) | ~F.col("kind").eqNullSafe(F.col("__p.kind")))
-    rows = line.running({"__run": opens.cast("bigint")}).done().filter("kind is not null")
-    return rows.groupBy(sample, "__run").agg(
-        F.min("kind").alias("span_type"), F.min("frame").alias("start_frame"), (F.max("frame") + 1).alias("stop_frame")).drop("__run")
+    nothing = F.lit(None).cast("string")
+    state = "struct<done:array<struct<span_type:string,start_frame:int,stop_frame:int>>,kind:string,start:int,at:int>"
+
+    def close(acc):
+        one = F.array(F.struct(acc["kind"].alias("span_type"), acc["start"].alias("start_frame"), acc["at"].alias("stop_frame")))
+        return F.when(acc["kind"].isNotNull(), F.concat(acc["done"], one)).otherwise(acc["done"])
+
+    def step(acc, tag):
+        kind = F.when(tag.isin(1, 2), F.lit("CUE")).when(tag.isin(3, 4), F.lit("SCOPE")).otherwise(nothing)
+        goes_on = tag.isin(2, 4) & kind.eqNullSafe(acc["kind"])
+        return F.struct(
+            F.when(goes_on, acc["done"]).otherwise(close(acc)).alias("done"), kind.alias("kind"),
+            F.when(goes_on, acc["start"]).otherwise(acc["at"]).alias("start"), (acc["at"] + 1).alias("at")).cast(state)
+
+    first = F.struct(F.array().alias("done"), nothing.alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("at")).cast(state)
+    return F.aggregate(tags, first, step, close)
+
+
+def decode_spans(tags: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """(sample, span_type, start_frame, stop_frame) of tag arrays."""
+    return tags.select(sample, F.explode(span_array(F.col("tags"))).alias("s")).select(sample, "s.*")
 
 
 SPAN = ["span_type", "start_frame", "stop_frame"]
