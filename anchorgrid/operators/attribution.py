@@ -22,9 +22,9 @@ def scored(df: DataFrame, by: list[str], logit: str) -> DataFrame:
     rows = df.withColumn("__p", sigmoid(F.col(logit)))
     rows = rows.withColumn("__y", (F.col("__p") >= F.col("threshold")).cast("int"))
     made = metric_columns(*[F.col(c) for c in COUNTS])
-    counts = confusion(rows, by, prediction="__y").select(*by, made["macro_f1"].alias("macro_f1"), made["balanced_accuracy"].alias("balanced_accuracy"))
-    loss = rows.groupBy(*by).agg(F.avg(bce(F.col(logit), F.col("label"))).alias("loss"))
-    return counts.join(ranking_metrics(rows, by, "__p"), by).join(loss, by)
+    counts = confusion(rows, by, prediction="__y", extra=[F.avg(bce(F.col(logit), F.col("label"))).alias("loss")])
+    picked = counts.select(*by, made["macro_f1"].alias("macro_f1"), made["balanced_accuracy"].alias("balanced_accuracy"), "loss")
+    return picked.join(ranking_metrics(rows, by, "__p"), by)
 
 
 METRICS = ("macro_f1", "balanced_accuracy", "roc_auc", "average_precision", "loss")

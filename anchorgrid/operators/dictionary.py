@@ -68,11 +68,9 @@ def cut_points(coefficients: DataFrame, many: int, binning: str) -> DataFrame:
     """One row with the threshold of every coefficient: its median, or the middle of its range."""
     if binning == "width":
         return coefficients.agg(*[((F.min(f"c{j}") + F.max(f"c{j}")) / 2).alias(f"t{j}") for j in range(many)])
-    out = None
-    for j in range(many):
-        one = exact_quantile(coefficients, [], f"c{j}", 0.5, f"t{j}")
-        out = one if out is None else attach_row(out, one)
-    return out
+    names = [f"c{j}" for j in range(many)]
+    medians = exact_quantile(coefficients.select(*names).unpivot([], names, "c", "x"), ["c"], "x", 0.5, "m")
+    return medians.agg(*[F.max(F.when(F.col("c") == c, F.col("m"))).alias(f"t{c[1:]}") for c in names])
 
 
 def words(coefficients: DataFrame, cuts: DataFrame, many: int, by: list[str]) -> DataFrame:

@@ -16,12 +16,12 @@ EPS32 = 2.0**-23  # fixed value: spacing of single-precision floats at 1
 
 
 def confusion(df: DataFrame, by: list[str], label: str = "label", prediction: str = "prediction",
-              weight: Column | None = None) -> DataFrame:
-    """tp, fp, tn, fn per key in one hash aggregate."""
+              weight: Column | None = None, extra: list[Column] = ()) -> DataFrame:
+    """tp, fp, tn, fn per key, with any ``extra`` aggregates, in one hash aggregate."""
     w = F.lit(1) if weight is None else weight
     y, p = F.col(label) == 1, F.col(prediction) == 1
     cell = lambda test: F.sum(F.when(test, w).otherwise(0))
-    return df.groupBy(*by).agg(cell(y & p).alias("tp"), cell(~y & p).alias("fp"), cell(~y & ~p).alias("tn"), cell(y & ~p).alias("fn"))
+    return df.groupBy(*by).agg(cell(y & p).alias("tp"), cell(~y & p).alias("fp"), cell(~y & ~p).alias("tn"), cell(y & ~p).alias("fn"), *extra)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -15,18 +15,18 @@ def collect_results(runs: DataFrame, *, target: str = "cue", event_source: str |
     runs: model, family, variant, seed, metric, mean, issue. The family name gives target,
     source and window; rows whose name cannot be read become issues instead of vanishing.
     """
-    parsed = runs.select("*", *[c.alias(f"f_{n}") for n, c in parse_family(F.col("family")).items()])
-    problem = F.coalesce("issue", "f_issue")
+    parsed = runs.withColumn("f", parse_family(F.col("family")))
+    problem = F.coalesce("issue", "f.issue")
     issues = parsed.filter(problem.isNotNull()).select("model", "family", "variant", "seed", problem.alias("issue"))
-    good = parsed.filter(problem.isNull() & (F.col("f_target") == target))
+    good = parsed.filter(problem.isNull() & (F.col("f.target") == target))
     if event_source is not None:
-        good = good.filter(F.col("f_event_source") == event_source)
+        good = good.filter(F.col("f.event_source") == event_source)
     if symmetric is not None:
-        same = F.col("f_left_ms") == F.col("f_right_ms")
+        same = F.col("f.left_ms") == F.col("f.right_ms")
         good = good.filter(same if symmetric else ~same)
     if windows is not None:
         # the requested windows are a short argument list
-        wanted = [(F.col("f_left_ms") == l) & (F.col("f_right_ms") == r) for l, r in windows]
+        wanted = [(F.col("f.left_ms") == l) & (F.col("f.right_ms") == r) for l, r in windows]
         keep = wanted[0]
         for w in wanted[1:]:
             keep = keep | w
@@ -34,9 +34,9 @@ def collect_results(runs: DataFrame, *, target: str = "cue", event_source: str |
     if excluded:
         good = good.filter(~F.col("model").isin(*excluded))
     results = good.select(
-        "model", "variant", "seed", "metric", "mean", F.col("f_event_source").alias("event_source"),
-        F.col("f_source_inferred").alias("source_inferred"), F.col("f_left_ms").alias("left_ms"), F.col("f_right_ms").alias("right_ms"),
-        window_label(F.col("f_left_ms"), F.col("f_right_ms")).alias("window"))
+        "model", "variant", "seed", "metric", "mean", F.col("f.event_source").alias("event_source"),
+        F.col("f.source_inferred").alias("source_inferred"), F.col("f.left_ms").alias("left_ms"), F.col("f.right_ms").alias("right_ms"),
+        window_label(F.col("f.left_ms"), F.col("f.right_ms")).alias("window"))
     return results, issues
 
 

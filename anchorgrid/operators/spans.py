@@ -127,10 +127,10 @@ def _totals(predicted: DataFrame, reference: DataFrame, hits: DataFrame) -> Data
 def score_exact(predicted: DataFrame, reference: DataFrame, sample: str = "sample_id") -> DataFrame:
     """Spans match when type and both boundaries agree; copies match as often as both have."""
     key = [sample, *SPAN]
-    a = predicted.groupBy(*key).agg(F.count(F.lit(1)).alias("a"))
-    b = reference.groupBy(*key).agg(F.count(F.lit(1)).alias("b"))
-    hits = a.join(b, key).withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("a", "b"))))
-    return _totals(predicted, reference, hits)
+    a = predicted.groupBy(*key).agg(F.count(F.lit(1)).alias("predicted"))
+    b = reference.groupBy(*key).agg(F.count(F.lit(1)).alias("reference"))
+    both = a.join(b, key, "full").na.fill(0, ["predicted", "reference"])
+    return _scores(both.select("span_type", "predicted", "reference", F.least("predicted", "reference").alias("tp")))
 
 
 def score_overlap(predicted: DataFrame, reference: DataFrame, tau: float, sample: str = "sample_id") -> DataFrame:

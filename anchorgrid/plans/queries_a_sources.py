@@ -348,7 +348,7 @@ def _(t):
     named = _named(t).join(t.ev.select("event_id", "user_id"), "event_id")
     name = F.when(F.col("event_id") % 5 == 0, legacy).otherwise(F.col("family"))
     return named.select("event_id", name.alias("name")).select(
-        "event_id", *[c.alias(n) for n, c in naming.parse_family(F.col("name")).items()])
+        "event_id", naming.parse_family(F.col("name")).alias("f")).select("event_id", "f.*")
 
 
 @query("F18_window_labels", f"""SELECT event_id, CASE WHEN l = r THEN 'window-' || l ELSE 'windowL-' || CASE WHEN l < 0 THEN 'm' || (-l) ELSE l::VARCHAR END

@@ -88,7 +88,7 @@ def test_full_modality_vectors(spark):
 
 def test_names(spark):
     df = spark.createDataFrame([("tgt-cue_bal-05_src-listener_wL-m500_wR-1500_spl-10",), ("target-scope_window-250",), ("tgt-cue_src-cat_window-1",), ("x_wL-5_wR-m5_",)], "n string")
-    got = [tuple(r) for r in df.select(*[c.alias(k) for k, c in naming.parse_family(F.col("n")).items()]).collect()]
+    got = [tuple(r) for r in df.select(naming.parse_family(F.col("n")).alias("f")).select("f.*").collect()]
     assert got[0] == ("cue", "listener", False, -500, 1500, None)
     assert got[1] == ("scope", "speaker", True, 250, 250, None)
     assert got[2][5] == "unsupported dataset source cat" and got[3][5] == "window bounds are empty"
