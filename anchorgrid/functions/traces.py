@@ -17,7 +17,7 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def total(a: Column) -> Column:
+def total(a: Column | str) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 

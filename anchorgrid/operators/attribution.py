@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorgrid.functions.hashing import draw60
+from anchorgrid.functions.traces import let, mean, std
 from anchorgrid.functions.values import sigmoid
 from anchorgrid.operators.ordered import attach_row
 from anchorgrid.operators.metrics import bce, confusion, metric_columns, ranking_metrics
@@ -71,22 +72,39 @@ def sampled_shapley(coalitions: DataFrame, bits: int, count: int, seed: int = 42
     """(keys, bit, value, standard_error, n) of the full-minus-empty logit.
 
     coalitions: keys, coalition (bit mask), logit. A sample has at most 2**bits coalitions, so
-    its logits travel as one map and each step of an ordering is a look-up in it. The steps are
-    a small fixed table; no sample-by-ordering pairs are shuffled.
+    its logits travel as one array, every step of an ordering is a look-up in it, and the means
+    are taken inside the row: one shuffle builds the arrays, none follows. The steps are a small
+    fixed table.
     """
     keys = list(keys)
     steps = orderings(coalitions.sparkSession, bits, count, seed)
     line = Window.partitionBy("ordering").orderBy("position")
-    mask = F.sum(F.shiftleft(F.lit(1).cast("bigint"), 0) * F.pow(F.lit(2.0), F.col("bit"))).over(line).cast("bigint")
-    steps = steps.withColumn("after", mask).withColumn("before", F.col("after") - F.pow(F.lit(2.0), F.col("bit")).cast("bigint"))
-    packed = steps.agg(F.collect_list(F.struct("unit", "bit", "before", "after")).alias("steps"))
-    logits = coalitions.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("coalition", "logit"))).alias("m"))
-    rows = attach_row(logits, packed).select(*keys, "m", F.explode("steps").alias("s")).select(
-        *keys, "s.unit", "s.bit", (F.element_at("m", F.col("s.after")) - F.element_at("m", F.col("s.before"))).alias("d"))
-    pairs = rows.groupBy(*keys, "bit", "unit").agg(F.avg("d").alias("d"))
-    return pairs.groupBy(*keys, "bit").agg(
-        F.avg("d").alias("value"), F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.stddev_samp("d") / F.sqrt(F.count(F.lit(1)).cast("double")), F.lit(0.0)).alias("standard_error"))
+    own = F.pow(F.lit(2.0), F.col("bit")).cast("bigint")
+    steps = steps.withColumn("after", F.sum(own).over(line)).withColumn("before", F.col("after") - own)
+    packed = steps.agg(F.array_sort(F.collect_list(F.struct("bit", "unit", "ordering", "before", "after"))).alias("steps"))
+    cells = F.array_sort(F.collect_list(F.struct("coalition", "logit")))
+    rows = coalitions.groupBy(*keys).agg(cells.alias("p"))
+    # with all coalitions there the position is the mask; otherwise they are looked up once
+    sparse = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(2**bits - 1).cast("bigint")),
+                         lambda c: F.try_element_at(F.map_from_entries("p"), c))
+    dense = F.when(F.size("p") == 2**bits, F.col("p.logit")).otherwise(sparse)
+    units = count // 2
+
+    def differences(m):
+        at = lambda c: F.get(m, c.cast("int"))
+        return F.transform("steps", lambda s: at(s["after"]) - at(s["before"]))
+
+    def pair_means(d):
+        # steps are sorted by bit, unit, ordering: two neighbours are an order and its reverse
+        halves = lambda i: (F.get(d, i * 2) + F.get(d, i * 2 + 1)) / 2
+        flat = F.transform(F.sequence(F.lit(0), F.lit(bits * units - 1)), halves)
+        return let(flat, lambda x: F.transform(
+            F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.slice(x, b * units + 1, F.lit(units))))
+
+    paired = let(let(dense, differences), pair_means)
+    one = attach_row(rows, packed).select(*keys, F.posexplode(paired).alias("bit", "v"))
+    error = std("v") * F.sqrt(F.lit(units / max(units - 1, 1))) / F.sqrt(F.lit(float(units))) if units > 1 else F.lit(0.0)
+    return one.select(*keys, "bit", mean("v").alias("value"), error.alias("standard_error"), F.lit(units).alias("n"))
 
 
 def efficiency_gap(values: DataFrame, coalitions: DataFrame, bits: int, keys=("fold", "sample_id")) -> DataFrame:

@@ -52,11 +52,11 @@ def classifier(kind: str, c: float = 1.0, rows: int = 1, l1_ratio: float = 0.5,
     reg = 1.0 / (c * rows)
     common = {"featuresCol": "__z", "labelCol": "label", "predictionCol": "prediction"}
     if kind == "logistic_l2":
-        return LogisticRegression(regParam=reg, elasticNetParam=0.0, maxIter=100, standardization=False, **common)
+        return LogisticRegression(regParam=reg, elasticNetParam=0.0, maxIter=100, tol=1e-4, standardization=False, **common)
     if kind == "elastic_net":
-        return LogisticRegression(regParam=reg, elasticNetParam=l1_ratio, maxIter=100, standardization=False, **common)
+        return LogisticRegression(regParam=reg, elasticNetParam=l1_ratio, maxIter=100, tol=1e-4, standardization=False, **common)
     if kind == "linear_svm":
-        return LinearSVC(regParam=reg, maxIter=100, standardization=False, **common)
+        return LinearSVC(regParam=reg, maxIter=100, tol=1e-4, standardization=False, **common)
     if kind == "forest":
         return RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **common)
     raise ValueError(f"unknown classifier {kind!r}")

@@ -4,7 +4,7 @@ A plain window sends all rows of one key to one task. Here the key counts are lo
 first (one pre-aggregated pass). Keys above a row limit are cut along their order column
 into segments, the window runs per (key, segment), and the few values that have to cross a
 segment edge are computed on the segment summaries and joined back. The number of hot keys
-and segments is bounded by construction, so the split table is safe to broadcast.
+and cuts is bounded by construction, so the split table is safe to broadcast.
 """
 
 from __future__ import annotations
@@ -15,11 +15,26 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SEGMENT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
-MAX_SEGMENTS = 256
+MAX_CUTS = 10_000
+MAX_SEGMENTS = 4_096
+STRIDE = 64
 SEG = "__segment"
 
 
+def _two_levels(cuts: list[float]) -> tuple[list[float], list[float]]:
+    """Every 64th cut, and all of them: a look-up reads two short stretches."""
+    cuts = sorted(float(c) for c in cuts)
+    return cuts[::STRIDE], cuts
+
+
+def _segment(heads: Column, cuts: Column, here: Column) -> Column:
+    """How many cuts lie below the value."""
+    below = lambda a: F.size(F.filter(a, lambda c: c < here))
+    block = F.transform(F.array(below(heads)), lambda k: F.when(k == 0, F.lit(0)).otherwise(
+        (k - 1) * STRIDE + below(F.slice(cuts, (k - 1) * STRIDE + 1, F.lit(STRIDE)))))
+    return F.get(block, F.lit(0))
+
+
 @dataclass
 class Ordered:
     """Rows of ``df`` in the order ``order`` inside each ``keys`` group.
@@ -41,33 +56,38 @@ class Ordered:
         cut_on = self.order[0]
         counts = self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n"))
         total, largest = counts.agg(F.sum("__n"), F.max("__n")).first()
-        limit = max(self.segment_rows, (total or 0) // MAX_HOT_KEYS)
+        limit = max(self.segment_rows, (total or 0) // MAX_CUTS)
         if not largest or largest <= limit:
             self.df = self.df.withColumn(SEG, F.lit(0))
             return
         self.split = True
         pieces = min(MAX_SEGMENTS, -(-largest // limit))
         points = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-        value = F.percentile_approx(F.col(cut_on).cast("double"), points, F.lit(pieces * 50))
-        if self.keys:
-            hot = counts.filter(F.col("__n") > limit).select(*self.keys)
-            found = (
-                self.df.join(F.broadcast(hot), self.keys, "left_semi")
-                .groupBy(*self.keys)
-                .agg(value.alias("__cuts"))
-            )
-            # at most MAX_HOT_KEYS rows of MAX_SEGMENTS numbers; fixed here so that every
-            # reader of the plan sees the same cuts
-            local = self.df.sparkSession.createDataFrame(found.collect(), found.schema)
-            joined = self.df.join(F.broadcast(local), self.keys, "left")
-            cuts = F.col("__cuts")
-        else:
-            joined = self.df
-            cuts = F.array(*[F.lit(float(x)) for x in self.df.agg(value).first()[0]])
+        value = F.percentile_approx(F.col(cut_on).cast("double"), points, F.lit(min(100_000, pieces * 50)))
         here = F.col(cut_on).cast("double")
+        if not self.keys:
+            heads, cuts = _two_levels(list(self.df.agg(value).first()[0]))
+            lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+            self.df = self.df.withColumn(SEG, _segment(lit(heads), lit(cuts), here))
+            return
+        hot = counts.filter(F.col("__n") > limit)
+        found = (
+            self.df.join(F.broadcast(hot), self.keys)
+            .groupBy(*self.keys).agg(value.alias("__cuts"), F.max("__n").alias("__n"))
+        )
+        # a key keeps one cut per limit, so all keys together keep at most 2 * MAX_CUTS numbers;
+        # they are fixed here so that every reader of the plan sees the same cuts
+        rows = []
+        for r in found.toLocalIterator():
+            want = min(pieces, -(-r["__n"] // limit))
+            kept = [r["__cuts"][round(i * pieces / want) - 1] for i in range(1, want)]
+            rows.append((*[r[k] for k in self.keys], *_two_levels(kept)))
+        schema = found.select(*self.keys, F.col("__cuts").alias("__heads"), "__cuts").schema
+        local = self.df.sparkSession.createDataFrame(rows, schema)
+        joined = self.df.join(F.broadcast(local), self.keys, "left")
         self.df = joined.withColumn(
-            SEG, F.coalesce(F.size(F.filter(cuts, lambda c: c < here)), F.lit(0))
-        ).drop("__cuts")
+            SEG, F.coalesce(_segment(F.col("__heads"), F.col("__cuts"), here), F.lit(0))
+        ).drop("__heads", "__cuts")
 
     # -- building blocks -------------------------------------------------------------
 
