@@ -46,6 +46,9 @@ def _(t):
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n", r6(F.col("mean_value")).alias("mean_value"))
 
 
-@query("Z3_stream_turns")
+@query("Z3_stream_turns", """SELECT epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 12 HOUR) AS end_us, user_id, count(*) AS n FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
+  GROUP BY user_id, session HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def _(t):
-    return finish(sw.stream_turns(stream(t), "12 hours", "1 day", ["user_id"]))
+    out = finish(sw.stream_turns(stream(t), "12 hours", "1 day", ["user_id"]))
+    return out.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "user_id", "n")
