@@ -72,12 +72,12 @@ def check(spark, con, name, run, sql, sf_dir):
 def main() -> int:
     import duckdb
 
-    from anchorgrid.plans import load_all
+    import __spark_entry__
     from anchorgrid.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     wanted = sys.argv[2:]
-    queries, oracles = load_all()
+    queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     spark = local_session()
     con = duckdb.connect()
     sf_dir = f"/root/testdata/sf{sf}"
