@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from anchorgrid.llm.mixing import mix
+from anchorgrid.llm.sharding import shard_documents
 from anchorgrid.llm.substring_dedup import substring_dedup
 
 QUERIES = {}
@@ -43,3 +45,34 @@ FROM w LEFT JOIN lost USING (doc_id)
 def op1(spark, sf_dir):
     """Words left of every document once windows of 13 words that a smaller doc_id holds are removed."""
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+MIX = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER below, 0))::DOUBLE
+               / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0))::DOUBLE AS level FROM w
+      WINDOW below AS (ORDER BY (3 * source_size)::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN level * weight >= 3 * source_size THEN 3.0::DOUBLE * source_size
+        ELSE weight * (SELECT max(level) FROM l AS o WHERE o.level * o.weight < 3 * o.source_size) END AS target FROM l),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+q AS (SELECT *, greatest(0, round(target)::BIGINT - whole * source_size) AS rest FROM r)
+SELECT doc_id, size, source_size, target, (whole * size + least(size, greatest(0, rest - coalesce(sum(size) OVER
+  (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::BIGINT AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+"""
+
+
+@query("op4_mix_sources", MIX)
+def op4(spark, sf_dir):
+    """Words of every document that a mix of all sources by weight 1, 2, 3 takes, at most three passes of a source."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_shard_by_bytes")
+def op9(spark, sf_dir):
+    """All documents in 24 shards of near-equal bytes."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_documents(documents).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
