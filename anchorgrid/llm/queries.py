@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorgrid.llm.mixing import mix
+from anchorgrid.llm.nearest import nearest
 from anchorgrid.llm.sharding import shard_documents
 from anchorgrid.llm.substring_dedup import substring_dedup
+from anchorgrid.llm.warc import archive_round_trip
 
 QUERIES = {}
 ORACLES = {}
@@ -76,3 +78,34 @@ def op9(spark, sf_dir):
     """All documents in 24 shards of near-equal bytes."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_documents(documents).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+NEAREST = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)]) AS score
+      FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op5_nearest_by_product", NEAREST)
+def op5(spark, sf_dir):
+    """The 20 nearest of every 20th vector among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors.where("vec_id % 20 = 0"), vectors)
+
+
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM f
+"""
+
+
+@query("op8_warc_round_trip", WARC)
+def op8(spark, sf_dir):
+    """Every page written to WARC archives and read back."""
+    return archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
