@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from anchorgrid.llm.mixing import mix
 from anchorgrid.llm.nearest import nearest
+from anchorgrid.llm.quality import fit_quality, held_out, score_quality
 from anchorgrid.llm.sharding import shard_documents
 from anchorgrid.llm.substring_dedup import substring_dedup
 from anchorgrid.llm.warc import archive_round_trip
@@ -109,3 +110,12 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 def op8(spark, sf_dir):
     """Every page written to WARC archives and read back."""
     return archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op3_quality_field")
+def op3(spark, sf_dir):
+    """Quality score of every document by a field fitted on labelled documents outside the held-out fifth."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = fit_quality(documents, table(spark, sf_dir, "labels"))
+    scored = score_quality(documents, field)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
