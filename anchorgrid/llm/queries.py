@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from anchorgrid.llm.decontaminate import leaks
 from anchorgrid.llm.mixing import mix
 from anchorgrid.llm.nearest import nearest
 from anchorgrid.llm.quality import fit_quality, held_out, score_quality
@@ -119,3 +120,9 @@ def op3(spark, sf_dir):
     field = fit_quality(documents, table(spark, sf_dir, "labels"))
     scored = score_quality(documents, field)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query("op6_template_leaks")
+def op6(spark, sf_dir):
+    """Benchmark passages found in all documents, also with other numbers, names and units."""
+    return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
