@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorgrid.llm.decontaminate import leaks
+from anchorgrid.llm.minhash import near_duplicates
 from anchorgrid.llm.mixing import mix
 from anchorgrid.llm.nearest import nearest
 from anchorgrid.llm.quality import fit_quality, held_out, score_quality
@@ -126,3 +127,22 @@ def op3(spark, sf_dir):
 def op6(spark, sf_dir):
     """Benchmark passages found in all documents, also with other numbers, names and units."""
     return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+NEAR = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [words]
+        ELSE [words[i : i + 3] FOR i IN range(1, len(words) - 2)] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reach AS (WITH RECURSIVE r(root, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.root, link.b FROM r JOIN link ON link.a = r.node) SELECT root, min(node) AS least FROM r GROUP BY root)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id, doc_id = coalesce(least, doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON root = doc_id
+"""
+
+
+@query("op2_near_duplicates", NEAR)
+def op2(spark, sf_dir):
+    """Components of documents that share at least 80 of 100 of their word 4-shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
