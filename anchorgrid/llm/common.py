@@ -21,7 +21,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     What follows re-reads files instead of replaying what lies before, also after losing an executor.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

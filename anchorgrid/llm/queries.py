@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorgrid.llm.decontaminate import leaks
+from anchorgrid.llm.html_wrappers import main_text
+from anchorgrid.llm.line_dedup import line_classes
 from anchorgrid.llm.minhash import near_duplicates
 from anchorgrid.llm.mixing import mix
 from anchorgrid.llm.nearest import nearest
 from anchorgrid.llm.quality import fit_quality, held_out, score_quality
-from anchorgrid.llm.sharding import shard_documents
+from anchorgrid.llm.sharding import shard_table
 from anchorgrid.llm.substring_dedup import substring_dedup
 from anchorgrid.llm.warc import archive_round_trip
 
@@ -79,8 +81,7 @@ def op4(spark, sf_dir):
 @query("op9_shard_by_bytes")
 def op9(spark, sf_dir):
     """All documents in 24 shards of near-equal bytes."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shard_documents(documents).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return shard_table(table(spark, sf_dir, "documents"))
 
 
 NEAREST = """
@@ -146,3 +147,30 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON root = doc_id
 def op2(spark, sf_dir):
     """Components of documents that share at least 80 of 100 of their word 4-shingles."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_main_text")
+def op10(spark, sf_dir):
+    """Main text of every page along the wrapper of its host."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+LINES = r"""
+WITH r AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM documents WHERE text IS NOT NULL),
+l AS (SELECT line, min((doc_id, line_no)) AS place, count(*) AS n_rows, length(line) AS n FROM r WHERE line <> '' GROUP BY line),
+link AS (SELECT a.line AS a, b.line AS b FROM l AS a JOIN l AS b ON a.n >= 24 AND b.n BETWEEN a.n AND a.n + 2 AND b.n >= 24
+  AND a.line <> b.line AND levenshtein(a.line, b.line) <= 2
+  AND (substr(a.line, 1, a.n // 3) = substr(b.line, 1, a.n // 3) OR contains(b.line, substr(a.line, 1 + a.n // 3, a.n // 3)) OR right(a.line, a.n // 3) = right(b.line, a.n // 3))),
+two AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (WITH RECURSIVE s(root, node) AS (SELECT a, a FROM two UNION SELECT s.root, two.b FROM s JOIN two ON two.a = s.node) SELECT root, min(l.place) AS class FROM s JOIN l ON l.line = s.node GROUP BY root),
+k AS (SELECT a AS line, count(*) AS n_links FROM two GROUP BY a)
+SELECT place[1] AS doc_id, place[2]::INTEGER AS line_no, n_rows, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(class, place)[1] AS class_doc_id,
+  coalesce(class, place)[2]::INTEGER AS class_line_no, coalesce(class, place) = place AS kept
+FROM l LEFT JOIN k USING (line) LEFT JOIN reach ON root = line
+"""
+
+
+@query("op7_near_lines")
+def op7(spark, sf_dir):
+    """Classes of all different lines of all documents under two edits."""
+    return line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))

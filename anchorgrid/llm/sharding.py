@@ -15,6 +15,7 @@ from anchorgrid.llm.common import stash
 
 #: Leading bits of the key that name a cell; a row is compared only with the splitters of its cell.
 CELL_BITS = 12
+ADDED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
 def size_weighted_splitters(keyed: DataFrame, ranges: int, per_range: int) -> list[tuple[int, int]]:
@@ -77,21 +78,34 @@ def place(rows: DataFrame, shards: int = 24, ranges_per_shard: int = 32, per_ran
     ahead = F.col("range_bytes") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # the shard in which the middle of the row lies
     shard = F.least(F.lit(shards - 1), F.floor((2 * ahead + F.col("size")) * F.lit(float(shards)) / (2 * F.col("all_bytes"))))
-    placed = stash(placed.withColumn("shard", F.coalesce(shard, F.lit(0)).cast("int")).drop("k1", "k2", "range", "part", "range_bytes", "range_rows", "all_bytes"), "placed")
-    firsts = placed.groupBy("shard").agg(F.min("rank").alias("first"))  # one row per shard
+    placed = placed.withColumn("shard", F.coalesce(shard, F.lit(0)).cast("int")).drop("k1", "k2", "range", "part", "range_bytes", "range_rows", "all_bytes")
+    firsts = stash(placed.groupBy("shard").agg(F.min("rank").alias("first")), "firsts")  # one row per shard
     return placed.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("rank") - F.col("first")).drop("rank", "first")
 
 
+def sized(documents: DataFrame) -> DataFrame:
+    """``documents`` with size (UTF-8 bytes of the text plus 8), text_crc32 and text_key."""
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.withColumn("size", F.octet_length(text).cast("long") + 8)
+    return rows.withColumn("text_crc32", F.crc32(text.cast("binary"))).withColumn("text_key", F.xxhash64(text))
+
+
+def shard_table(documents: DataFrame, shards: int = 24, **parameters) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, without moving texts."""
+    rows = stash(sized(documents).select("doc_id", "size", "text_crc32", "text_key"), "sizes")
+    return _told(place(rows, shards, **parameters)).select("doc_id", *ADDED)
+
+
+def _told(placed: DataFrame) -> DataFrame:
+    return placed.withColumn("law", F.lit("bytes")).withColumn("slot", F.col("slot").cast("long")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def shard_documents(documents: DataFrame, shards: int = 24, **parameters) -> DataFrame:
     """Columns of ``documents`` plus size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Size is the UTF-8 bytes of the text (null: none) plus 8. Equal texts lie next to each other. Null doc_ids and repeated
     rows are placed like all others; an empty table gives no rows. Columns named like the added ones are replaced.
     """
-    text = F.coalesce("text", F.lit(""))
-    added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    rows = documents.drop(*added, "text_key", "k1", "k2", "range", "part", "rank", "cell")
-    rows = rows.withColumn("size", F.octet_length(text).cast("long") + 8).withColumn("text_crc32", F.crc32(text.cast("binary"))).withColumn("text_key", F.xxhash64(text))
-    placed = place(rows, shards, **parameters).drop("text_key")
-    placed = placed.withColumn("law", F.lit("bytes")).withColumn("slot", F.col("slot").cast("long")).withColumn("grown_shard", F.lit(None).cast("int"))
-    return placed.select([c for c in documents.columns if c not in added] + added)
+    rows = documents.drop(*ADDED, "text_key", "k1", "k2", "range", "part", "rank", "cell")
+    placed = place(sized(rows), shards, **parameters).drop("text_key")
+    return _told(placed).select([c for c in documents.columns if c not in ADDED] + ADDED)
