@@ -22,12 +22,12 @@ from anchorgrid.llm.components import connected_components
 _LINKED = "a long, b long, n long"
 
 
-def _segment(length, i: int, edits: int):
+def _segment(length, i, edits: int):
     """(start from 0, length) of segment ``i`` in a line of ``length`` characters; works on columns and on integers."""
     parts = edits + 1
     if isinstance(length, Column):
         k, r = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-        return k * i + F.greatest(F.lit(0), i - parts + r), k + (r >= parts - i).cast("int")
+        return k * i + F.greatest(F.lit(0), i - F.lit(parts) + r), k + (r >= F.lit(parts) - i).cast("int")
     k, r = divmod(length, parts)
     return k * i + max(0, i - parts + r), k + (r >= parts - i)
 
@@ -157,22 +157,16 @@ def distinct_lines(documents: DataFrame) -> DataFrame:
 def edit_links(lines: DataFrame, edits: int, min_chars: int, block: int = 256) -> DataFrame:
     """Rows (a, b, null) that connect near lines and (a, null, links) to be summed, from (node, line)."""
     long = lines.where(F.length("line") >= min_chars).select("node", "line")
-    length = F.length("line")
-    key = lambda of, i, start, size: F.xxhash64(of, F.lit(i), F.expr("substring(line, 1, 0)") if size is None else F.substr("line", start + 1, size))
-    entries = []
-    for i in range(edits + 1):
-        start, size = _segment(length, i, edits)
-        entries.append(F.struct(key(length, i, start, size).alias("bucket"), F.lit(False).alias("probe"), F.lit(i).alias("segment"), F.lit(0).alias("shift")))
-        for delta in range(edits + 1):
-            shorter = length - F.lit(delta)
-            start, size = _segment(shorter, i, edits)
-            for shift in _shifts(delta, i, edits):
-                if delta == 0 and shift == 0:
-                    continue  # lines as long meet with their own segments
-                fits = (shorter >= min_chars) & (start + shift >= 0) & (start + shift + size <= length)
-                entry = F.struct(key(shorter, i, start + shift, size).alias("bucket"), F.lit(True).alias("probe"), F.lit(i).alias("segment"), F.lit(shift).alias("shift"))
-                entries.append(F.when(fits, entry))
-    spread = long.select("node", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.bucket", "node", "e.probe", "e.segment", "e.shift")
+    # lines as long meet with their own segments, so a probe without shift is made for shorter ones only
+    entries = [(False, i, 0, 0) for i in range(edits + 1)]
+    entries += [(True, i, d, s) for i in range(edits + 1) for d in range(edits + 1) for s in _shifts(d, i, edits) if d or s]
+    tuples = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("probe", "segment", "delta", "shift"), e)]) for e in entries])
+    spread = long.withColumn("e", F.explode(tuples)).select("node", "line", "e.*").withColumn("length", F.length("line"))
+    start, size = _segment(F.col("length") - F.col("delta"), F.col("segment"), edits)
+    spread = spread.withColumn("start", start + F.col("shift")).withColumn("size", size)
+    spread = spread.where((F.col("length") - F.col("delta") >= min_chars) & (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("length")))
+    bucket = F.xxhash64(F.col("length") - F.col("delta"), "segment", F.substr("line", F.col("start") + 1, F.col("size")))
+    spread = spread.select(bucket.alias("bucket"), "node", "probe", "segment", "shift")
     # one exchange serves both the count and the join
     spread = spread.repartition("bucket")
     shared = spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("probe").alias("probe"), F.sum((~F.col("probe")).cast("long")).alias("n"))

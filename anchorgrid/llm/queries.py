@@ -170,7 +170,7 @@ FROM l LEFT JOIN k USING (line) LEFT JOIN reach ON root = line
 """
 
 
-@query("op7_near_lines")
+@query("op7_near_lines", LINES)
 def op7(spark, sf_dir):
     """Classes of all different lines of all documents under two edits."""
     return line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
