@@ -7,7 +7,7 @@ word by word; each gets the smallest doc_id that holds it. A window of a larger
 words it covers are removed.
 
 Hot minimisers: pairs that make up more than a fixed share of a sample come last in the order, so hardly any
-window has one. Windows that still do, and those of a bucket larger than ``bucket_rows``, skip the
+window has one. Windows that still do, and those of a bucket much larger than its share, skip the
 sorting and are grouped by their whole text, with map-side aggregation and a join Spark splits when
 skewed. Both ways give the same answer, the sample only decides which is taken.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from anchorgrid.llm.common import coded, hash64, joined, mix, slices, stash, words_of
 
 _HOT = np.uint64(1 << 63)
-_PARTS = "key long, doc_id long, at int, packed string"
+_PARTS = "bucket long, hot boolean, packed binary"
 _RANGES = "doc_id long, at int, stop int, words string"
 
 
@@ -36,10 +36,41 @@ def _pairs(words: pa.Array) -> np.ndarray:
     return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> np.uint64(1) if len(h) > 1 else h[:0]
 
 
-def _super_kmers(width: int, hot: np.ndarray):
-    """Rows (key, doc_id, at, packed): runs of windows with one minimiser, ``at`` the first word's index."""
+def _pack(doc: np.ndarray, at: np.ndarray, texts: list[bytes]) -> bytes:
+    """Super-k-mers as one compressed string: count, doc_ids, places, lengths, texts."""
+    size = np.fromiter(map(len, texts), np.int32, len(texts))
+    raw = b"".join([np.int64(len(texts)).tobytes(), doc.astype(np.int64).tobytes(), at.astype(np.int32).tobytes(), size.tobytes(), *texts])
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(packed: list[bytes]) -> pa.Table:
+    docs, places, texts = [], [], []
+    for blob in packed:
+        raw = pa.decompress(blob[8:], int(np.frombuffer(blob, np.int64, 1)[0]), "zstd", asbytes=True)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        docs.append(np.frombuffer(raw, np.int64, n, 8))
+        places.append(np.frombuffer(raw, np.int32, n, 8 + 8 * n))
+        ends = 8 + 16 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int32, n, 8 + 12 * n), dtype=np.int64)])
+        texts.append(pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)]))
+    return pa.table({"doc_id": np.concatenate(docs), "at": np.concatenate(places), "packed": pa.chunked_array(texts)})
+
+
+def _super_kmers(width: int, hot: np.ndarray, buckets: int, flush_bytes: int = 16_000_000):
+    """Rows (bucket, hot, packed): runs of windows with one minimiser, those of a bucket packed together as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            bucket, is_hot, doc, at = (np.concatenate([h[i] for h in held]) for i in range(4))
+            texts = [t for h in held for t in h[4]]
+            order = np.lexsort((bucket, is_hot))
+            cuts = np.flatnonzero(np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (is_hot[order][1:] != is_hot[order][:-1])]))
+            groups = np.split(order, cuts[1:])
+            rows = [_pack(doc[g], at[g], [texts[i] for i in g.tolist()]) for g in groups]
+            return pa.record_batch([pa.array(bucket[order[cuts]]), pa.array(is_hot[order[cuts]]), pa.array(rows, pa.binary())], names=["bucket", "hot", "packed"])
+
         for batch in slices(batches, "text"):
             offsets, words = words_of(batch.column("text"))
             n = len(words)
@@ -67,16 +98,18 @@ def _super_kmers(width: int, hot: np.ndarray):
             text = joined(words)
             byte = np.concatenate([[0], np.cumsum(length + 1)])
             packed = [text[a:b] for a, b in zip(byte[starts].tolist(), (byte[ends + width] - 1).tolist())]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.record_batch(
-                [
-                    pa.array(key[starts].view(np.int64)),
-                    pa.array(ids[doc[starts]].astype(np.int64)),
-                    pa.array((starts - offsets[doc[starts]]).astype(np.int32)),
-                    pa.array(packed, pa.binary()).cast(pa.string()),
-                ],
-                names=["key", "doc_id", "at", "packed"],
-            )
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc[starts]].astype(np.int64)
+            at = starts - offsets[doc[starts]]
+            is_hot = key[starts] >= _HOT
+            # hot minimisers are spread anywhere: their windows are only passed on
+            spread = np.where(is_hot, mix(ids.view(np.uint64) + starts.astype(np.uint64)), mix(key[starts]))
+            held.append(((spread % np.uint64(buckets)).astype(np.int64), is_hot, ids, at, packed))
+            size += int(byte[ends + width].sum() - byte[starts].sum())
+            if size >= flush_bytes:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     return run
 
@@ -87,14 +120,14 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(pair.view(np.int64)), pa.array(count.astype(np.int64))], names=["pair", "n"])
 
 
-def hot_pairs(documents: DataFrame, one_in: int, share: int) -> np.ndarray:
-    """Word pairs with more than 1/``share`` of a document sample's pairs: fewer than ``share`` values."""
+def hot_pairs(documents: DataFrame, one_in: int, share: int) -> tuple[np.ndarray, int]:
+    """(word pairs with more than 1/``share`` of a document sample's pairs, pairs in all by the sample): fewer than ``share`` values."""
     sample = documents.where((F.xxhash64("doc_id") % one_in) == 0)
     counts = sample.mapInArrow(_pair_counts, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = stash(counts, "pairs")
-    total = counts.agg(F.sum("n").alias("n"))
-    rows = counts.crossJoin(F.broadcast(total.select(F.col("n").alias("total")))).where(F.col("n") * share > F.col("total")).select("pair").collect()
-    return np.sort(np.array([r.pair for r in rows], np.int64).view(np.uint64))
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    rows = counts.where(F.col("n") * share > total).select("pair").collect()
+    return np.sort(np.array([r.pair for r in rows], np.int64).view(np.uint64)), total * one_in
 
 
 def _emit(doc, at, stop, words) -> pa.RecordBatch:
@@ -155,57 +188,49 @@ def _single_windows(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
         yield _emit(piece.column("doc_id").to_numpy()[row], at, at + width, [" ".join(text[p : p + width]) for p in pos.tolist()])
 
 
-def _buckets(width: int, bucket_rows: int, chunk_rows: int = 30_000):
+def _buckets(width: int, bucket_windows: int):
+    """Rows sorted by bucket: one bucket at a time, one that is too large goes on as single windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        rows, spilled = 0, None  # spilled: the key whose bucket was found to be too large
-
-        def whole(table):
-            hot = pc.less(table.column("key"), 0)  # hot minimisers have the top bit
-            if pc.any(hot).as_py():
-                yield from _single_windows(table.filter(hot), width)
-                table = table.filter(pc.invert(hot))
-            if table.num_rows:
-                found = _sorted_bucket(table, width)
-                if found is not None:
-                    yield found
+        held: list[bytes] = []
+        now, size = None, 0
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            found = _sorted_bucket(_unpack(held), width) if held else None
+            if found is not None:
+                yield found
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if spilled is not None:
-                mine = pc.equal(table.column("key"), spilled)
-                yield from _single_windows(table.filter(mine), width)
-                table = table.filter(pc.invert(mine))
-                if not table.num_rows:
+            for bucket, hot, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hot", "packed"))):
+                if hot:
+                    yield from _single_windows(_unpack([packed]), width)
                     continue
-                spilled = None
-            held.append(table)
-            rows += table.num_rows
-            if rows < chunk_rows:
-                continue
-            table = pa.concat_tables(held).combine_chunks()
-            key = table.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on in the next batch
-            if cut:
-                yield from whole(table.slice(0, cut))
-            table = table.slice(cut)
-            if table.num_rows > bucket_rows:
-                yield from _single_windows(table, width)
-                spilled, table = int(key[-1]), table.slice(0, 0)
-            held, rows = [table], table.num_rows
-        if rows:
-            yield from whole(pa.concat_tables(held).combine_chunks())
+                if bucket != now:
+                    yield from whole()
+                    held, now, size = [], bucket, 0
+                if size is not None:
+                    held.append(packed)
+                    size += int(np.frombuffer(packed, np.int64, 1)[0])
+                    if size <= bucket_windows * 25:  # bytes a window takes before compression, at most
+                        continue
+                    size, waiting, held = None, held, []
+                else:
+                    waiting = [packed]
+                for blob in waiting:
+                    yield from _single_windows(_unpack([blob]), width)
+        yield from whole()
 
     return run
 
 
-def repeated_ranges(documents: DataFrame, width: int = 13, bucket_rows: int = 200_000, sample_one_in: int = 20, hot_share: int = 4000) -> DataFrame:
+def repeated_ranges(documents: DataFrame, width: int = 13, bucket_windows: int = 100_000, sample_one_in: int = 20, hot_share: int = 4000) -> DataFrame:
     """Rows (doc_id, at, stop): words at..stop-1 lie in windows that start in a smaller doc_id too. Ranges may overlap."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hot = hot_pairs(docs, sample_one_in, hot_share)
-    parts = docs.mapInArrow(_super_kmers(width, hot), _PARTS)
-    parts = parts.repartition(F.when(F.col("key") < 0, F.xxhash64("doc_id", "at")).otherwise(F.col("key"))).sortWithinPartitions("key")
-    found = stash(parts.mapInArrow(_buckets(width, bucket_rows), _RANGES), "repeats")
+    hot, pairs = hot_pairs(docs, sample_one_in, hot_share)
+    buckets = max(64, pairs // bucket_windows)  # grows with the input; a bucket takes four times its share before it counts as too large
+    parts = docs.mapInArrow(_super_kmers(width, hot, buckets), _PARTS)
+    parts = parts.repartition("bucket").sortWithinPartitions("bucket")
+    found = stash(parts.mapInArrow(_buckets(width, 4 * bucket_windows), _RANGES), "repeats")
     singles = found.where("words IS NOT NULL")
     least = singles.groupBy("words").agg(F.min("doc_id").alias("least"))
     late = singles.join(least, "words").where("least < doc_id").select("doc_id", "at", "stop")
