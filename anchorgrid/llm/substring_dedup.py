@@ -6,10 +6,11 @@ minimiser, so equal windows always meet. In the bucket the windows are sorted an
 word by word; each gets the smallest doc_id that holds it. A window of a larger doc_id is a repeat, and all
 words it covers are removed.
 
-Hot minimisers: pairs that make up more than a fixed share of a sample come last in the order, so hardly any
-window has one. Windows that still do, and those of a bucket much larger than its share, skip the
-sorting and are grouped by their whole text, with map-side aggregation and a join Spark splits when
-skewed. Both ways give the same answer, the sample only decides which is taken.
+Hot minimisers: pairs that make up more than a fixed share of a sample come last in the order, so only windows made
+of hot pairs alone have one. A census over all documents, pre-aggregated in the tasks, gives each of those windows its count and
+smallest doc_id; the few with more than a fixed share of the census are looked up where they stand and never
+travel, the others travel one by one by their own hash. A bucket much larger than its share skips the sorting and its windows are
+grouped by their whole text. All ways give the same answer, the sample only decides which is taken.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from anchorgrid.llm.common import coded, hash64, joined, mix, slices, stash, words_of
 
 _HOT = np.uint64(1 << 63)
-_PARTS = "bucket long, hot boolean, packed binary"
+_PARTS = "bucket long, packed binary, doc_id long, at int, stop int"
 _RANGES = "doc_id long, at int, stop int, words string"
 
 
@@ -55,65 +56,120 @@ def _unpack(packed: list[bytes]) -> pa.Table:
     return pa.table({"doc_id": np.concatenate(docs), "at": np.concatenate(places), "packed": pa.chunked_array(texts)})
 
 
-def _super_kmers(width: int, hot: np.ndarray, buckets: int, flush_bytes: int = 16_000_000):
-    """Rows (bucket, hot, packed): runs of windows with one minimiser, those of a bucket packed together as they come."""
+def _keys(words: pa.Array, width: int, hot: np.ndarray) -> np.ndarray:
+    """Minimiser of every run of ``width`` words, with the top bit where all its pairs are hot."""
+    pair = _pairs(words)
+    if len(hot):
+        pair = np.where(hot[np.minimum(np.searchsorted(hot, pair), len(hot) - 1)] == pair, pair | _HOT, pair)
+    least, span = pair, 1  # least pair of `span` neighbours, doubled up to width - 1
+    while span * 2 <= width - 1:
+        least, span = np.minimum(least[:-span], least[span:]), span * 2
+    rest = width - 1 - span
+    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
+
+def _inside(offsets: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document of each word, whether a window of one document starts at each of the first n - width + 1 words)."""
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    first = np.arange(n - width + 1)
+    return doc, first + width <= offsets[doc[first] + 1]
+
+
+def _hot_windows(width: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        for batch in slices(batches, "text"):
+            offsets, words = words_of(batch.column("text"))
+            if len(words) < width:
+                continue
+            doc, valid = _inside(offsets, len(words), width)
+            at = np.flatnonzero(valid & (_keys(words, width, hot) >= _HOT))
+            if len(at):
+                text = words.to_numpy(zero_copy_only=False)
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                rows = pa.table({"words": pa.array([" ".join(text[p : p + width]) for p in at.tolist()]), "doc_id": pa.array(ids[doc[at]].astype(np.int64))})
+                seen = rows.group_by("words").aggregate([("doc_id", "min"), ("doc_id", "count")])
+                yield from seen.rename_columns(["words", "least", "n"]).combine_chunks().to_batches()
+
+    return run
+
+
+def hot_windows(documents: DataFrame, width: int, hot: np.ndarray, share: int) -> dict[str, int]:
+    """Smallest doc_id of the windows that make up more than 1/``share`` of all windows of hot pairs: fewer than ``share``."""
+    if not len(hot):
+        return {}
+    census = documents.mapInArrow(_hot_windows(width, hot), "words string, least long, n long").groupBy("words")
+    census = stash(census.agg(F.min("least").alias("least"), F.sum("n").alias("n")), "hot-windows")
+    total = census.agg(F.sum("n").alias("n")).first().n or 0
+    return {r.words: r.least for r in census.where(F.col("n") * share > total).select("words", "least").collect()}
 
-        def flush() -> pa.RecordBatch:
-            bucket, is_hot, doc, at = (np.concatenate([h[i] for h in held]) for i in range(4))
-            texts = [t for h in held for t in h[4]]
-            order = np.lexsort((bucket, is_hot))
-            cuts = np.flatnonzero(np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (is_hot[order][1:] != is_hot[order][:-1])]))
-            groups = np.split(order, cuts[1:])
-            rows = [_pack(doc[g], at[g], [texts[i] for i in g.tolist()]) for g in groups]
-            return pa.record_batch([pa.array(bucket[order[cuts]]), pa.array(is_hot[order[cuts]]), pa.array(rows, pa.binary())], names=["bucket", "hot", "packed"])
 
+def _super_kmers(width: int, hot: np.ndarray, known: dict[str, int], buckets: int, flush_bytes: int = 16_000_000):
+    """Rows (bucket, packed): runs of windows with one minimiser, those of a bucket packed together as they come.
+
+    Rows without ``packed`` are ranges (doc_id, at, stop) found on the way, from windows in ``known``.
+    """
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        bucket, doc, at = (np.concatenate([h[i] for h in held]) for i in range(3))
+        texts = [t for h in held for t in h[3]]
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
+        rows = [_pack(doc[g], at[g], [texts[i] for i in g.tolist()]) for g in np.split(order, cuts[1:])]
+        none = [None] * len(rows)
+        return _parts(bucket[order[cuts]], rows, none, none, none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for batch in slices(batches, "text"):
             offsets, words = words_of(batch.column("text"))
             n = len(words)
             if n < width:
                 continue
-            pair = _pairs(words)
-            if len(hot):
-                pair = np.where(hot[np.minimum(np.searchsorted(hot, pair), len(hot) - 1)] == pair, pair | _HOT, pair)
-            least, span = pair, 1  # least pair of `span` neighbours, doubled up to width - 1
-            while span * 2 <= width - 1:
-                least, span = np.minimum(least[:-span], least[span:]), span * 2
-            rest = width - 1 - span
-            key = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            first = np.arange(n - width + 1)
-            valid = first + width <= offsets[doc[first] + 1]
+            key = _keys(words, width, hot)
+            doc, valid = _inside(offsets, n, width)
+            cold = valid & (key < _HOT)
             same = np.zeros(len(key), bool)
-            same[1:] = valid[1:] & valid[:-1] & (key[1:] == key[:-1]) & (doc[first[1:]] == doc[first[:-1]])
-            starts = np.flatnonzero(valid & ~same)
-            follows = np.append(same[1:], False)
-            ends = np.flatnonzero(valid & ~follows)
-            if not len(starts):
-                continue
-            length = pc.binary_length(words).to_numpy().astype(np.int64)
+            same[1:] = cold[1:] & cold[:-1] & (key[1:] == key[:-1]) & (doc[1 : len(key)] == doc[: len(key) - 1])
+            starts = np.flatnonzero(cold & ~same)
+            ends = np.flatnonzero(cold & ~np.append(same[1:], False))
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             text = joined(words)
-            byte = np.concatenate([[0], np.cumsum(length + 1)])
-            packed = [text[a:b] for a, b in zip(byte[starts].tolist(), (byte[ends + width] - 1).tolist())]
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc[starts]].astype(np.int64)
-            at = starts - offsets[doc[starts]]
-            is_hot = key[starts] >= _HOT
-            # hot minimisers are spread anywhere: their windows are only passed on
-            spread = np.where(is_hot, mix(ids.view(np.uint64) + starts.astype(np.uint64)), mix(key[starts]))
-            held.append(((spread % np.uint64(buckets)).astype(np.int64), is_hot, ids, at, packed))
-            size += int(byte[ends + width].sum() - byte[starts].sum())
+            byte = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)])
+            cut = lambda a, b: [text[x:y] for x, y in zip(byte[a].tolist(), (byte[b + width] - 1).tolist())]
+            single = np.flatnonzero(valid & (key >= _HOT))
+            if len(single):
+                found = [known.get(t.decode()) for t in cut(single, single)]
+                met = np.array([x is not None for x in found])
+                least = np.array([0 if x is None else x for x in found], np.int64)
+                late = single[met & (least < ids[doc[single]].astype(np.int64))]
+                if len(late):
+                    apart = np.concatenate([[True], (np.diff(late) != 1) | (doc[late[1:]] != doc[late[:-1]])])
+                    a, b = late[apart], late[np.append(apart[1:], True)]
+                    base = offsets[doc[a]]
+                    yield _parts(mix(ids[doc[a]].astype(np.uint64)) % np.uint64(buckets), [None] * len(a), ids[doc[a]].astype(np.int64), a - base, b + width - base)
+                single = single[~met]
+            places, lasts = np.concatenate([starts, single]), np.concatenate([ends, single])
+            if not len(places):
+                continue
+            packed = cut(places, lasts)
+            route = np.concatenate([mix(key[starts]), hash64(pa.array(packed[len(starts) :], pa.binary()))])
+            held.append(((route % np.uint64(buckets)).astype(np.int64), ids[doc[places]].astype(np.int64), places - offsets[doc[places]], packed))
+            size += int((byte[lasts + width] - byte[places]).sum())
             if size >= flush_bytes:
-                yield flush()
+                yield flush(held)
                 held, size = [], 0
         if held:
-            yield flush()
+            yield flush(held)
 
     return run
 
 
+def _parts(bucket, packed, doc, at, stop) -> pa.RecordBatch:
+    arrays = [pa.array(np.asarray(bucket).astype(np.int64)), pa.array(packed, pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(stop, pa.int32())]
+    return pa.record_batch(arrays, names=["bucket", "packed", "doc_id", "at", "stop"])
+
+
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         pair, count = np.unique(_pairs(words_of(batch.column("text"))[1]), return_counts=True)
@@ -201,10 +257,11 @@ def _buckets(width: int, bucket_windows: int):
                 yield found
 
         for batch in batches:
-            for bucket, hot, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hot", "packed"))):
-                if hot:
-                    yield from _single_windows(_unpack([packed]), width)
-                    continue
+            ranges = batch.filter(pc.is_null(batch.column("packed")))
+            if ranges.num_rows:
+                yield _emit(ranges.column("doc_id"), ranges.column("at"), ranges.column("stop"), [None] * ranges.num_rows)
+            batch = batch.filter(pc.is_valid(batch.column("packed")))
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist()):
                 if bucket != now:
                     yield from whole()
                     held, now, size = [], bucket, 0
@@ -223,12 +280,13 @@ def _buckets(width: int, bucket_windows: int):
     return run
 
 
-def repeated_ranges(documents: DataFrame, width: int = 13, bucket_windows: int = 100_000, sample_one_in: int = 20, hot_share: int = 4000) -> DataFrame:
+def repeated_ranges(documents: DataFrame, width: int = 13, bucket_windows: int = 100_000, sample_one_in: int = 20, hot_share: int = 4000, window_share: int = 10_000) -> DataFrame:
     """Rows (doc_id, at, stop): words at..stop-1 lie in windows that start in a smaller doc_id too. Ranges may overlap."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     hot, pairs = hot_pairs(docs, sample_one_in, hot_share)
     buckets = max(64, pairs // bucket_windows)  # grows with the input; a bucket takes four times its share before it counts as too large
-    parts = docs.mapInArrow(_super_kmers(width, hot, buckets), _PARTS)
+    known = hot_windows(docs, width, hot, window_share)
+    parts = docs.mapInArrow(_super_kmers(width, hot, known, buckets), _PARTS)
     parts = parts.repartition("bucket").sortWithinPartitions("bucket")
     found = stash(parts.mapInArrow(_buckets(width, 4 * bucket_windows), _RANGES), "repeats")
     singles = found.where("words IS NOT NULL")
