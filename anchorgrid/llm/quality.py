@@ -64,9 +64,9 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ], axis=1)
     edge = np.zeros(len(n), bool)
     edge[first[:-1][np.diff(first) > 0]] = True
-    before = np.vstack([np.zeros((1, OWN)), own[:-1]]) * ~edge[:, None]
-    last = np.append(edge[1:], True)
-    after = np.vstack([own[1:], np.zeros((1, OWN))]) * ~last[:, None]
+    before = np.vstack([np.zeros((1, OWN)), own[:-1]])[: len(own)] * ~edge[:, None]
+    last = np.append(edge[1:], True)[: len(own)]
+    after = np.vstack([own[1:], np.zeros((1, OWN))])[: len(own)] * ~last[:, None]
     return np.hstack([own, before, after, np.ones((len(n), 1))]), length + 1, first
 
 
