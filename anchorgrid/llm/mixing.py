@@ -56,9 +56,11 @@ def mix(documents: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1
     slots = docs.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
     slots = slots.withColumn("slot_before", F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot")) - F.col("slot_size"))
     ends = slots.join(targets, slots.source.eqNullSafe(targets.source)).where("slot_before <= rest AND rest < slot_before + slot_size")
-    ends = ends.select(slots.source.alias("end_source"), F.col("slot").alias("end_slot"), F.col("slot_before"))
+    ends = ends.select(slots.source.alias("end_source"), F.col("slot").alias("end_slot"))
     targets = targets.join(ends, targets.source.eqNullSafe(F.col("end_source")), "left").drop("end_source").withColumnRenamed("source", "of")
-    placed = docs.join(targets, docs.source.eqNullSafe(F.col("of")))
+    # the rows of a source meet its target slot by slot, so a large source is spread
+    per_slot = slots.withColumnRenamed("source", "of_source").join(targets, F.col("of_source").eqNullSafe(F.col("of"))).drop("of", "slot_size").withColumnRenamed("slot", "of_slot")
+    placed = docs.join(per_slot, (F.col("slot") == F.col("of_slot")) & F.col("source").eqNullSafe(F.col("of_source")))
     last = F.col("slot") == F.col("end_slot")
     within = Window.partitionBy("source", "slot").orderBy("row_key", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("slot_before") + F.coalesce(F.sum("size").over(within), F.lit(0))

@@ -132,7 +132,11 @@ class LineField:
 
 def fit(texts: pa.Array, labels: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> LineField:
     """Fit by Adam on the penalised log likelihood of the label sequences. Without rows the field scores 0.5."""
-    x, length, first = line_features(texts)
+    # in pieces, so that only the features of lines are held at once and not those of words
+    pieces = [line_features(b.column(0)) for b in slices(iter([pa.record_batch([texts], names=["text"])]), "text")] or [line_features(texts)]
+    x, length = np.vstack([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in pieces]))]).astype(np.int64)
+    del pieces
     mean, deviation = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     mean[-1], deviation[-1] = 0.0, 1.0  # the constant
     deviation = np.where(deviation > 1e-9, deviation, 1.0)
@@ -178,7 +182,7 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, most: int = 5000, most_chars: int = 100_000) -> LineField:
+def fit_quality(documents: DataFrame, labels: DataFrame, most: int = 2000, most_chars: int = 100_000) -> LineField:
     """A field fitted on the driver: at most ``most`` texts of at most ``most_chars`` characters."""
     rows = training_rows(documents, labels, most, most_chars).toArrow()
     return fit(rows.column("text").combine_chunks(), rows.column("quality").to_numpy().astype(np.int64))
