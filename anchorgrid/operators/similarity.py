@@ -336,9 +336,9 @@ def fold_separability(trajectories_: DataFrame, folds: DataFrame, keys: list[str
     state = rows.groupBy(*by).agg(
         F.countDistinct(F.when(F.col("split") == "train", F.col("label"))).alias("__c"),
         F.sum((F.col("split") == "validation").cast("int")).alias("__v"), F.sum((F.col("split") == "test").cast("int")).alias("__t"))
-    reason = (F.when(F.col("__c") < 2, "observed training references do not contain both classes")
-              .when(F.col("__v") == 0, "validation split contains no usable trajectories")
-              .when(F.col("__t") == 0, "test split contains no usable trajectories"))
+    reason = (F.when(F.col("__c") < 2, "one_class_in_train")
+              .when(F.col("__v") == 0, "no_validation")
+              .when(F.col("__t") == 0, "no_test"))
     state = state.select(*by, reason.alias("reason"))
     usable = rows.join(state.filter("reason is null").select(*by), by, "left_semi")
 

@@ -463,7 +463,7 @@ def _(t):
     return good.select("model", "variant", "seed", "left_ms", "right_ms", r6(F.col("mean")).alias("mean"))
 
 
-@query("A35_collection_issues", f"""SELECT model, family, variant, seed, CASE WHEN family LIKE '%robot%' THEN 'unsupported dataset source robot' ELSE 'window bounds are empty' END AS issue
+@query("A35_collection_issues", f"""SELECT model, family, variant, seed, CASE WHEN family LIKE '%robot%' THEN 'source_unknown robot' ELSE 'window bounds are empty' END AS issue
   FROM ({_RUNS}) WHERE family LIKE '%robot%' OR (family LIKE '%_wR-m%' AND 500 - 100 * (1 + seed) <= 0)""")
 def _(t):
     return rl.collect_results(runs(t))[1]

@@ -91,7 +91,7 @@ def test_names(spark):
     got = [tuple(r) for r in df.select(naming.parse_family(F.col("n")).alias("f")).select("f.*").collect()]
     assert got[0] == ("cue", "listener", False, -500, 1500, None)
     assert got[1] == ("scope", "speaker", True, 250, 250, None)
-    assert got[2][5] == "unsupported dataset source cat" and got[3][5] == "window bounds are empty"
+    assert got[2][5] == "source_unknown cat" and got[3][5] == "window bounds are empty"
     ids = spark.createDataFrame([('Word:[-5, r"Player:[2, s\\"a\\"]", 7]',), ("Word:abc",)], "n string")
     parsed = [r[0] for r in ids.select(naming.parse_word_id(F.col("n"))).collect()]
     assert tuple(parsed[0]) == (-5, 2, "a", 7) and parsed[1] is None
