@@ -172,14 +172,14 @@ def near_duplicates(documents: DataFrame, width: int = 4, percent: int = 80, ban
         mixed = of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
         return of.join(mixed, "bucket")
 
-    found, open_members = None, members.withColumn("component", F.col("node"))
+    found = None
     for turn in range(2):
-        centre = open_members.groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node") if turn else F.col("node")).alias("a"))
-        star = open_members.join(centre, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        centre = members.groupBy("bucket").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node") if turn else F.col("node")).alias("a"))
+        star = members.join(centre, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
         best = likely(star).groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a"))  # one pair per member
         links = stash(confirmed(best), "links")
         found = links if found is None else found.unionByName(links)
-        open_members = stash(placed(found), "open")
+    open_members = stash(placed(found), "open")
     finer = sets.join(open_members.select("node").distinct(), "node", "left_semi").mapInArrow(_longer(longer), "node long, longer array<long>")
     left = open_members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).join(planes, "node").join(stash(finer, "longer"), "node")
     own = lambda side: [F.col(c).alias(f"{n}{side}") for c, n in (("node", ""), ("component", "c"), ("planes", "p"), ("longer", "l"), ("bands", "b"))]
