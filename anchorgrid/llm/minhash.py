@@ -183,13 +183,17 @@ def near_duplicates(documents: DataFrame, width: int = 4, percent: int = 80, ban
     finer = sets.join(open_members.select("node").distinct(), "node", "left_semi").mapInArrow(_longer(longer), "node long, longer array<long>")
     left = open_members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).join(planes, "node").join(stash(finer, "longer"), "node")
     own = lambda side: [F.col(c).alias(f"{n}{side}") for c, n in (("node", ""), ("component", "c"), ("planes", "p"), ("longer", "l"), ("bands", "b"))]
-    x = left.select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("cell"), *own("a"))
-    y = left.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cell"), *own("b"))
+    # every pair of blocks of a bucket is a cell of at most about ``block`` rows a side, so no cell needs to be split again
+    mine, others = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cell = ["bucket", "row", "col"]
+    x = left.select("bucket", mine.alias("row"), others.alias("col"), *own("a")).repartition(*cell)
+    y = left.select("bucket", others.alias("row"), mine.alias("col"), *own("b")).repartition(*cell)
     cross = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (estimate(F.col("pa"), F.col("pb"), hashes, bits) >= least)
     cross = cross & (estimate(F.col("la"), F.col("lb"), longer, 1) >= percent / 100 - longer_margin)
     # a pair that shares several buckets is made in the first only
     cross = cross & (F.get(F.array_intersect("ba", "bb"), F.lit(0)) == x["bucket"])
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (x["cell"] == y["cell"]) & cross).select("a", "b").distinct()
+    meet = (x["bucket"] == y["bucket"]) & (x["row"] == y["row"]) & (x["col"] == y["col"])
+    rest = x.join(y, meet & cross).select("a", "b").distinct()
     links = stash(found.unionByName(confirmed(rest)), "links")
     where = stash(connected_components(links), "components")
 
