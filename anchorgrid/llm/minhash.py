@@ -130,6 +130,40 @@ def estimate(x: Column, y: Column, hashes: int, bits: int) -> Column:
     return (agree / F.lit(float(hashes)) - F.lit(chance)) / F.lit(1 - chance)
 
 
+def _search(hashes: int, bits: int, least: float, longer: int, longer_least: float, most: int = 20_000):
+    """Pairs of different components of one cell whose two estimates reach the bounds, in their first common bucket only."""
+
+    def similarity(x: np.ndarray, y: np.ndarray, planes: int) -> np.ndarray:
+        words = x.shape[1] // planes
+        differ = np.bitwise_or.reduce((x ^ y).reshape(len(x), planes, words), axis=1)
+        chance = 2.0**-planes
+        return ((64 * words - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)) / (64.0 * words) - chance) / (1 - chance)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = [np.zeros((2, 0), np.int64)]
+        if x.num_rows and y.num_rows:
+            y = y.rename_columns([c.removesuffix("_b") for c in y.column_names])
+            (a, ca), (b, cb) = ([t.column(c).to_numpy() for c in ("node", "component")] for t in (x, y))
+            rows = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).view(np.uint64)
+            (pa_, la, ba), (pb, lb, bb) = ([rows(t, c) for c in ("planes", "longer", "bands")] for t in (x, y))
+            bucket = np.int64(x.column("bucket")[0].as_py()).view(np.uint64)
+            many = max(1, most // len(b))
+            for top in range(0, len(a), many):
+                i, j = np.nonzero((a[top : top + many, None] < b) & (ca[top : top + many, None] != cb))
+                i += top
+                keep = similarity(pa_[i], pb[j], bits) >= least
+                i, j = i[keep], j[keep]
+                keep = similarity(la[i], lb[j], 1) >= longer_least
+                i, j = i[keep], j[keep]
+                same = ba[i] == bb[j]
+                keep = ba[i, same.argmax(axis=1)] == bucket
+                found.append(np.stack([a[i[keep]], b[j[keep]]]))
+        out = np.hstack(found)
+        return pa.table({"a": out[0], "b": out[1]})
+
+    return run
+
+
 def near_duplicates(documents: DataFrame, width: int = 4, percent: int = 80, bands: int = 32, rows: int = 4, bits: int = 4, margin: float = 0.2, longer: int = 2048, longer_margin: float = 0.06, block: int = 512) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -182,18 +216,12 @@ def near_duplicates(documents: DataFrame, width: int = 4, percent: int = 80, ban
     open_members = stash(placed(found), "open")
     finer = sets.join(open_members.select("node").distinct(), "node", "left_semi").mapInArrow(_longer(longer), "node long, longer array<long>")
     left = open_members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).join(planes, "node").join(stash(finer, "longer"), "node")
-    own = lambda side: [F.col(c).alias(f"{n}{side}") for c, n in (("node", ""), ("component", "c"), ("planes", "p"), ("longer", "l"), ("bands", "b"))]
     # every pair of blocks of a bucket is a cell of at most about ``block`` rows a side, so no cell needs to be split again
     mine, others = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cell = ["bucket", "row", "col"]
-    x = left.select("bucket", mine.alias("row"), others.alias("col"), *own("a")).repartition(*cell)
-    y = left.select("bucket", others.alias("row"), mine.alias("col"), *own("b")).repartition(*cell)
-    cross = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (estimate(F.col("pa"), F.col("pb"), hashes, bits) >= least)
-    cross = cross & (estimate(F.col("la"), F.col("lb"), longer, 1) >= percent / 100 - longer_margin)
-    # a pair that shares several buckets is made in the first only
-    cross = cross & (F.get(F.array_intersect("ba", "bb"), F.lit(0)) == x["bucket"])
-    meet = (x["bucket"] == y["bucket"]) & (x["row"] == y["row"]) & (x["col"] == y["col"])
-    rest = x.join(y, meet & cross).select("a", "b").distinct()
+    own = ("node", "component", "planes", "longer", "bands")
+    x = left.select("bucket", mine.alias("row"), others.alias("col"), *own).groupBy("bucket", "row", "col")
+    y = left.select(F.col("bucket").alias("bucket_b"), others.alias("row_b"), mine.alias("col_b"), *(F.col(c).alias(f"{c}_b") for c in own)).groupBy("bucket_b", "row_b", "col_b")
+    rest = x.cogroup(y).applyInArrow(_search(hashes, bits, least, longer, percent / 100 - longer_margin), "a long, b long")
     links = stash(found.unionByName(confirmed(rest)), "links")
     where = stash(connected_components(links), "components")
 
