@@ -13,13 +13,6 @@ from anchorgrid.operators.ordered import attach_row, exact_quantile
 MIN_WINDOW = 4
 
 
-def ensemble_size(cases: int, points: int) -> tuple[int, int]:
-    """(configurations, longest window) by data size."""
-    if cases < 250:
-        return 50, 24
-    return (100, 44) if points < 100 else (150, 84)
-
-
 def configurations(spark, channels: int, points: int, size: int, max_window: int, seed: int = 42) -> DataFrame:
     """One row per configuration: channel, window, dilation, word length, binning, difference.
 

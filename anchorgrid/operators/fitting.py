@@ -6,16 +6,22 @@ Fits run distributed; the driver holds coefficients and the leaderboard, never r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorgrid.functions.values import sigmoid
 from anchorgrid.operators.folds import repeated_stratified_folds
 from anchorgrid.operators.metrics import threshold_metrics
+from anchorgrid.operators.ordered import attach_row
 from anchorgrid.operators.selection import anova_f
 
 # fixed values: ridge penalties, half decades from 1e-3 to 1e6
@@ -26,25 +32,50 @@ def vectors(df: DataFrame, features: str) -> DataFrame:
     return df.withColumn("__x", array_to_vector(F.col(features)))
 
 
-def ridge_grid(train: DataFrame, validation: DataFrame, features: str, label: str = "label", alphas=ALPHAS) -> tuple[DataFrame, float]:
-    """(validation rows with score and prediction, best alpha) of ridge on labels +-1.
+def ridge_grid(train: DataFrame, test: DataFrame, features: str, label: str = "label", alphas=ALPHAS) -> tuple[DataFrame, float]:
+    """(test rows with score and prediction, chosen alpha) of class-balanced ridge on labels +-1 with an intercept.
 
-    Features are scaled once; every alpha is one normal-equation fit over the cached rows. The
-    alpha with the best validation accuracy wins, the smaller one on a tie.
+    Features are divided by their deviation in ``train``. The alpha is the one with the least leave-one-out squared error of
+    the training rows, weighted by class, the smaller one on a tie; ``test`` is only scored. One Gram matrix (features x
+    features, the largest thing the driver holds) serves all alphas, a second pass over the rows sums their exact
+    leave-one-out errors.
     """
-    rows = vectors(train, features).withColumn("__t", 2.0 * F.col(label) - 1)
-    scaler = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True).fit(rows)
-    fit_rows, test_rows = scaler.transform(rows).cache(), scaler.transform(vectors(validation, features)).cache()
-    n, best = fit_rows.count(), None
-    for alpha in alphas:
-        # ml minimises the mean squared error / 2, so the summed penalty is divided by n
-        model = LinearRegression(featuresCol="__z", labelCol="__t", predictionCol="score", regParam=alpha / n,
-                                 elasticNetParam=0.0, standardization=False).fit(fit_rows)
-        scored = model.transform(test_rows).withColumn("prediction", (F.col("score") >= 0).cast("int"))
-        accuracy = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("int"))).first()[0]
-        if best is None or accuracy > best[0]:
-            best = (accuracy, alpha, scored)
-    return best[2].drop("__x", "__z"), best[1]
+    stats = Summarizer.metrics("variance", "count").summary(array_to_vector(F.col(features)))
+    sizes = train.groupBy((F.col(label) == 1).alias("positive")).agg(F.count(F.lit(1)).alias("n")).collect()  # two rows
+    spread = train.agg(stats.alias("m")).select("m.count", vector_to_array("m.variance").alias("v")).first()
+    n, scale = spread["count"], np.sqrt(np.asarray(spread["v"]) * (spread["count"] - 1) / spread["count"])
+    scale[scale == 0] = 1.0
+    weight = {r["positive"]: n / (len(sizes) * r["n"]) for r in sizes}
+    positive = F.col(label) == 1
+    rows = train.select(
+        F.col(features).alias("x"), F.when(positive, 1.0).otherwise(-1.0).alias("t"),
+        F.when(positive, weight.get(True, 1.0)).otherwise(weight.get(False, 1.0)).alias("w"))
+    root = F.sqrt("w")
+    wide = F.concat(F.array(root, root * F.col("t")), F.transform("x", lambda v: v.cast("double") * root))
+    matrix = MLUtils.convertVectorColumnsFromML(rows.select(array_to_vector(wide).alias("v")), "v")
+    gram = RowMatrix(matrix).computeGramianMatrix().toArray()
+    total, middle, mean = gram[0, 0], gram[0, 1] / gram[0, 0], gram[0, 2:] / gram[0, 0] / scale
+    centred = gram[2:, 2:] / np.outer(scale, scale) - total * np.outer(mean, mean)
+    values, axes = np.linalg.eigh(centred)
+    turned = axes.T @ (gram[1, 2:] / scale - total * middle * mean)
+    shrunk = np.maximum(values, 0.0)[:, None] + np.asarray(alphas)
+
+    def left_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            z = (np.stack(f["x"].to_numpy()) / scale - mean) @ axes
+            w = f["w"].to_numpy()[:, None]
+            error = f["t"].to_numpy()[:, None] - middle - z @ (turned[:, None] / shrunk)
+            leverage = w * (1 / total + z**2 @ (1 / shrunk))
+            yield pd.DataFrame({"place": range(len(alphas)), "loss": (w * (error / (1 - leverage)) ** 2).sum(axis=0)})
+
+    losses = rows.mapInPandas(left_out, "place int, loss double").groupBy("place").agg(F.sum("loss").alias("loss")).collect()  # a row per alpha
+    best = min(losses, key=lambda r: (r["loss"], alphas[r["place"]]))["place"]
+    coefficients = axes @ (turned / shrunk[:, best]) / scale
+    model = train.sparkSession.createDataFrame(
+        [(coefficients.tolist(), float(middle - coefficients @ (mean * scale)))], "__c array<double>, __b double")
+    dot = F.aggregate(F.zip_with(features, "__c", lambda x, c: x * c), F.lit(0.0), lambda acc, v: acc + v)
+    scored = attach_row(test, model).withColumn("score", dot + F.col("__b")).drop("__c", "__b")
+    return scored.withColumn("prediction", (F.col("score") >= 0).cast("int")), float(alphas[best])
 
 
 def classifier(kind: str, c: float = 1.0, rows: int = 1, l1_ratio: float = 0.5, seed: int = 42):

@@ -1,6 +1,6 @@
 """Bootstrap intervals and paired tests.
 
-Draw ``i`` of repetition ``b`` is row ``md5(seed:b:i) mod n``. Metrics that are functions of
+Draw ``i`` of repetition ``b`` is row ``md5(seed:b:i) mod n``, with 60 bits of the md5. Metrics that are functions of
 counts never touch the rows again: rows are put in cell order, so a drawn index falls into a
 cell by comparing it with a few boundaries. Only ranking metrics join draws to rows.
 """
@@ -12,7 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from anchorgrid.functions.hashing import draw
+from anchorgrid.functions.hashing import draw60
 from anchorgrid.operators.metrics import metric_columns, ranking_metrics
 from anchorgrid.operators.ordered import Ordered, attach_row
 
@@ -26,7 +26,7 @@ class ComparisonError(ValueError):
 def draws(spark, n: int, reps: int, seed: int = 42) -> DataFrame:
     """(rep, ix): n draws for every repetition; slots are spread over the cluster."""
     slots = spark.range(n).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    return slots.select("rep", (draw(seed, F.col("rep"), F.col("slot")) % n).alias("ix"))
+    return slots.select("rep", (draw60(seed, F.col("rep"), F.col("slot")) % n).alias("ix"))
 
 
 def percentile_interval(values: DataFrame, by: list[str], value: str = "value", level: float = 0.95) -> DataFrame:

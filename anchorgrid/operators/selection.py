@@ -7,15 +7,15 @@ few summary rows are exploded.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from anchorgrid.functions.hashing import draw60
 from anchorgrid.operators.folds import repeated_stratified_folds
-from anchorgrid.operators.matching import hashed_rank
 from anchorgrid.operators.ordered import attach_row
 
 TOP_OF_FAMILY, BONUS = 16, 0.05  # fixed values of the stable ranking
@@ -132,37 +132,47 @@ def allocate_budget(utilities: DataFrame, total: int, *, active: int = 12, minim
     return top.join(extra, "family", "left").select("family", (F.col("base") + F.coalesce("extra", F.lit(0))).alias("budget"))
 
 
-def suppress_redundant(df: DataFrame, features: str, id_column: str, ranking: DataFrame, budgets: DataFrame, *,
-                       pool_factor: int = 4, threshold: float = 0.98, sample_rows: int = 256, seed: int = 42) -> DataFrame:
+def suppress_redundant(df: DataFrame, features: str, ranking: DataFrame, budgets: DataFrame, *,
+                       pool_factor: int = 4, threshold: float = 0.98) -> DataFrame:
     """(family, ix, place): walk the ranked pool, keep a feature unless it repeats a kept one.
 
-    Correlations come from ``sample_rows`` rows in md5 order. A group is that sample for one
-    family's pool, so its size is fixed by the arguments.
+    Correlations come from all rows: every task sums the products of a family's centred pool, the sums are added by
+    position, and the walk sees one pool x pool matrix, whose size is fixed by the arguments. Constant features are left out.
     """
     pool = ranking.join(budgets, "family").filter(F.col("rank") <= F.greatest(F.col("budget"), F.col("budget") * pool_factor))
     listed = pool.groupBy("family").agg(
         F.max("budget").alias("budget"), F.array_sort(F.collect_list(F.struct("rank", "ix"))).alias("p")).select("family", "budget", F.col("p.ix").alias("pool"))
-    sample = hashed_rank(df.select(id_column, features), [], id_column, seed, "__r").filter(F.col("__r") <= sample_rows)
-    values = F.transform("pool", lambda i: F.get(features, i).cast("double"))
-    packed = listed.agg(F.collect_list(F.struct("family", "budget", "pool")).alias("f"))  # a row per family
-    rows = attach_row(sample, packed).withColumn("f", F.explode("f")).select("*", "f.*").select("family", "budget", "pool", values.alias("x"))
+    mean = df.agg(Summarizer.mean(array_to_vector(F.col(features))).alias("m")).select(vector_to_array("m").alias("__mean"))
+    packed = listed.agg(F.collect_list(F.struct("family", "pool")).alias("__f"))  # a row per family
+    values = F.transform("pool", lambda i: F.get("__v", i).cast("double") - F.get("__mean", i))
+    rows = attach_row(attach_row(df.select(F.col(features).alias("__v")), mean), packed).withColumn("__f", F.explode("__f")).select(
+        "__v", "__mean", "__f.*").select("family", values.alias("x"))
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for frame in frames:
+            for family, group in frame.groupby("family"):
+                x = np.stack(group["x"].to_numpy())
+                sums[family] = sums.get(family, 0.0) + x.T @ x
+        for family, s in sums.items():
+            i, j = np.tril_indices(len(s))
+            yield pd.DataFrame({"family": family, "i": i, "j": j, "s": s[i, j]})
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group["x"].to_numpy())
-        x = x - x.mean(axis=0)
-        norm = np.linalg.norm(x, axis=0)
-        alive = norm > np.finfo(float).eps
-        x[:, alive] /= norm[alive]
+        ids = np.asarray(group["pool"].iloc[0])
+        gram = np.zeros((len(ids), len(ids)))
+        gram[group["i"], group["j"]] = gram[group["j"], group["i"]] = group["s"]
+        norm = np.sqrt(np.diag(gram))
         chosen: list[int] = []
-        for j in np.flatnonzero(alive):
+        for j in np.flatnonzero(norm > np.finfo(float).eps):
             if len(chosen) == int(group["budget"].iloc[0]):
                 break
-            if not chosen or np.abs(x[:, chosen].T @ x[:, j]).max() < threshold:
+            if not chosen or np.abs(gram[chosen, j] / (norm[chosen] * norm[j])).max() < threshold:
                 chosen.append(int(j))
-        ids = np.asarray(group["pool"].iloc[0])
         return pd.DataFrame({"family": group["family"].iloc[0], "ix": ids[chosen], "place": range(len(chosen))})
 
-    return rows.groupBy("family").applyInPandas(keep, "family string, ix int, place int")
+    added = rows.mapInPandas(products, "family string, i int, j int, s double").groupBy("family", "i", "j").agg(F.sum("s").alias("s"))
+    return added.join(listed, "family").groupBy("family").applyInPandas(keep, "family string, ix int, place int")
 
 
 def assemble(df: DataFrame, features: str, order: list[int], name: str) -> DataFrame:

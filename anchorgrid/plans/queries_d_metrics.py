@@ -133,10 +133,10 @@ def _(t):
 
 # -- bootstrap ----------------------------------------------------------------------------------
 
-REPS = 200
+REPS = 2000
 _A = f"SELECT * FROM ({PREDS}) WHERE model = 'a'"
 _B = f"SELECT * FROM ({PREDS}) WHERE model = 'b'"
-_DRAW = f"""SELECT b.rep, ix, count(*) AS n FROM (SELECT rep, {h32("'42:' || rep || ':' || slot")} %% (SELECT count(*) FROM (%s)) AS ix
+_DRAW = f"""SELECT b.rep, ix, count(*) AS n FROM (SELECT rep, {h60("'42:' || rep || ':' || slot")} %% (SELECT count(*) FROM (%s)) AS ix
   FROM (SELECT unnest(range(0, {REPS})) AS rep), (SELECT unnest(range(0, (SELECT count(*) FROM (%s)))) AS slot)) b GROUP BY 1, 2"""
 
 

@@ -148,12 +148,11 @@ def _(t):
 
 
 @query("C12_configuration_schedule", f"""SELECT config, channel::INTEGER AS channel, win::INTEGER AS "window", pow(2, {h32("'42:dilation:' || config")} % (floor(log2(15.0 / (win - 1)))::BIGINT + 1))::INTEGER AS dilation, least(win - 2, 7 + {h32("'42:word:' || config")} % 2)::INTEGER AS word_length,
-  CASE WHEN {h32("'42:bins:' || config")} % 2 = 0 THEN 'depth' ELSE 'width' END AS binning, n FROM (SELECT c AS config, 4 + {h32("'42:window:' || c")} % 13 AS win, c // 4 AS cyc, c % 4 AS slot FROM (SELECT unnest(range(0, (SELECT CASE WHEN count(*) < 250 THEN 50 ELSE 100 END FROM embeddings))) AS c))
+  CASE WHEN {h32("'42:bins:' || config")} % 2 = 0 THEN 'depth' ELSE 'width' END AS binning, n FROM (SELECT c AS config, 4 + {h32("'42:window:' || c")} % 13 AS win, c // 4 AS cyc, c % 4 AS slot FROM (SELECT unnest(range(0, 100)) AS c))
   JOIN (SELECT cyc, ch AS channel, row_number() OVER (PARTITION BY cyc ORDER BY {h60("'42:channel:' || cyc || ':' || ch")}) - 1 AS slot FROM (SELECT unnest(range(0, 25)) AS cyc), (SELECT unnest(range(0, 4)) AS ch)) USING (cyc, slot)
   JOIN (SELECT channel, count(*) AS n FROM ({GRID}) GROUP BY 1) USING (channel)""")
 def _(t):
-    size, longest = dic.ensemble_size(t.read("embeddings").count(), 16)
-    config = dic.configurations(t.spark, 4, 16, size, longest)
+    config = dic.configurations(t.spark, 4, 16, 100, 44)
     n = t.grid.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
     return config.join(n, config["channel"] == n["channel"]).drop(n["channel"])
 
@@ -268,7 +267,7 @@ def _(t):
     v = votes(t)
     ranking = se.stable_ranking(v, families(t), 5).select("family", "ix", "rank")
     budgets = se.allocate_budget(se.family_utilities(v, families(t)), 20, minimum=4)
-    return se.suppress_redundant(vectors64(t), "features", "sample_id", ranking, budgets, threshold=0.3)
+    return se.suppress_redundant(vectors64(t), "features", ranking, budgets, threshold=0.3)
 
 
 @query("L7_expert_matrix", f"""SELECT sample_id, i - 1 AS position, e[[3, 17, 40, 5][i] + 1]::DOUBLE AS value FROM (SELECT vec_id AS sample_id, embedding AS e FROM embeddings), (SELECT unnest(range(1, 5)) AS i)""")
@@ -306,7 +305,7 @@ def split_vectors(t):
 @query("L9_ridge_grid")
 def _(t):
     train, test = split_vectors(t)
-    scored, alpha = fit.ridge_grid(train, test, "features", alphas=fit.ALPHAS[::6])
+    scored, alpha = fit.ridge_grid(train, test, "features")
     return threshold_metrics(scored, []).withColumn("alpha", F.lit(alpha))
 
 
@@ -358,7 +357,7 @@ def _(t):
 @query("L15_simplex_weights")
 def _(t):
     rows = t.preds.select("sample_id", "label", F.col("model").alias("expert"), "probability")
-    weights = fit.simplex_weights(rows, ["a", "b"], "sample_id", steps=20)
+    weights = fit.simplex_weights(rows, ["a", "b"], "sample_id")
     return t.spark.createDataFrame(list(weights.items()), "expert string, weight double")
 
 

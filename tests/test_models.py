@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from anchorgrid.operators import kernels as ke, metrics as mt, resampling as rs, selection as se, similarity as sim, spans as sp, tokens as tk
+from anchorgrid.operators import fitting as ft, kernels as ke, metrics as mt, resampling as rs, selection as se, similarity as sim, spans as sp, tokens as tk
 
 
 def brute_dtw(a, b, window):
@@ -162,3 +162,37 @@ def test_anova_matches_numpy(spark):
         within = sum(((g - g.mean()) ** 2).sum() for g in groups) / 58
         assert got[j] == pytest.approx(between / within)
     assert got[2] is None
+
+
+def test_ridge_alpha_by_leave_one_out(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5)) + 1.0
+    y = (x[:, 0] + rng.normal(size=40) > 1.3).astype(int)
+    train = spark.createDataFrame([(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(x, y))], "id int, f array<double>, label int")
+    scored, alpha = ft.ridge_grid(train, train, "f")
+    z, t = x / x.std(axis=0), 2.0 * y - 1
+    w = np.where(y == 1, 40 / (2 * y.sum()), 40 / (2 * (40 - y.sum())))
+
+    def fit(rows, a):
+        design = np.column_stack([np.ones(len(rows)), z[rows]])
+        penalty = np.diag([0.0] + [a] * 5)
+        return np.linalg.solve(design.T @ (w[rows, None] * design) + penalty, design.T @ (w[rows] * t[rows]))
+
+    everyone = np.arange(40)
+    score = lambda c, i: c[0] + z[i] @ c[1:]
+    loss = [sum(w[i] * (t[i] - score(fit(everyone[everyone != i], a), i)) ** 2 for i in everyone) for a in ft.ALPHAS]
+    assert alpha == ft.ALPHAS[int(np.argmin(loss))]
+    best = fit(everyone, alpha)
+    got = {r["id"]: r["score"] for r in scored.collect()}
+    assert all(abs(got[i] - score(best, i)) < 1e-9 for i in range(40))
+
+
+def test_redundancy_over_all_rows(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(600, 3))
+    x = np.column_stack([base[:, 0], base[:, 0] * 2 + 1, base[:, 1], np.full(600, 7.0), -base[:, 1], base[:, 2]])
+    df = spark.createDataFrame([(a.tolist(),) for a in x], "f array<double>").repartition(5)
+    ranking = spark.createDataFrame([("m", i, i + 1) for i in range(6)], "family string, ix int, rank int")
+    budgets = spark.createDataFrame([("m", 3)], "family string, budget bigint")
+    got = se.suppress_redundant(df, "f", ranking, budgets).orderBy("place").collect()
+    assert [r["ix"] for r in got] == [0, 2, 5]
