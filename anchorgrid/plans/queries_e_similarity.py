@@ -300,9 +300,10 @@ def _(t):
 
 
 def emissions(t):
-    """Five tag scores per frame from five stretches of the vector."""
-    frames = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda f: F.transform(
-        F.slice("embedding", f * 5 + 1, F.lit(5)), lambda x: x.cast("double") * 10))
+    """Five tag scores per frame, a frame for every value of the vector: the five values from five times its place on, around the end."""
+    n = F.size("embedding")
+    frames = F.transform(F.sequence(F.lit(0), n - 1), lambda f: F.array(
+        *[F.get("embedding", F.pmod(f * 5 + tag, n)).cast("double") * 10 for tag in range(5)]))
     return t.read("embeddings").select(F.col("vec_id").alias("sample_id"), frames.alias("e"))
 
 
@@ -318,4 +319,4 @@ def _(t):
 @query("D14_positive_marginal")
 def _(t):
     out = emissions(t).select("sample_id", sp.positive_marginal(F.col("e"), TRANSITIONS, EDGE, EDGE).alias("p"))
-    return out.select("sample_id", F.array_max("p").alias("window_score"), F.element_at("p", 1).alias("first_frame"))
+    return out.select("sample_id", F.posexplode("p").alias("frame", "probability"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from anchorgrid.operators.ordered import attach_row
+
 FOLD_COLUMNS = {"context", "word", "label"}
 FOLD_SPLITS = {"train", "validation", "test"}
 PREDICTION_SCHEMA = (
@@ -34,9 +36,14 @@ def load_fold(spark: SparkSession, path: str, columns: set[str] = FOLD_COLUMNS)
 def write_folds(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """One partition per (fold, split); only the partitions that are written get replaced.
 
-    The hash column spreads a large split over many tasks before the write.
+    The hash column spreads a split over as many tasks as it needs files. The counts are one row with an entry per
+    (fold, split), which are the folders written.
     """
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if t in ("string", "bigint", "int")]), F.lit(64)))
+    key = F.struct("fold", "split")
+    parts = F.ceil(F.count(F.lit(1)) / rows_per_file).cast("long")
+    sizes = df.groupBy("fold", "split").agg(parts.alias("n")).agg(F.map_from_entries(F.collect_list(F.struct(key, "n"))).alias("__parts"))
+    spread = F.xxhash64(*[c for c, t in df.dtypes if t in ("string", "bigint", "int")])
+    salted = attach_row(df, sizes).withColumn("__salt", F.pmod(spread, F.coalesce(F.try_element_at("__parts", key), F.lit(1)))).drop("__parts")
     (
         salted.repartition("fold", "split", "__salt").drop("__salt")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
