@@ -194,6 +194,23 @@ def test_leaks(spark, rows):
     assert dc.leaks(docs, bench.limit(0)).count() == 0
 
 
+def _leaks_of(spark, items, docs):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    return {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.reworded) for r in out}, len(out)
+
+
+def test_leaks_with_few_literal_words(spark):
+    table = "12 + 7 = 19 , 13 * 4 = 52 , 8 - 3 = 5 , 90 / 6 = 15 , 33 + 9 = 42"
+    names = "seen Alice Baker Carol Dan Evans Fox Greg Hill Irving Jones Kent Lee Moore Nash"
+    items = [(1, table), (2, names), (3, "Is 17 prime?"), (4, "Add 3 and 4"), (5, names + " " + table)]
+    docs = [(1, "we saw " + table + " there"), (2, "they were " + names + " at last"), (3, "ask: is 17 prime? no"), (4, "Is 18 prime?"), (5, table.replace("12", "11").replace("52", "58").replace("15", "20")), (6, "x " + names + "\n" + table)]
+    found, n = _leaks_of(spark, items, docs)
+    assert {k for k in found if k[1] != 5} == {(1, 1), (2, 2), (3, 3), (6, 1), (6, 2)}
+    assert found[(1, 1)][1] == len(re.findall(r"\d+", table)) and found[(2, 2)] == (2, 15, False) and found[(3, 3)] == (1, 3, False)
+    assert found[(6, 5)] == (1, 30, False)
+
+
 def test_slots_must_agree():
     hit = lambda at, a, b: {"item_at": at, "size": 8, "item_slots": a, "slots": b}
     assert dc._consistent([hit(0, ["tom", "3"], ["ann", "5"]), hit(1, ["3", "tom"], ["5", "ann"])]) == [(0, 9, 2)]
