@@ -98,7 +98,20 @@ def _families(t: Template, starts_only: bool) -> Iterator[_Windows]:
     """Windows of words, of folded slots and of literal words; the first word also in its other kind (items: that of the item)."""
     n = len(t.kind)
     at, each = np.arange(n), np.arange(n + 1)
+    row_start = np.zeros(n + 1, bool)
+    row_start[t.offsets] = True
+    same = np.zeros(n + 1, bool)  # a slot of the kind of the one before it
+    same[1:n] = (t.kind[1:] >= 0) & (t.kind[1:] == t.kind[:-1]) & ~row_start[1:n]
+    group = np.cumsum(~same) - 1
+    heads = np.flatnonzero(~same)[:-1]
+    ends = np.flatnonzero(~same)[1:]
+    other = np.flatnonzero((t.other > -2) & (row_start[:n] | (not starts_only)))
+    # a name put before names is one with them
+    merged = (t.other[other] == 2) & (np.append(t.kind, -1)[other + 1] == 2) & ~row_start[other + 1] if len(other) else np.zeros(0, bool)
     yield _Windows(at, t.kind, at + 1, each[1:], each, False, False, False)
+    yield _Windows(other, t.other[other], other + 1, each[1:], each, False, False, True)
+    yield _Windows(heads, t.kind[heads], ends, ends, group, False, True, False)
+    yield _Windows(other, t.other[other], np.where(merged, ends[np.minimum(group[other + 1], len(ends) - 1)], other + 1), ends, group, False, True, True)
     # windows without slots are the same in the first family, apart from the kind of their first word
     yield _Windows(at, t.kind, at + 1, each[1:], each, True, False, False)
 
@@ -217,7 +230,7 @@ def _chains(hits) -> Iterator[_Run]:
     open_at: dict[tuple[int, int], list[_Run]] = {}
 
     def close():
-        runs.sort(key=lambda r: (r.start - r.stop, r.reworded, r.end - r.at, r.at))  # the plainest of equal ones first
+        runs.sort(key=lambda r: (r.start - r.stop, r.reworded, r.at - r.end if r.reworded else r.end - r.at, r.at))  # verbatim ones before others, with whole names
         kept: list[_Run] = []
         for r in runs:
             if not any(r.within(x) for x in kept):
@@ -283,7 +296,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = 8, min_litera
     """Rows (doc_id, item_id, first_word, n_words, n_slots, reworded): passages of items in documents, in template words.
 
     Places and lengths count words, those of the item for a passage. Items shorter than ``width`` words are one window. Windows with fewer than
-    ``min_literal`` literal words are found word by word only, also items of one or two words. Null or empty texts and rows with a null id give nothing. Rows repeating an id are searched alike and reported once per passage. The
+    ``min_literal`` literal words are found word by word only, also items of one or two words. Neighbouring slots of one kind are searched one by one and as one
+    slot, and the first word of an item both as a word and as a name. Null or empty texts and rows with a null id give nothing. Rows repeating an id are searched alike and reported once per passage. The
     hashes of the benchmark are shipped to tasks in blocks of ``block`` values, one pass over the documents for each.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")

@@ -211,6 +211,18 @@ def test_leaks_with_few_literal_words(spark):
     assert found[(6, 5)] == (1, 30, False)
 
 
+def test_leaks_after_marks_and_with_longer_names(spark):
+    items = [(1, "Which metal melts at a lower heat than tin"), (2, "Ann buys apples and pays with a large note"), (3, "What melts first?")]
+    long = "A boat sails with {0} to the far island and {0} eats there while the old captain asks {0} for a song and then sleeps until {0} wakes him"
+    items.append((4, long.format("Ann")))
+    docs = [(1, "1) " + items[0][1]), (2, "no stop here\n" + items[0][1]), (3, "- Bob buys apples and pays with a large note"), (4, "so Mary Lou buys apples and pays with a large note"), (5, "(b) What melts first?")]
+    docs += [(6, "so " + long.format("Mary Ann")), (7, "so " + long.format("Mary Ann Lee").replace("asks Mary Ann Lee", "asks Bob")), (8, "- Where melts first?"), (9, "- Buys apples and pays with a large note")]
+    found, n = _leaks_of(spark, items, docs)
+    assert set(found) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4), (7, 4)} and n <= 8
+    assert found[(1, 1)] == (1, 9, False) and found[(2, 1)] == (3, 9, False) and found[(3, 2)][1:] == (9, True) and found[(4, 2)] == (1, 9, True)
+    assert found[(6, 4)] == (1, 29, True)
+
+
 def test_slots_must_agree():
     hit = lambda at, a, b: {"item_at": at, "size": 8, "item_slots": a, "slots": b}
     assert dc._consistent([hit(0, ["tom", "3"], ["ann", "5"]), hit(1, ["3", "tom"], ["5", "ann"])]) == [(0, 9, 2)]
