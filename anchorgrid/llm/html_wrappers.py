@@ -4,7 +4,8 @@ A wrapper is a union-free regular expression over tags and text slots. A page's
 groups of the same shape become one repeated group. Then the streams of a few pages of a host are aligned one
 after another: text that differs becomes a slot, parts that one side lacks become optional, one against many becomes repeated.
 The wrapper shows where the text of the host varies and which texts are fixed, and so names the element
-that holds the article; every page of the host is read along it. A page that does not fit its host's wrapper is read by a wrapper
+that holds the article, the least one with all text that varies; every page of the host is read along it. Where elements are named article (or else main)
+all outermost ones are read. A page that does not fit its host's wrapper is read by a wrapper
 of its own.
 """
 
@@ -39,6 +40,7 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("
 _END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 _WORDS = re.compile(r"[^a-z0-9]+")
 _CELLS = ("td", "th")
+NAMES = ("article", "main")
 DEEPEST = 200
 
 
@@ -216,7 +218,7 @@ def infer(pages: list[str]) -> dict:
     rule = rule or {"l": "", "c": [], "n": 0, "a": 0}
     path, named = article_path(rule, len(pages))
     fixed = [] if named or len(pages) < 3 else sorted(set(_fixed(rule)))
-    return {"path": path, "fixed": fixed}
+    return {"path": path, "named": named, "fixed": fixed}
 
 
 def _elements(rule: dict) -> Iterator[dict]:
@@ -244,36 +246,36 @@ def _varying(rule: dict, pages: int) -> float:
 
 
 def article_path(rule: dict, pages: int) -> tuple[list[str], bool]:
-    """(labels from the root to the article, whether an element says that it is the article)."""
-    for names in (("main", "article"), ("article",), ("main",)):
-        level = [([], rule)]
-        for name in names:
-            level = [found for path, r in level for found in _named(r, name, path)]
-        if level:
-            path, best = max(level, key=lambda x: x[1]["n"])
-            if best["n"]:
-                return path, True
+    """(labels from the root to the least element with all that varies, whether elements say that they are the article)."""
+    if any(r["n"] for name in NAMES for r in _named(rule, name)):
+        return [], True
     path, total = [], _varying(rule, pages)
     while total:
-        # go down while one element holds nearly all of what varies
+        # go down while one element holds all of what varies
         inner = max(_elements(rule), key=lambda r: _varying(r, pages), default=None)
-        if inner is None or inner.get("r") or _varying(inner, pages) < 0.6 * total:
+        if inner is None or inner.get("r") or _varying(inner, pages) < total:
             break
         rule, path = inner, [*path, inner["l"]]
     return path, False
 
 
-def _named(rule: dict, name: str, path: list[str]) -> list[tuple[list[str], dict]]:
-    out = []
+def _named(rule: dict, name: str) -> Iterator[dict]:
     for part in _elements(rule):
-        if part.get("s"):
-            continue
-        here = [*path, part["l"]]
-        if re.split(r"[.#@]", part["l"])[0] == name:
-            out.append((here, part))
-        else:
-            out += _named(part, name, here)
-    return out
+        if not part.get("s"):
+            if re.split(r"[.#@]", part["l"])[0] == name:
+                yield part
+            else:
+                yield from _named(part, name)
+
+
+def _articles(node: Node, name: str) -> Iterator[Node]:
+    """The outermost elements of a name, in page order."""
+    for child in node.children:
+        if isinstance(child, Node) and not child.skip:
+            if child.name == name:
+                yield child
+            else:
+                yield from _articles(child, name)
 
 
 def _blocks(node: Node, fixed: frozenset[str]) -> Iterator[str]:
@@ -313,13 +315,15 @@ def extract(page: str, wrapper: dict | None) -> str:
     for w in (wrapper, None):
         if w is None:
             rule = _rule(root) or {"l": "", "c": [], "n": 0, "a": 0}
-            w = {"path": article_path(rule, 1)[0], "fixed": []}
+            path, named = article_path(rule, 1)
+            w = {"path": path, "named": named, "fixed": []}
         level = [root]
         for label in w["path"]:
             level = [c for x in level for c in x.children if isinstance(c, Node) and c.label == label and not c.skip]
-        found = "\n\n".join(b for x in level for b in _blocks(x, frozenset(w["fixed"])))
-        if found:
-            return found
+        for part in [list(_articles(root, name)) for name in NAMES] if w["named"] else [level]:
+            found = "\n\n".join(b for x in part for b in _blocks(x, frozenset(w["fixed"])))
+            if found:
+                return found
     return ""
 
 

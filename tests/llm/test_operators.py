@@ -326,6 +326,18 @@ def test_wrappers(spark):
     assert hw.main_text(table.limit(0)).count() == 0
 
 
+def test_wrappers_keep_all_parts():
+    split = "<body><nav>Home</nav><div class=lead><p>Lead {n} of some length</p></div><div class=body><p>Body {n} that is quite a bit longer than the lead</p></div></body>"
+    wrapper = hw.infer([split.format(n=i) for i in range(4)])
+    for w in (wrapper, None):
+        assert hw.extract(split.format(n=9), w) == "Lead 9 of some length\n\nBody 9 that is quite a bit longer than the lead"
+    named = "<body><p>Site</p><article class=a><p>First {n}</p></article><div><article class=b><p>The second and longer one {n}</p><article>inner</article></article></div><article class=c>Third</article></body>"
+    wrapper = hw.infer([named.format(n=i).replace("class=c", "class=d") for i in range(4)])
+    assert hw.extract(named.format(n=9), wrapper) == "First 9\n\nThe second and longer one 9\n\ninner\n\nThird"
+    two = "<main class=x>One {n}</main><main class=y>Two and more {n}</main>"
+    assert hw.extract(two.format(n=9), hw.infer([two.format(n=i) for i in range(4)])) == "One 9\n\nTwo and more 9"
+
+
 def test_fold_and_align():
     rule = lambda *labels: [{"l": x, "c": [], "n": 1, "a": 0} for x in labels]
     assert [(r["l"], r.get("r", False)) for r in hw.fold(rule("h", "p", "p", "p", "x"))] == [("h", False), ("p", True), ("x", False)]
