@@ -39,8 +39,10 @@ def _tile(k: int, rows: int = 256):
     def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(candidates):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        candidates = candidates.sort_values("vec_id", kind="stable")
         x, y = np.array(queries["v"].tolist()), np.array(candidates["v"].tolist())
         xi, yi = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+        first = np.flatnonzero(np.append(True, yi[1:] != yi[:-1]))  # rows of one id lie together
         xc, xs, xn, xr = code(x)
         yc, ys, yn, yr = code(y)
         kind = np.float32 if x.shape[1] <= 1024 else np.float64  # holds sums of int8 products without rounding
@@ -52,6 +54,8 @@ def _tile(k: int, rows: int = 256):
             # |x.y - x'.y'| <= |x'| |y - y'| + |x - x'| |y|, and |y| <= |y'| + |y - y'|
             slack = (xn[part, None] * yr + xr[part, None] * (yn + yr)) * (1 + 1e-9) + 1e-12 * xn[part, None] * yn
             low = np.where(xi[part, None] == yi, -np.inf, product - slack)
+            if len(first) < len(yi):  # k ids, not k rows, bound what can be left out
+                low = np.maximum.reduceat(low, first, axis=1)
             kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
             q, c = np.nonzero((product + slack >= kth[:, None]) & (xi[part, None] != yi))
             exact = np.zeros(len(q))
@@ -59,7 +63,7 @@ def _tile(k: int, rows: int = 256):
                 exact += x[at + q, d] * y[c, d]
             for i in range(len(low)):
                 mine = slice(*np.searchsorted(q, [i, i + 1]))
-                best = heapq.nsmallest(k, zip((-exact[mine]).tolist(), yi[c[mine]].tolist()))
+                best = heapq.nsmallest(k, set(zip((-exact[mine]).tolist(), yi[c[mine]].tolist())))
                 out += [(int(xi[at + i]), v, -s) for s, v in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 

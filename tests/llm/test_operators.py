@@ -177,6 +177,18 @@ def test_nearest(spark):
         assert [got[(q, r + 1)] for r in range(20)] == [(i, -s) for s, i in best]
 
 
+def test_nearest_with_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    v = {i: rng.normal(size=4).tolist() for i in range(60)}
+    v[7] = [9.0, 0.0, 0.0, 0.0]
+    rows = list(v.items()) + [(7, v[7])] * 30 + [(7, [9.0, float(z), 0.0, 0.0]) for z in range(1, 31)]  # alike to a query without second component
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    query = [1.0, 0.0, 0.5, 0.25]
+    got = [(r.rank, r.vec_id, r.score) for r in nn.nearest(spark.createDataFrame([(100, query)], "vec_id long, embedding array<double>"), table, 20).collect()]
+    best = sorted((-_product(query, x), i) for i, x in v.items())[:20]
+    assert sorted(got) == [(r + 1, i, -s) for r, (s, i) in enumerate(best)]
+
+
 def test_leaks(spark, rows):
     items = [(1, "A train leaves Paris at 7 and travels 120 km to reach Lyon before noon. How fast does the train go on its way?"), (2, "short item here"), (3, None), (4, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
