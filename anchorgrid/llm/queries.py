@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorgrid.llm.decontaminate import leaks
+from anchorgrid.llm.fill_middle import fill_in_middle, restored
 from anchorgrid.llm.html_wrappers import main_text
 from anchorgrid.llm.line_dedup import line_classes
 from anchorgrid.llm.minhash import near_duplicates
@@ -174,3 +175,24 @@ FROM l LEFT JOIN k USING (line) LEFT JOIN reach ON root = line
 def op7(spark, sf_dir):
     """Classes of all different lines of all documents under two edits."""
     return line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+h AS (SELECT *, ('0x' || k[1:8])::BIGINT % (n + 1) AS u1, ('0x' || k[9:16])::BIGINT % (n + 1) AS u2,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || k[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+             WHEN ('0x' || k[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, substr(text, 1, least(u1, u2)) AS p, substr(text, 1 + least(u1, u2), abs(u1 - u2)) AS m, substr(text, 1 + greatest(u1, u2)) AS s FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(u1, u2) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(u1 - u2) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM c
+"""
+
+
+@query("op12_fill_in_middle", MIDDLE)
+def op12(spark, sf_dir):
+    """All documents with their middle moved to the end, and the texts got back from that."""
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+                       sha(F.col("output")).alias("output_sha256"), sha(restored("output", "form")).alias("restored_sha256"))
