@@ -13,6 +13,7 @@ from anchorgrid.llm.mixing import mix
 from anchorgrid.llm.nearest import nearest
 from anchorgrid.llm.quality import fit_quality, held_out, score_quality
 from anchorgrid.llm.sharding import shard_table
+from anchorgrid.llm.spelling import spelling_variants
 from anchorgrid.llm.substring_dedup import substring_dedup
 from anchorgrid.llm.warc import archive_round_trip
 
@@ -177,6 +178,30 @@ def op7(spark, sf_dir):
     return line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+SPELLING = r"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*)::BIGINT AS n FROM t WHERE length(run) >= 7 GROUP BY ALL),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(i))),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || b)::BIGINT FOR b IN regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)), '..')]),
+        lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1])), 4294967295) AS h FROM g, crc),
+r AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM r WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS (SELECT word, n, unnest(range(0, length(word) + 1)) AS i, CASE WHEN i = 0 THEN word ELSE substr(word, 1, i - 1) || substr(word, i + 1) END AS hole FROM w),
+pairs AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM holes AS a JOIN holes AS b ON a.hole = b.hole AND a.word <> b.word AND (a.i = b.i OR a.i = 0 OR b.i = 0)),
+best AS (SELECT word, count(*) AS n_near, min((-m, other)) AS best FROM pairs GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best[1] >= 10 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 10 * n THEN -best[1] END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (SELECT word, form AS root, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n::BIGINT AS form_n FROM f LEFT JOIN last ON last.word = f.word
+"""
+
+
+@query("op11_spelling_variants", SPELLING)
+def op11(spark, sf_dir):
+    """The usual spelling of every word of all documents among the words one edit away."""
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 MIDDLE = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
 h AS (SELECT *, ('0x' || k[1:8])::BIGINT % (n + 1) AS u1, ('0x' || k[9:16])::BIGINT % (n + 1) AS u2,
