@@ -11,6 +11,7 @@ from anchorgrid.llm.line_dedup import line_classes
 from anchorgrid.llm.minhash import near_duplicates
 from anchorgrid.llm.mixing import mix
 from anchorgrid.llm.nearest import nearest
+from anchorgrid.llm.personal import KINDS, find_personal
 from anchorgrid.llm.quality import fit_quality, held_out, score_quality
 from anchorgrid.llm.sharding import shard_table
 from anchorgrid.llm.spelling import spelling_variants
@@ -221,3 +222,14 @@ def op12(spark, sf_dir):
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
                        sha(F.col("output")).alias("output_sha256"), sha(restored("output", "form")).alias("restored_sha256"))
+
+
+@query("op13_personal_data")
+def op13(spark, sf_dir):
+    """Personal data in all documents, plain and in disguise; the counts and the digest are of the plain spans."""
+    found = find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    plain = F.filter("spans", lambda s: ~s["disguised"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: (s["kind"] == kind) & ~s["disguised"])).cast("long").alias(f"n_{kind}")
+    disguised = F.size(F.filter("spans", lambda s: s["disguised"])).cast("long").alias("n_disguised")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed(plain).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"), disguised)
