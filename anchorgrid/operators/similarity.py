@@ -12,14 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
-from anchorgrid.functions.hashing import draw
 from anchorgrid.functions.traces import let
 from anchorgrid.functions.values import logit
 from anchorgrid.operators.attribution import scored
 from anchorgrid.operators.metrics import confusion, metric_columns
-from anchorgrid.operators.ordered import attach_row, with_group_size
+from anchorgrid.operators.ordered import attach_row
+from anchorgrid.operators.warping import QUERY_BLOCK, REFERENCE_BLOCK, blocked, nearest_by_warping
 
-QUERY_BLOCK, REFERENCE_BLOCK = 256, 2048
 ZERO_DISTANCE = 1e-12
 
 
@@ -43,48 +42,11 @@ def latent_statistics(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
 # -- kernels: one query against a padded block of references -------------------------------------
 
 
-def _band(n: int, lengths: np.ndarray, width: int, window: float) -> np.ndarray:
-    """[references, n, width] cells inside the Sakoe-Chiba band and the reference's length."""
-    small = np.minimum(n, lengths)
-    radius = np.floor(window * small).astype(int)
-    i, j = np.arange(n)[None, :, None], np.arange(width)[None, None, :]
-    extra = np.abs(lengths - n)[:, None, None]
-    r = radius[:, None, None]
-    longer_reference = (lengths >= n)[:, None, None]
-    lead = np.where(longer_reference, j - i, i - j)  # how far the longer side is ahead
-    return (lead >= -r) & (lead <= extra + r) & (j < lengths[:, None, None])
-
-
-def dtw_block(query: np.ndarray, refs: np.ndarray, lengths: np.ndarray, window: float) -> np.ndarray:
-    """sqrt(cost / path length) of banded multivariate DTW against every reference.
-
-    The path length is carried along with the cost; equal costs prefer the diagonal step.
-    """
-    n, count, width = len(query), len(refs), refs.shape[1]
-    inside = _band(n, lengths, width, window)
-    step = ((query[None, :, None, :] - refs[:, None, :, :]) ** 2).sum(axis=3)
-    cost = np.full((count, n + 1, width + 1), np.inf)
-    length = np.zeros((count, n + 1, width + 1), dtype=np.int64)
-    cost[:, 0, 0] = 0.0
-    for i in range(1, n + 1):
-        for j in range(1, width + 1):
-            diagonal, up, left = cost[:, i - 1, j - 1], cost[:, i - 1, j], cost[:, i, j - 1]
-            best, steps = diagonal, length[:, i - 1, j - 1]
-            take = up < best
-            best, steps = np.where(take, up, best), np.where(take, length[:, i - 1, j], steps)
-            take = left < best
-            best, steps = np.where(take, left, best), np.where(take, length[:, i, j - 1], steps)
-            cost[:, i, j] = np.where(inside[:, i - 1, j - 1], best + step[:, i - 1, j - 1], np.inf)
-            length[:, i, j] = steps + 1
-    rows = np.arange(count)
-    return np.sqrt(cost[rows, n, lengths] / length[rows, n, lengths])
-
-
 def euclidean_block(query: np.ndarray, refs: np.ndarray, lengths: np.ndarray, window: float) -> np.ndarray:
     return np.sqrt(((refs - query[None]) ** 2).sum(axis=(1, 2)))
 
 
-KERNELS = {"dtw": dtw_block, "euclidean": euclidean_block}
+KERNELS = {"euclidean": euclidean_block}
 
 
 def _matrix(values) -> np.ndarray:
@@ -102,14 +64,12 @@ def nearest_references(
     queries: keys, query_id, values array<double> or array<array<double>>; references: keys,
     reference_id, label, values.
     """
+    if metric == "dtw":
+        frames = lambda df: df.withColumn("values", F.transform("values", lambda x: F.array(x))) if dict(df.dtypes)["values"] == "array<double>" else df
+        return nearest_by_warping(
+            frames(queries).withColumn("window", F.lit(float(window))), frames(references), keys, k, query_block=query_block, reference_block=reference_block).drop("window")
     kernel = KERNELS[metric]
-
-    def blocked(df, ident, size, name):
-        sized = with_group_size(df, keys, "__n")
-        many = F.ceil(F.col("__n") / size).cast("int")
-        return sized.withColumn(name, (draw("block", F.col(ident)) % many).cast("int")).withColumn(f"{name}s", many).drop("__n")
-
-    q, r = blocked(queries, "query_id", query_block, "qb"), blocked(references, "reference_id", reference_block, "rb")
+    q, r = blocked(queries, keys, "query_id", query_block, "qb"), blocked(references, keys, "reference_id", reference_block, "rb")
     grid_q = r.groupBy(*keys).agg(F.max("rbs").alias("rbs"))
     grid_r = q.groupBy(*keys).agg(F.max("qbs").alias("qbs"))
     q = q.join(grid_q, keys).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rbs") - 1)))
@@ -151,8 +111,8 @@ def nearest_references(
     return ranked.filter((F.col("rank") <= k) | (F.col("__l") == 1)).drop("__l")
 
 
-def knn_inverse_distance(neighbours: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Probability of label 1 from the k nearest, weighted by inverse distance.
+def knn_inverse_distance(neighbours: DataFrame, keys: list[str], k: int | Column) -> DataFrame:
+    """Probability of label 1 from the k nearest, weighted by inverse distance; k may be a column of ``keys``.
 
     A neighbour at distance zero decides alone: the mean label of all such neighbours.
     """
@@ -222,44 +182,6 @@ def example_rows(predictions: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "category", *[F.col(f"r.{c}").alias(c) for c in predictions.columns if c not in keys])
 
 
-# -- preprocessing --------------------------------------------------------------------------------
-
-
-def fit_pca(frames: DataFrame, vector: str, variance: float = 0.95, max_components: int = 16):
-    """(mean, scale, components) by distributed moments and the ML PCA.
-
-    The number of components is the first that reaches the wanted share of variance.
-    """
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    rows = frames.select(array_to_vector(vector).alias("x")).cache()
-    n = rows.count()
-    scaler = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True).fit(rows)
-    width = len(scaler.mean)
-    model = PCA(k=min(max_components, width), inputCol="z", outputCol="p").fit(scaler.transform(rows))
-    ratio = np.cumsum(model.explainedVariance.toArray())
-    keep = min(len(ratio), int(np.searchsorted(ratio, variance, side="left")) + 1)
-    rows.unpersist()
-    # population deviation; a constant feature keeps scale 1
-    scale = np.asarray(scaler.std) * np.sqrt((n - 1) / n) if n > 1 else np.ones(width)
-    scale = np.where(scale > 0, scale, 1.0)
-    return np.asarray(scaler.mean), scale, model.pc.toArray()[:, :keep]
-
-
-def project(frame_vector: Column, fitted) -> Column:
-    """Standardise one frame vector and project it on the kept components."""
-    mean, scale, components = fitted
-    weights = components / scale[:, None]
-    offset = mean @ weights
-
-    def dot(c):
-        w = F.array(*[F.lit(float(x)) for x in weights[:, c]])
-        return F.aggregate(F.zip_with(frame_vector, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) - F.lit(float(offset[c]))
-
-    return F.array(*[dot(c) for c in range(weights.shape[1])])
-
-
 # -- channel scan -----------------------------------------------------------------------------------
 
 
@@ -322,44 +244,3 @@ def scan_channels(traces: DataFrame, channel: str, top: int) -> DataFrame:
     scan = point_biserial(long, [channel])
     best = scan.orderBy(F.desc(F.abs("r")), channel).limit(top).select(channel)
     return scan.join(class_mean_accuracy(traces.join(F.broadcast(best), channel, "left_semi"), [channel]), channel, "left")
-
-
-def fold_separability(trajectories_: DataFrame, folds: DataFrame, keys: list[str], *, windows: list[float], ks: list[int]) -> tuple[DataFrame, DataFrame]:
-    """(fold rows, predictions) of DTW neighbours: settings chosen on validation, then the
-    references are train plus validation and the queries are test.
-
-    trajectories_: sample_id, label, keys, values; folds: sample_id, fold, split. A key whose
-    observed training rows have one class only is unavailable with a reason.
-    """
-    by = ["fold", *keys]
-    rows = trajectories_.join(folds, "sample_id")
-    state = rows.groupBy(*by).agg(
-        F.countDistinct(F.when(F.col("split") == "train", F.col("label"))).alias("__c"),
-        F.sum((F.col("split") == "validation").cast("int")).alias("__v"), F.sum((F.col("split") == "test").cast("int")).alias("__t"))
-    reason = (F.when(F.col("__c") < 2, "one_class_in_train")
-              .when(F.col("__v") == 0, "no_validation")
-              .when(F.col("__t") == 0, "no_test"))
-    state = state.select(*by, reason.alias("reason"))
-    usable = rows.join(state.filter("reason is null").select(*by), by, "left_semi")
-
-    def side(splits, ident):
-        return usable.filter(F.col("split").isin(*splits)).select(*by, F.col("sample_id").alias(ident), "label", "values")
-
-    chosen = None
-    for window in windows:
-        near = nearest_references(side(["validation"], "query_id").drop("label"), side(["train"], "reference_id"), by, max(ks), window=window)
-        for k in ks:
-            p = knn_inverse_distance(near, by, k).withColumn("window", F.lit(float(window))).withColumn("k", F.lit(k))
-            chosen = p if chosen is None else chosen.unionByName(p)
-    truth = side(["validation"], "query_id").select(*by, "query_id", "label")
-    best = select_neighbour_settings(chosen.join(truth, [*by, "query_id"]), by)
-    predictions = None
-    for window in windows:
-        near = nearest_references(side(["test"], "query_id").drop("label"), side(["train", "validation"], "reference_id"), by, max(ks), window=window)
-        for k in ks:
-            wanted = best.filter((F.col("window") == float(window)) & (F.col("k") == k)).select(*by)
-            p = knn_inverse_distance(near.join(wanted, by, "left_semi"), by, k)
-            predictions = p if predictions is None else predictions.unionByName(p)
-    predictions = predictions.join(side(["test"], "query_id").select(*by, "query_id", "label"), [*by, "query_id"])
-    fold_rows = state.join(best, by, "left").withColumn("status", F.when(F.col("reason").isNull(), "complete").otherwise("unavailable"))
-    return fold_rows, predictions

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from anchorgrid.functions.hashing import draw
-from anchorgrid.operators import attribution as at, similarity as sim, spans as sp
+from anchorgrid.operators import attribution as at, separability as sep, similarity as sim, spans as sp
 from anchorgrid.operators.ordered import exact_quantile
 from anchorgrid.plans.queries_b_windows import links
 from anchorgrid.plans.queries_c_series import long_form, traces16
@@ -172,20 +172,49 @@ def _(t):
     return sim.scan_channels(traces16(t), "channel", 2)
 
 
+# fold f tests on hash f, validates on the next one and trains on the other three
+def rotated_folds(t):
+    place = F.pmod(draw("split", F.col("sample_id")) % 5 - F.col("fold"), F.lit(5))
+    folds = t.read("embeddings").select(F.col("vec_id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
+    return folds.withColumn("split", F.when(place == 0, "test").when(place == 1, "validation").otherwise("train"))
+
+
+def modality_trajectories(t):
+    """Two channels on each side and all four as one modality."""
+    modality = F.explode(F.when(F.col("channel") < 2, F.array(F.lit("left"), F.lit("all"))).otherwise(F.array(F.lit("right"), F.lit("all"))))
+    return sep.vector_trajectories(traces16(t).withColumn("modality", modality), ["sample_id", "label", "modality"])
+
+
 @query("D5_scaled_pca")
 def _(t):
-    frames = t.pgrid.filter("present = 1").groupBy("sample_id", "frame").agg(
-        F.array_sort(F.collect_list(F.struct("channel", "value"))).alias("p")).filter(F.size("p") == 4)
-    frames = frames.select("sample_id", "frame", F.col("p.value").alias("x"))
-    fitted = sim.fit_pca(frames, "x")
-    return frames.select("sample_id", "frame", sim.project(F.col("x"), fitted).alias("components"))
+    rows = modality_trajectories(t).filter("modality = 'all'")
+    made = sep.project_components(rows, sep.fit_components(rows, ["modality"]), ["modality"])
+    return made.select("sample_id", F.posexplode(F.arrays_zip("time_ix", "values")).alias("p", "x")).select("sample_id", F.col("x.time_ix").alias("frame"), F.col("x.values").alias("components"))
+
+
+_SEEN = f"""SELECT sample_id, frame, CASE WHEN channel < 2 THEN 'left' ELSE 'right' END AS modality, max(value) FILTER (channel % 2 = 0) AS a, max(value) FILTER (channel % 2 = 1) AS b FROM ({PGRID}) GROUP BY 1, 2, 3 HAVING min(present) = 1"""
+_MODALITY_FRAMES = f"SELECT * FROM ({_SEEN}) QUALIFY count(*) OVER (PARTITION BY sample_id, modality) >= 2"
+
+
+# two scaled channels have the main directions (1, 1) and (1, -1): shares (1 + r) / 2 and (1 - r) / 2
+@query("D5_keyed_components", f"""SELECT fold, modality, count(*) AS n, {q6('avg(a)')} AS mean_a, {q6('avg(b)')} AS mean_b, {q6('stddev_pop(a)')} AS scale_a, {q6('stddev_pop(b)')} AS scale_b,
+  {q6('(1 + abs(corr(a, b))) / 2')} AS explained, {q6('sign(corr(a, b)) / 2')} AS weights FROM ({_MODALITY_FRAMES}), (SELECT unnest(range(0, 5)) AS fold) WHERE ({_FOLD} - fold + 5) % 5 > 1 GROUP BY 1, 2""")
+def _(t):
+    rows = modality_trajectories(t).filter("modality <> 'all'").join(rotated_folds(t).filter("split = 'train'"), "sample_id")
+    out = sep.fit_components(rows, ["fold", "modality"], variance=0.5)
+    both = lambda c: [r6(F.get(c, F.lit(i))).alias(f"{c}_{x}") for i, x in enumerate("ab")]
+    weights = F.get("components", F.lit(0))
+    return out.select(F.col("fold").cast("bigint").alias("fold"), "modality", "n", *both("mean"), *both("scale"), r6(F.col("explained")).alias("explained"), r6(weights[0] * weights[1]).alias("weights"))
 
 
 @query("D8_fold_separability")
 def _(t):
-    rows = sim.trajectories(traces16(t), ["sample_id", "label", "channel"])
-    folds = t.read("embeddings").select(F.col("vec_id").alias("sample_id")).withColumn("fold", F.lit(0)).withColumn("split", split_of(t))
-    return sim.fold_separability(rows, folds, ["channel"], windows=[0.1, 0.5], ks=[1, 5])[0]
+    return sep.fold_separability(modality_trajectories(t), rotated_folds(t), ["modality"])[0]
+
+
+@query("D8_fold_predictions")
+def _(t):
+    return sep.fold_separability(modality_trajectories(t), rotated_folds(t), ["modality"])[1]
 
 
 # -- spans: cue words as windows of +-6 h on 32 frames ------------------------------------------------

@@ -10,34 +10,6 @@ from pyspark.sql import functions as F
 from anchorgrid.operators import fitting as ft, kernels as ke, metrics as mt, resampling as rs, selection as se, similarity as sim, spans as sp, tokens as tk
 
 
-def brute_dtw(a, b, window):
-    """Plain dynamic program with the whole path kept."""
-    n, m = len(a), len(b)
-    inside = sim._band(n, np.array([m]), m, window)[0]
-    best = {(0, 0): (0.0, 0)}
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            if inside[i - 1, j - 1]:
-                options = [best[p] for p in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if p in best and (p == (0, 0) or 0 not in p)]
-                if options:
-                    c, k = min(options, key=lambda o: o[0])
-                    best[(i, j)] = (c + float(((a[i - 1] - b[j - 1]) ** 2).sum()), k + 1)
-    c, k = best[(n, m)]
-    return np.sqrt(c / k)
-
-
-@pytest.mark.parametrize("window", [0.1, 0.4, 1.0])
-def test_banded_dtw(window):
-    rng = np.random.default_rng(0)
-    query = rng.normal(size=(7, 2))
-    refs = [rng.normal(size=(n, 2)) for n in (5, 7, 10)]
-    padded = np.zeros((3, 10, 2))
-    for i, r in enumerate(refs):
-        padded[i, :len(r)] = r
-    got = sim.dtw_block(query, padded, np.array([5, 7, 10]), window)
-    assert got == pytest.approx([brute_dtw(query, r, window) for r in refs])
-
-
 def test_univariate_dtw():
     a, b = np.array([[0.0, 1, 2]]), np.array([[0.0, 0, 1, 2]])
     assert sim.dtw_1d(a, b)[0] == 0 and sim.dtw_1d(a, b + 1)[0] == pytest.approx(np.sqrt(2.0))  # the first 0-1 and the last 2-3 differ by one
