@@ -101,6 +101,8 @@ def scope_controls(scope_edges: DataFrame, cue_ids: DataFrame, *, seed: int = 42
 
 STEP_MS = 10_000
 MIN_CUE_DISTANCE_MS = 1_000
+ROUNDS = 2  # of random choice before what is left is matched along the time line
+PAIR = ["cue_id", "control_id", "distance_ms"]
 
 
 def search_radius(nearest: Column, step_ms: int = STEP_MS) -> Column:
@@ -116,77 +118,83 @@ def strict_controls(
 
     cues: cue_id, time_ms; pool: control_id, time_ms; both with group and chunk. Returns
     cue_id, control_id, stage ('chunk' or 'radius') and distance_ms. Cues without any
-    remaining control are left out. No pair list of a group is ever built: a round ranks the
-    free cues and the free controls and joins equal ranks.
+    remaining control are left out, and no cue is left out while its group has a free control
+    far enough away.
+
+    Inside a chunk nearly every control suits every cue, so cues and controls are paired by
+    md5 ranks. In the radius stage a cue draws one of the free controls inside its first
+    ten-second step that holds one; the cue with the fewest controls wins a contested one. Both
+    stages run ``ROUNDS`` times, and what conflicts leave over is matched like brackets on the
+    time line. The number of joins does not depend on the data, and no pair list is built.
     """
     cues = cut_lineage(cues.select(*group, chunk, "cue_id", F.col("time_ms").alias("cue_ms")))
     free = cut_lineage(pool.select(*group, chunk, "control_id", F.col("time_ms").alias("control_ms")))
-    inside = _rank_rounds(cues, free, [*group, chunk], seed, min_distance_ms)
-    inside = cut_lineage(inside.withColumn("stage", F.lit("chunk")))
+    inside = _matched(cues, free, [*group, chunk], seed, min_distance_ms, _paired_suitable).withColumn("stage", F.lit("chunk"))
     cues = cut_lineage(cues.join(inside, "cue_id", "left_anti"))
     free = cut_lineage(free.join(inside, "control_id", "left_anti"))
-    outside = _nearest_rounds(cues, free, group, seed, min_distance_ms)
-    outside = outside.withColumn("stage", F.lit("radius"))
+    outside = _matched(cues, free, group, seed, min_distance_ms, _drawn_suitable).withColumn("stage", F.lit("radius"))
     return inside.unionByName(outside)
 
 
-def _rank_rounds(cues, free, keys, seed, gap) -> DataFrame:
-    """Rounds of rank pairing until no free cue of a key has a suitable free control."""
-    done, turn = None, 0
-    while True:
-        # a cue still has a control iff the earliest or the latest free one is far enough
-        ends = free.groupBy(*keys).agg(F.min("control_ms").alias("__a"), F.max("control_ms").alias("__b"))
-        open_cues = cut_lineage(cues.join(ends, keys).filter(
-            (F.col("cue_ms") - F.col("__a") >= gap) | (F.col("__b") - F.col("cue_ms") >= gap)
-        ).drop("__a", "__b"))
-        if open_cues.isEmpty():
-            return done if done is not None else cues.join(free, keys).limit(0).select(
-                "cue_id", "control_id", F.lit(0).cast("bigint").alias("distance_ms"))
-        pairs = paired_by_rank(open_cues, free, keys, seed=f"{seed}:{turn}")
-        pairs = pairs.join(open_cues.select("cue_id", "cue_ms"), "cue_id").join(
-            free.select("control_id", "control_ms"), "control_id")
-        pairs = pairs.withColumn("distance_ms", F.abs(F.col("cue_ms") - F.col("control_ms")))
-        pairs = cut_lineage(pairs.filter(F.col("distance_ms") >= gap).select("cue_id", "control_id", "distance_ms"))
-        # where ranks met only unsuitable controls, one cue takes an end of the key
-        left = open_cues.join(pairs, "cue_id", "left_anti")
-        spare = free.join(pairs, "control_id", "left_anti")
-        first = left.groupBy(*keys).agg(F.min_by(
-            F.struct("cue_id", "cue_ms"), draw60(seed, turn, F.col("cue_id"))).alias("c"))
-        ends = spare.groupBy(*keys).agg(
-            F.min_by(F.struct("control_id", "control_ms"), F.struct("control_ms", "control_id")).alias("a"),
-            F.max_by(F.struct("control_id", "control_ms"), F.struct("control_ms", "control_id")).alias("b"))
-        forced = first.join(ends, keys).select("c", F.explode(F.array("a", "b")).alias("w")).select(
-            "c.cue_id", "w.control_id", F.abs(F.col("c.cue_ms") - F.col("w.control_ms")).alias("distance_ms"))
-        forced = forced.filter(F.col("distance_ms") >= gap).groupBy("cue_id").agg(
-            F.max_by(F.struct("control_id", "distance_ms"), F.struct("distance_ms", "control_id")).alias("w")
-        ).select("cue_id", "w.control_id", "w.distance_ms")
-        pairs = cut_lineage(pairs.unionByName(forced))
-        done = pairs if done is None else cut_lineage(done.unionByName(pairs))
-        cues = cut_lineage(cues.join(pairs, "cue_id", "left_anti"))
-        free = cut_lineage(free.join(pairs, "control_id", "left_anti"))
-        turn += 1
-
-
-def _nearest_rounds(cues, free, keys, seed, gap) -> DataFrame:
-    """Every free cue asks its nearest suitable control, which takes the scarcest asker."""
+def _matched(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap: int, choose) -> DataFrame:
+    """(cue_id, control_id, distance_ms): rounds of ``choose``, then controls before and after the cues left."""
     done = None
-    while True:
-        asked = cut_lineage(_nearest_suitable(cues, free, keys, gap))
-        if asked.isEmpty():
-            break
-        order = F.struct(F.col("__n"), draw60(seed, F.col("cue_id")))
-        pairs = cut_lineage(asked.groupBy("control_id").agg(
-            F.min_by(F.struct("cue_id", "distance_ms"), order).alias("c")
-        ).select("c.cue_id", "control_id", "c.distance_ms"))
-        done = pairs if done is None else cut_lineage(done.unionByName(pairs))
-        cues = cut_lineage(cues.join(pairs, "cue_id", "left_anti"))
-        free = cut_lineage(free.join(pairs, "control_id", "left_anti"))
-    if done is None:
-        return cues.join(free, keys).limit(0).select(
-            "cue_id", "control_id", F.lit(0).cast("bigint").alias("distance_ms"))
+    steps = [lambda c, f, turn=turn: choose(c, f, keys, f"{seed}:{turn}", gap) for turn in range(ROUNDS)]
+    steps += [lambda c, f, side=side: _bracketed(c, f, keys, gap, side) for side in (-1, 1)]
+    for step in steps:
+        pairs = cut_lineage(step(cues, free))
+        done = pairs if done is None else done.unionByName(pairs)
+        cues, free = cues.join(pairs, "cue_id", "left_anti"), free.join(pairs, "control_id", "left_anti")
+        cues, free = cut_lineage(cues), cut_lineage(free)
     return done
 
 
+def _paired_suitable(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap: int) -> DataFrame:
+    """Cues and controls of a key with equal md5 ranks, where they are far enough apart."""
+    left = hashed_rank(cues, keys, "cue_id", f"{seed}:cue", "__rank")
+    right = hashed_rank(free, keys, "control_id", f"{seed}:control", "__rank")
+    pairs = left.join(right.select(*keys, "__rank", "control_id", "control_ms"), [*keys, "__rank"])
+    return pairs.withColumn("distance_ms", F.abs(F.col("cue_ms") - F.col("control_ms"))).filter(F.col("distance_ms") >= gap).select(*PAIR)
+
+
+def _drawn_suitable(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap: int) -> DataFrame:
+    """Each cue draws a control between ``gap`` and its search radius; a contested one goes to the cue with the fewest controls."""
+    near = _nearest_suitable(cues, free, keys, gap)
+    asked = cues.join(near.select("cue_id", "__n", search_radius(F.col("distance_ms")).alias("__r")), "cue_id")
+    # how many controls of the key lie before each end of the two stretches that hold candidates
+    ends = {"__a": (-F.col("__r"), False), "__b": (F.lit(-gap), True), "__c": (F.lit(gap), False), "__d": (F.col("__r"), True)}
+    marks = asked.select(*keys, "cue_id", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("mark"), (F.col("cue_ms") + shift).cast("bigint").alias("t"), F.lit(2 if closed else 0).alias("kind"))
+        for name, (shift, closed) in ends.items()])).alias("m")).select(*keys, "m.t", "m.kind", F.col("cue_id").alias("id"), "m.mark")
+    points = free.select(*keys, F.col("control_ms").alias("t"), F.lit(1).alias("kind"), F.col("control_id").alias("id"), F.lit("").alias("mark"))
+    line = Ordered(marks.unionByName(points), keys, ["t", "kind", "id", "mark"]).running({"upto": (F.col("kind") == 1).cast("bigint")}).done()
+    counted = line.filter("kind <> 1").groupBy(F.col("id").alias("cue_id")).agg(*[F.max(F.when(F.col("mark") == name, F.col("upto"))).alias(name) for name in ends])
+    before, after = F.col("__b") - F.col("__a"), F.col("__d") - F.col("__c")
+    drawn = draw60(seed, "draw", F.col("cue_id")) % (before + after)
+    place = F.when(drawn < before, F.col("__a") + drawn).otherwise(F.col("__c") + drawn - before) + 1
+    wishes = asked.join(counted.filter(before + after > 0).select("cue_id", place.alias("upto")), "cue_id")
+    numbered = line.filter("kind = 1").select(*keys, "upto", F.col("id").alias("control_id"), F.col("t").alias("control_ms"))
+    met = wishes.join(numbered, [*keys, "upto"]).withColumn("distance_ms", F.abs(F.col("cue_ms") - F.col("control_ms")))
+    first = F.min_by(F.struct("cue_id", "distance_ms"), F.struct(F.col("__n"), draw60(seed, F.col("cue_id")), F.col("cue_id")))
+    return met.groupBy("control_id").agg(first.alias("c")).select("c.cue_id", "control_id", "c.distance_ms")
+
+
+def _bracketed(cues: DataFrame, free: DataFrame, keys: list[str], gap: int, side: int) -> DataFrame:
+    """Controls before (side -1) or after (side 1) the cues, matched like brackets: a control opens, a cue closes ``gap`` later.
+
+    On a level of the running sum openings and closings take turns, so a cue takes the opening before it on its level, and none is left while an
+    earlier control is free.
+    """
+    closing = cues.select(*keys, ((F.col("cue_ms") + side * gap) * -side).alias("t"), F.lit(1).alias("kind"), F.col("cue_id").alias("id"), F.col("cue_ms").alias("ms"))
+    opening = free.select(*keys, (F.col("control_ms") * -side).alias("t"), F.lit(0).alias("kind"), F.col("control_id").alias("id"), F.col("control_ms").alias("ms"))
+    step = F.when(F.col("kind") == 0, 1).otherwise(-1).cast("bigint")
+    line = Ordered(opening.unionByName(closing), keys, ["t", "kind", "id"]).running({"level": step}).done()
+    line = line.withColumn("level", F.col("level") + F.col("kind"))  # the level a closing leaves, an opening reaches
+    turns = Ordered(line, [*keys, "level"], ["t", "kind", "id"]).neighbour(["kind", "id", "ms"], "last", -1).done()
+    met = turns.filter((F.col("kind") == 1) & (F.col("last.kind") == 0))
+    return met.select(F.col("id").alias("cue_id"), F.col("last.id").alias("control_id"), F.abs(F.col("ms") - F.col("last.ms")).alias("distance_ms"))
+
+
 def _nearest_suitable(cues, free, keys, gap) -> DataFrame:
     """(cue_id, control_id, distance_ms, __n): nearest control at least ``gap`` away.
 

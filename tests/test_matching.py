@@ -88,3 +88,55 @@ def test_folds_keep_groups_whole_for_any_partitioning(spark):
     assert a == b
     rotated = rotate_splits(group_folds(df, "g", "y", 5), 5)
     assert rotated.count() == 1500 and leaking_groups(rotated, "g").isEmpty()
+
+
+def test_radius_draws_spread_over_the_first_step(spark):
+    """One cue for each of many groups and twenty controls inside ten seconds: any of them may be drawn, farther ones never."""
+    cues = spark.createDataFrame([(g, 0, g, 50_000) for g in range(200)], "g long, chunk long, cue_id long, time_ms long")
+    pool = spark.createDataFrame(
+        [(g, 1, 10_000 + g * 30 + i, 50_000 + (i - 10) * 950 + (475 if i >= 10 else 0)) for g in range(200) for i in range(21)]
+        + [(g, 1, 10_000 + g * 30 + 25, 75_000) for g in range(200)], "g long, chunk long, control_id long, time_ms long")
+    got = matching.strict_controls(cues, pool, group=["g"], chunk="chunk").toPandas()
+    assert len(got) == 200 and set(got.stage) == {"radius"} and got.distance_ms.between(1000, 10_000).all()
+    places = (got.control_id - 10_000) % 30
+    assert places.nunique() >= 15 and places.value_counts().max() < 40
+    assert matching.strict_controls(cues.repartition(7), pool.repartition(3), group=["g"], chunk="chunk").toPandas().sort_values("cue_id").control_id.tolist() == got.sort_values("cue_id").control_id.tolist()
+
+
+def test_strict_controls_take_a_fixed_number_of_jobs(spark):
+    def jobs(n):
+        cues = spark.createDataFrame([(0, 0, i, i * 7) for i in range(n)], "g long, chunk long, cue_id long, time_ms long")
+        pool = spark.createDataFrame([(0, 0, 10_000 + i, i * 5) for i in range(n)], "g long, chunk long, control_id long, time_ms long")
+        context = spark.sparkContext
+        context.setJobGroup(f"strict {n}", "strict")
+        matched = matching.strict_controls(cues, pool, group=["g"], chunk="chunk").count()
+        found = len(context.statusTracker().getJobIdsForGroup(f"strict {n}"))
+        context.setJobGroup("", "")
+        return found, matched
+
+    few, none = jobs(4)
+    many, matched = jobs(400)
+    assert none == 0 and matched > 200 and many <= few + 20  # a stage found empty saves its jobs
+    assert abs(jobs(800)[0] - many) <= 4
+
+
+@pytest.mark.parametrize("side", [-1, 1])
+def test_brackets_leave_no_free_control_on_their_side(spark, side):
+    rng = np.random.default_rng(9)
+    cues = pd.DataFrame({"g": rng.integers(0, 3, 80), "cue_id": range(80), "cue_ms": rng.integers(0, 20_000, 80)})
+    free = pd.DataFrame({"g": rng.integers(0, 3, 60), "control_id": range(100, 160), "control_ms": rng.integers(0, 20_000, 60)})
+    got = matching._bracketed(spark.createDataFrame(cues), spark.createDataFrame(free), ["g"], 700, side).toPandas()
+    assert got.cue_id.is_unique and got.control_id.is_unique and len(got) > 30
+    m = got.merge(cues, on="cue_id").merge(free, on="control_id", suffixes=("", "_c"))
+    assert (m.g == m.g_c).all() and ((m.control_ms - m.cue_ms) * side >= 700).all() and ((m.control_ms - m.cue_ms).abs() == m.distance_ms).all()
+    rest = cues[~cues.cue_id.isin(got.cue_id)].merge(free[~free.control_id.isin(got.control_id)], on="g")
+    assert ((rest.control_ms - rest.cue_ms) * side < 700).all()
+    # as many pairs as taking, for each cue in turn, any control that is still free
+    want = 0
+    for g in range(3):
+        spare = sorted((free[free.g == g].control_ms * -side).tolist())
+        for t in sorted(((cues[cues.g == g].cue_ms + side * 700) * -side).tolist()):
+            if spare and spare[0] <= t:
+                spare.pop(0)
+                want += 1
+    assert len(got) == want
