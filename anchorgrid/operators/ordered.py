@@ -1,10 +1,11 @@
 """Ordered-window operators that survive hot keys.
 
 A plain window sends all rows of one key to one task. Here the key counts are looked at
-first (one pre-aggregated pass). Keys above a row limit are cut along their order column
-into segments, the window runs per (key, segment), and the few values that have to cross a
-segment edge are computed on the segment summaries and joined back. The number of hot keys
-and cuts is bounded by construction, so the split table is safe to broadcast.
+first (one pre-aggregated pass). Keys above a row limit are cut into segments at splitters
+drawn from their rows, the window runs per (key, segment), and the few values that have to cross a
+segment edge are computed on the segment summaries and joined back. A splitter is a whole
+order tuple, so a run of equal first columns is cut like any other. The number of splitters
+is bounded by construction, so the split table is safe to broadcast.
 """
 
 from __future__ import annotations
@@ -16,19 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SEGMENT_ROWS = 1_000_000
 MAX_CUTS = 10_000
-MAX_SEGMENTS = 4_096
 STRIDE = 64
+SAMPLES = 32  # drawn for each segment
 SEG = "__segment"
 
 
-def _two_levels(cuts: list[float]) -> tuple[list[float], list[float]]:
-    """Every 64th cut, and all of them: a look-up reads two short stretches."""
-    cuts = sorted(float(c) for c in cuts)
-    return cuts[::STRIDE], cuts
-
-
 def _segment(heads: Column, cuts: Column, here: Column) -> Column:
-    """How many cuts lie below the value."""
+    """How many cuts lie below the order tuple; every 64th is in ``heads``, so two short stretches are read."""
     below = lambda a: F.size(F.filter(a, lambda c: c < here))
     block = F.transform(F.array(below(heads)), lambda k: F.when(k == 0, F.lit(0)).otherwise(
         (k - 1) * STRIDE + below(F.slice(cuts, (k - 1) * STRIDE + 1, F.lit(STRIDE)))))
@@ -39,7 +34,7 @@ def _segment(heads: Column, cuts: Column, here: Column) -> Column:
 class Ordered:
     """Rows of ``df`` in the order ``order`` inside each ``keys`` group.
 
-    ``order`` must be a total order; its first column is the numeric one used for cutting.
+    ``order`` must be a total order; its columns may have any type that can be compared.
     """
 
     df: DataFrame
@@ -53,7 +48,6 @@ class Ordered:
         self._cut()
 
     def _cut(self) -> None:
-        cut_on = self.order[0]
         counts = self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n"))
         total, largest = counts.agg(F.sum("__n"), F.max("__n")).first()
         limit = max(self.segment_rows, (total or 0) // MAX_CUTS)
@@ -61,33 +55,20 @@ class Ordered:
             self.df = self.df.withColumn(SEG, F.lit(0))
             return
         self.split = True
-        pieces = min(MAX_SEGMENTS, -(-largest // limit))
-        points = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-        value = F.percentile_approx(F.col(cut_on).cast("double"), points, F.lit(min(100_000, pieces * 50)))
-        here = F.col(cut_on).cast("double")
-        if not self.keys:
-            heads, cuts = _two_levels(list(self.df.agg(value).first()[0]))
-            lit = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-            self.df = self.df.withColumn(SEG, _segment(lit(heads), lit(cuts), here))
-            return
         hot = counts.filter(F.col("__n") > limit)
-        found = (
-            self.df.join(F.broadcast(hot), self.keys)
-            .groupBy(*self.keys).agg(value.alias("__cuts"), F.max("__n").alias("__n"))
-        )
-        # a key keeps one cut per limit, so all keys together keep at most 2 * MAX_CUTS numbers;
-        # they are fixed here so that every reader of the plan sees the same cuts
-        rows = []
-        for r in found.toLocalIterator():
-            want = min(pieces, -(-r["__n"] // limit))
-            kept = [r["__cuts"][round(i * pieces / want) - 1] for i in range(1, want)]
-            rows.append((*[r[k] for k in self.keys], *_two_levels(kept)))
-        schema = found.select(*self.keys, F.col("__cuts").alias("__heads"), "__cuts").schema
-        local = self.df.sparkSession.createDataFrame(rows, schema)
-        joined = self.df.join(F.broadcast(local), self.keys, "left")
-        self.df = joined.withColumn(
-            SEG, F.coalesce(_segment(F.col("__heads"), F.col("__cuts"), here), F.lit(0))
-        ).drop("__heads", "__cuts")
+        rows = self.df.join(F.broadcast(hot), self.keys) if self.keys else attach_row(self.df, hot)
+        # rows are drawn by a hash of their place, so every reader of the plan sees the same splitters
+        place = [*self.keys, *self.order]
+        drawn = F.pmod(F.xxhash64(*place), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, SAMPLES / limit)))
+        order = F.struct(*[F.col(c) for c in self.order])
+        sample = rows.filter(drawn).groupBy(*self.keys).agg(F.array_sort(F.collect_list(order)).alias("__s"))
+        # at most MAX_CUTS * SAMPLES tuples in all: one splitter per SAMPLES of them
+        cuts = F.filter("__s", lambda x, i: i % SAMPLES == SAMPLES - 1)
+        found = sample.select(*self.keys, cuts.alias("__cuts")).withColumn("__heads", F.filter("__cuts", lambda x, i: i % STRIDE == 0))
+        found = found.select(*self.keys, "__heads", "__cuts")
+        local = self.df.sparkSession.createDataFrame(found.toLocalIterator(), found.schema)
+        joined = self.df.join(F.broadcast(local), self.keys, "left") if self.keys else attach_row(self.df, local)
+        self.df = joined.withColumn(SEG, F.coalesce(_segment(F.col("__heads"), F.col("__cuts"), order), F.lit(0))).drop("__heads", "__cuts")
 
     # -- building blocks -------------------------------------------------------------
 
@@ -196,32 +177,52 @@ def with_group_size(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return df.join(sizes, list(keys))
 
 
+ACCURACY = 10_000  # of the sketch that brackets a quantile
+MARGIN = 8 / ACCURACY  # of rank on both sides, well beyond the sketch's error
+
+
+def quantile_bracket(df: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
+    """(keys, __low, __high): values between which the quantile lies, with about two thousandths of the rows of a large key.
+
+    Below four ranks of margin the bracket is the whole key, at most 5,000 rows.
+    """
+    ranks = F.array(F.lit(max(0.0, q - MARGIN)), F.lit(min(1.0, q + MARGIN)))
+    found = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.percentile_approx(F.col(value), ranks, ACCURACY).alias("__b"), F.count(F.lit(1)).alias("__n"), F.min(value).alias("__min"), F.max(value).alias("__max"))
+    large = F.col("__n") * MARGIN >= 4
+    return found.select(*keys, F.when(large, F.col("__b")[0]).otherwise(F.col("__min")).alias("__low"), F.when(large, F.col("__b")[1]).otherwise(F.col("__max")).alias("__high"))
+
+
 def exact_quantile(
     df: DataFrame, keys: Sequence[str], value: str, q: float, name: str
 ) -> DataFrame:
-    """Linear-interpolation quantile per key from distinct values and running counts.
+    """Linear-interpolation quantile per key, in two passes.
 
-    Duplicates are pre-aggregated and hot keys are cut, so no task holds a whole group.
+    The first brackets it by a sketch. The second counts the rows below the bracket and adds up
+    the distinct values inside, the only ones that are shuffled and ordered. Hot keys and long
+    runs of one value need no more, because counts are pre-aggregated.
     """
     keys = list(keys)
-    cells = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    ranked = Ordered(cells, keys, [value]).running({"__upto": F.col("__c")}).done()
-    totals = ranked.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    at = F.lit(q) * (F.col("__n") - 1)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    bracketed = join_on(rows, quantile_bracket(df, keys, value, q), keys)
+    inside = (F.col("__v") >= F.col("__low")) & (F.col("__v") <= F.col("__high"))
+    cells = bracketed.groupBy(*keys, F.when(inside, F.col("__v")).alias("__v")).agg(
+        F.count(F.lit(1)).alias("__c"), F.sum((F.col("__v") < F.col("__low")).cast("bigint")).alias("__below"))
+    totals = cells.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.sum("__below").alias("__below"))
+    ranked = Ordered(cells.filter("__v IS NOT NULL").drop("__below"), keys, ["__v"]).running({"__upto": F.col("__c")}).done()
     both = join_on(ranked, totals, keys)
+    upto = F.col("__upto") + F.col("__below")
+    at = F.lit(q) * (F.col("__n") - 1)
 
     def at_rank(rank: Column) -> Column:
-        inside = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
-        return F.max(F.when(inside, F.col(value).cast("double")))
+        here = (upto > rank) & (upto - F.col("__c") <= rank)
+        return F.max(F.when(here, F.col("__v").cast("double")))
 
     low, high = F.floor(at), F.ceil(at)
-    return both.groupBy(*keys).agg(
-        at_rank(low).alias("__lo"), at_rank(high).alias("__hi"), F.max(at - low).alias("__f")
-    ).select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias(name))
+    found = both.groupBy(*keys).agg(at_rank(low).alias("__lo"), at_rank(high).alias("__hi"), F.max(at - low).alias("__f"))
+    missed = F.raise_error(F.lit("the bracket of a quantile missed it"))
+    value_at = F.when(F.col("__lo").isNull() | F.col("__hi").isNull(), missed.cast("double")).otherwise(F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f"))
+    return found.select(*keys, value_at.alias(name))
 
 
 def centred_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, half: int, name: str) -> DataFrame:

@@ -71,3 +71,39 @@ def test_quantile_and_centred_mean(rows, monkeypatch):
 def test_attach_row_rejects_more_than_one(spark):
     with pytest.raises(Exception):
         attach_row(spark.range(3), spark.range(2).withColumnRenamed("id", "b")).collect()
+
+
+def test_ties_of_the_first_column_are_cut(spark):
+    df = spark.range(2000).select(F.lit("same").alias("zero"), F.col("id"), (F.col("id") % 7).alias("x")).repartition(6)
+    line = Ordered(df, [], ["zero", "id"], segment_rows=100)
+    sizes = line.df.groupBy("__segment").count().toPandas()["count"]
+    assert line.split and len(sizes) >= 20 and sizes.max() < 300
+    got = line.numbered("rn").running({"s": F.col("x")}).neighbour(["id"], "p", -1).carried(F.when(F.col("x") == 0, F.col("id")), "c", 1).done().orderBy("id").toPandas()
+    assert got["rn"].tolist() == list(range(1, 2001)) and got["s"].tolist() == np.cumsum(np.arange(2000) % 7).tolist()
+    assert [None if r is None else r["id"] for r in got["p"]] == [None, *range(1999)]
+    assert got["c"].fillna(-1).tolist() == [-(-i // 7) * 7 if -(-i // 7) * 7 < 2000 else -1 for i in range(2000)]
+
+
+def test_text_order_and_nulls_in_the_order(spark):
+    df = spark.range(900).select(F.when(F.col("id") % 3 != 0, F.concat(F.lit("g"), F.col("id") % 5)).alias("g"), F.col("id"), (F.col("id") % 2).alias("key"))
+    line = Ordered(df, ["key"], ["g", "id"], segment_rows=40)
+    assert line.split and line.df.select("key", "__segment").distinct().count() >= 15
+    got = line.numbered("rn").done().toPandas().sort_values(["key", "rn"])
+    want = df.toPandas().assign(r=lambda x: x.g.fillna("")).sort_values(["key", "r", "id"])
+    assert got["id"].tolist() == want["id"].tolist()
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.975, 1.0])
+def test_quantile_of_continuous_values(spark, q):
+    from anchorgrid.operators.ordered import quantile_bracket
+
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"key": rng.integers(0, 3, 60_000), "x": np.where(rng.random(60_000) < 0.3, 0.5, rng.normal(size=60_000))})
+    frame.loc[0, "key"] = 9  # a key of one row
+    df = spark.createDataFrame(frame).repartition(5)
+    want = frame.groupby("key")["x"].quantile(q).sort_index()
+    assert exact_quantile(df, ["key"], "x", q, "q").toPandas().set_index("key")["q"].sort_index().tolist() == pytest.approx(want.tolist())
+    assert exact_quantile(df, [], "x", q, "q").first()["q"] == pytest.approx(frame["x"].quantile(q))
+    ordered = df.join(quantile_bracket(df, ["key"], "x", q), "key").where("x BETWEEN __low AND __high").select("key", "x").distinct().count()
+    assert ordered < 0.01 * len(frame)
+    assert exact_quantile(df.where("false"), ["key"], "x", q, "q").count() == 0
