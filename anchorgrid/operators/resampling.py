@@ -1,14 +1,18 @@
 """Bootstrap intervals and paired tests.
 
-Draw ``i`` of repetition ``b`` is row ``md5(seed:b:i) mod n``, with 60 bits of the md5. Metrics that are functions of
-counts never touch the rows again: rows are put in cell order, so a drawn index falls into a
-cell by comparing it with a few boundaries. Only ranking metrics join draws to rows.
+A metric that is a function of counts never draws rows: how often a repetition draws each cell (label and predictions) is a
+multinomial, taken cell by cell as a binomial of what is left. Its uniform is ``md5(seed:repetition:cell)`` with 60 bits, turned
+into a count by the exact distribution, so a repetition costs as many rows as there are cells. Only ranking metrics and
+clusters draw rows: draw ``i`` of repetition ``b`` is row ``md5(seed:b:i) mod n``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,24 +43,66 @@ def percentile_interval(values: DataFrame, by: list[str], value: str = "value",
     ).select(*by, F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"), "dropped")
 
 
+_LOG_FACTORIALS = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 32)))])
+GRID = 1 << 20  # probabilities looked at together
+
+
+def log_factorial(x: np.ndarray) -> np.ndarray:
+    """ln x! of non-negative whole numbers, by Stirling's series from 32 on."""
+    z = np.maximum(x, 32) + 1.0
+    series = (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return np.where(x < 32, _LOG_FACTORIALS[np.minimum(x, 31).astype(int)], series)
+
+
+def binomial_quantile(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Smallest k with P(X <= k) >= u for X binomial of n and p, for each pair of u and n.
+
+    Only twelve deviations around the mean are looked at; beyond them lies less than 1e-30.
+    """
+    if p >= 1:
+        return n.copy()
+    out = np.empty(len(u), dtype=np.int64)
+    spread = 12 * np.sqrt(n * p * (1 - p)) + 12
+    low = np.maximum(0, np.floor(n * p - spread)).astype(np.int64)
+    width = int(min(n.max(initial=0), np.ceil(2 * spread.max(initial=0)) + 2)) + 1
+    rows = max(1, GRID // width)
+    for a in range(0, len(u), rows):
+        m, start = n[a : a + rows, None], low[a : a + rows, None]
+        k = start + np.arange(width)
+        here = np.minimum(k, m)
+        log = log_factorial(m) - log_factorial(here) - log_factorial(m - here) + here * math.log(p) + (m - here) * math.log1p(-p)
+        reached = np.cumsum(np.where(k <= m, np.exp(log), 0.0), axis=1)
+        out[a : a + rows] = np.minimum(m[:, 0], start[:, 0] + (reached < u[a : a + rows, None]).sum(axis=1))
+    return out
+
+
 def cell_draws(cells: DataFrame, keys: list[str], reps: int, seed: int = 42) -> DataFrame:
     """Per repetition how often each cell is drawn: (rep, keys, n).
 
-    cells: keys and n, a handful of rows (label x predictions), checked against a limit.
+    cells: keys and n, a handful of rows (label x predictions), checked against a limit. The counts of a repetition are one
+    draw of as many rows as the cells hold, with replacement.
     """
     rows = cells.select(*keys, "n").limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         raise ComparisonError("too many cells for counted draws")
     rows = sorted(rows, key=lambda r: tuple(r[k] for k in keys))
-    ends, upto = [], 0
-    for r in rows:
-        upto += r["n"]
-        ends.append(upto)
-    hit = draws(cells.sparkSession, upto, reps, seed)
-    cell = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("ix")))
-    counted = hit.groupBy("rep", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    listed = cells.sparkSession.createDataFrame(
-        [(i, *[r[k] for k in keys]) for i, r in enumerate(rows)], "cell int, " + ", ".join(f"{k} bigint" for k in keys))
+    sizes = [r["n"] for r in rows]
+    total = sum(sizes)
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            reps_here = batch["rep"].to_numpy()
+            left, rest = np.full(len(reps_here), total, dtype=np.int64), total
+            for cell, size in enumerate(sizes):
+                digits = [hashlib.md5(f"{seed}:{rep}:{cell}".encode()).hexdigest()[:15] for rep in reps_here]
+                u = (np.array([int(d, 16) for d in digits], dtype=float) + 0.5) / 2.0**60
+                taken = binomial_quantile(u, left, size / rest if rest else 1.0)
+                yield pd.DataFrame({"rep": reps_here, "cell": cell, "n": taken})
+                left, rest = left - taken, rest - size
+
+    spark = cells.sparkSession
+    counted = spark.range(reps).select(F.col("id").alias("rep")).mapInPandas(drawn, "rep bigint, cell int, n bigint")
+    listed = spark.createDataFrame([(i, *[r[k] for k in keys]) for i, r in enumerate(rows)], "cell int, " + ", ".join(f"{k} bigint" for k in keys))
     return counted.join(F.broadcast(listed), "cell").drop("cell")
 
 

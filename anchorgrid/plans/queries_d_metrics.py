@@ -144,12 +144,29 @@ def _drawn(source, order):
     return f"SELECT d.rep, d.n, x.* FROM ({_DRAW % (source, source)}) d JOIN (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS ix FROM ({source})) x ON x.ix = d.ix"
 
 
+def _cell_draws(source, keys, most):
+    """Counts of each cell in each repetition: binomials of what is left, by the smallest count whose cumulated probability reaches the uniform."""
+    names = ", ".join(keys)
+    steps = [f"""WITH c AS MATERIALIZED (SELECT *, sum(n) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(n) OVER () AS total
+  FROM (SELECT row_number() OVER (ORDER BY {names}) - 1 AS i, {names}, n FROM (SELECT {names}, count(*)::BIGINT AS n FROM ({source}) GROUP BY ALL))),
+  d0 AS MATERIALIZED (SELECT rep, (SELECT max(total) FROM c)::BIGINT AS remains, 0::BIGINT AS k FROM (SELECT unnest(range(0, {REPS})) AS rep))"""]
+    for i in range(most):
+        u = f"({h60(f"'42:' || rep || ':{i}'")} + 0.5) / pow(2.0, 60)"
+        steps.append(f"""d{i + 1} AS MATERIALIZED (SELECT rep, left_over - k AS remains, k FROM (SELECT s.rep, any_value(s.remains) AS left_over,
+    CASE WHEN any_value(c.n) IS NULL THEN 0 WHEN any_value(c.n) = any_value(c.rest) THEN any_value(s.remains) ELSE coalesce(min(s.j) FILTER (s.reached >= s.u), any_value(s.remains)) END::BIGINT AS k
+    FROM (SELECT rep, remains, j, u, sum(exp(lgamma(remains + 1) - lgamma(j + 1) - lgamma(remains - j + 1) + j * ln(p) + (remains - j) * ln(1 - p))) OVER (PARTITION BY rep ORDER BY j) AS reached
+      FROM (SELECT rep, remains, {u} AS u, unnest(range(0, remains + 1)) AS j, least((SELECT n::DOUBLE / rest FROM c WHERE i = {i}), 0.9999999999) AS p FROM d{i})) s
+    LEFT JOIN c ON c.i = {i} GROUP BY s.rep))""")
+    union = " UNION ALL ".join(f"SELECT rep, k AS n, c.* EXCLUDE (i, n, rest, total) FROM d{i + 1} JOIN c ON c.i = {i}" for i in range(most))
+    return f"{', '.join(steps)} {union}"
+
+
 def _interval(values):
     return f"SELECT {q6('quantile_cont(value, 0.025)')} AS lower, {q6('quantile_cont(value, 0.975)')} AS upper, count(*) - count(value) AS dropped FROM ({values})"
 
 
 @query("A11_bootstrap_macro_f1", f"""SELECT *, (SELECT {q6(SQL['macro_f1'])} FROM ({cells_sql(_A, '')})) AS point
-  FROM ({_interval(f"SELECT rep, {SQL['macro_f1']} AS value FROM ({cells_sql(_drawn(_A, 'label, prediction, sample_id'), 'rep', w='n')})")})""")
+  FROM ({_interval(f"SELECT rep, {SQL['macro_f1']} AS value FROM ({cells_sql(_cell_draws(_A, ['label', 'prediction'], 4), 'rep', w='n')})")})""")
 def _(t):
     out = rs.bootstrap_threshold_metric(t.preds.filter("model = 'a'"), "macro_f1", REPS)
     return out.select(*[r6(F.col(c)).alias(c) for c in ("lower", "upper", "point")], "dropped")
@@ -177,7 +194,7 @@ def _(t):
 
 _PB = f"""SELECT rep, (SELECT {SQL['macro_f1']} FROM (SELECT ta AS tp, fa AS fp, na AS tn, ma AS fn)) AS a, (SELECT {SQL['macro_f1']} FROM (SELECT tb AS tp, fb AS fp, nb AS tn, mb AS fn)) AS b FROM (
   SELECT rep, {', '.join(f"coalesce(sum(n) FILTER (label = {y} AND p{m} = {p}), 0)::DOUBLE AS {c}{m}" for m in 'ab' for c, y, p in (('t', 1, 1), ('f', 0, 1), ('n', 0, 0), ('m', 1, 0)))}
-  FROM ({_drawn(_PAIR, 'label, pa, pb, sample_id')}) GROUP BY rep)"""
+  FROM ({_cell_draws(_PAIR, ['label', 'pa', 'pb'], 8)}) GROUP BY rep)"""
 
 
 @query("A12_paired_bootstrap", f"""SELECT {q6('quantile_cont(a - b, 0.025)')} AS lower, {q6('quantile_cont(a - b, 0.975)')} AS upper, {q6('avg((a > b)::INTEGER)')} AS probability_a_better FROM ({_PB})""")
@@ -213,10 +230,8 @@ _CL = f"SELECT group_id, {', '.join(f'{c}::DOUBLE AS {c}' for c in ('tp', 'fp',
   FROM (SELECT rep, {SQL['macro_f1']} AS value FROM (SELECT rep, sum(n * tp) AS tp, sum(n * fp) AS fp, sum(n * tn) AS tn, sum(n * fn) AS fn FROM ({_drawn(_CL, 'group_id')}) GROUP BY rep))""")
 def _(t):
     clusters = mt.confusion(t.preds.filter("model = 'a'"), ["group_id"])
-    # the group name is no number, so the order starts with a constant
-    clusters = clusters.withColumn("zero", F.lit(0))
     value = mt.metric_columns(*[F.col(c) for c in mt.COUNTS])["macro_f1"]
-    return rs.cluster_bootstrap(clusters, ["zero", "group_id"], list(mt.COUNTS), value, REPS).select(*[r6(F.col(c)).alias(c) for c in ("lower", "upper", "point")])
+    return rs.cluster_bootstrap(clusters, ["group_id"], list(mt.COUNTS), value, REPS).select(*[r6(F.col(c)).alias(c) for c in ("lower", "upper", "point")])
 
 
 _FM = f"SELECT fold, {SQL['macro_f1']} AS value FROM ({cells_sql(_A, 'fold')})"
