@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorgrid.functions.hashing import draw60
@@ -62,9 +64,9 @@ def duplicate_audit(df: DataFrame, id_column: str) -> DataFrame:
         F.concat_ws(":", F.lit("fold"), F.col("fold").cast("string"), F.col("split"), F.col(id_column).cast("string")).alias("sample_key"))
 
 
-def fold_compatibility(runs: DataFrame, signature: list[str], name: str = "run_name") -> DataFrame:
-    """One row: number of folds, distinct signatures and names, and whether they fit."""
-    row = runs.agg(
+def fold_compatibility(runs: DataFrame, signature: list[str], name: str = "run_name", by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each key ``by``: number of folds, distinct signatures and names, and whether they fit."""
+    row = runs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("folds"), F.countDistinct(F.struct(*signature)).alias("signatures"),
         F.countDistinct(name).alias("names"))
     return row.withColumn("compatible", (F.col("folds") >= 2) & (F.col("signatures") == 1) & (F.col("names") == F.col("folds")))

@@ -213,14 +213,15 @@ def _(t):
     return t.read("events").filter(F.col("event_type").isin("click", "signup")).select("event_id", "event_type")
 
 
-@query("F6_finite_cast", """SELECT doc_id, coalesce(try_cast(w AS DOUBLE), 0.0) AS x FROM (
-  SELECT doc_id, split_part(text, ' ', 1 + CAST(n_chars % 9 AS INTEGER)) AS w FROM documents)
-  WHERE regexp_matches(w, '^[0-9.]*$|^[a-z]*$') AND w <> 'nan' AND w <> 'inf' AND w <> 'infinity'""")
+# numbers, words, and what casts to a double without being finite
+@query("F6_finite_cast", """SELECT doc_id, n, CASE WHEN isfinite(try_cast(w AS DOUBLE)) THEN try_cast(w AS DOUBLE) ELSE 0.0 END AS x FROM (
+  SELECT doc_id, unnest(range(0, 6)) AS n, unnest([split_part(text, ' ', 1 + CAST(n_chars % 9 AS INTEGER)), 'nan', 'Infinity', '-inf', n_chars || '.5e3', '-' || n_chars || '.25']) AS w FROM documents)""")
 def _(t):
     word = F.split_part(F.col("text"), F.lit(" "), (1 + F.col("n_chars") % 9).cast("int"))
-    docs = t.read("documents").select("doc_id", word.alias("w"))
-    docs = docs.filter(F.col("w").rlike("^[0-9.]*$|^[a-z]*$") & ~F.col("w").isin("nan", "inf", "infinity"))
-    return docs.select("doc_id", v.finite(F.col("w")).alias("x"))
+    size = F.col("n_chars").cast("string")
+    made = F.array(word, F.lit("nan"), F.lit("Infinity"), F.lit("-inf"), F.concat(size, F.lit(".5e3")), F.concat(F.lit("-"), size, F.lit(".25")))
+    docs = t.read("documents").select("doc_id", F.posexplode(made).alias("n", "w"))
+    return docs.select("doc_id", F.col("n").cast("bigint").alias("n"), v.finite(F.col("w")).alias("x"))
 
 
 @query("F7_fixed_array", """SELECT vec_id, i - 1 AS ix, CASE WHEN i <= 3 + vec_id % 8 THEN embedding[i]::DOUBLE ELSE 0.0 END AS x

@@ -337,13 +337,12 @@ def _(t):
     return folds.duplicate_audit(rows, "sample_id")
 
 
-@query("V6_fold_compatibility", f"""SELECT lang, count(*) AS folds, count(DISTINCT fold % 2) AS signatures, count(DISTINCT fold) AS names,
-  count(*) >= 2 AND count(DISTINCT fold % 2) = 1 AND count(DISTINCT fold) = count(*) AS compatible
-  FROM (SELECT DISTINCT lang, fold FROM ({PREDS}) WHERE lang IN (SELECT min(lang) FROM documents)) GROUP BY lang""")
+@query("V6_fold_compatibility", f"""SELECT lang, count(*) AS folds, count(DISTINCT CASE WHEN lang < 'e' THEN 0 ELSE fold % 2 END) AS signatures, count(DISTINCT fold) AS names,
+  count(*) >= 2 AND count(DISTINCT CASE WHEN lang < 'e' THEN 0 ELSE fold % 2 END) = 1 AND count(DISTINCT fold) = count(*) AS compatible
+  FROM (SELECT DISTINCT lang, fold FROM ({PREDS})) GROUP BY lang""")
 def _(t):
-    runs = t.preds.join(F.broadcast(t.read("documents").agg(F.min("lang").alias("lang"))), "lang").select("lang", "fold").distinct()
-    runs = runs.withColumn("signature", F.col("fold") % 2)
-    return attach_row(folds.fold_compatibility(runs, ["signature"], "fold"), runs.select("lang").distinct())
+    runs = t.preds.select("lang", "fold").distinct().withColumn("signature", F.when(F.col("lang") < "e", 0).otherwise(F.col("fold") % 2))
+    return folds.fold_compatibility(runs, ["signature"], "fold", ["lang"])
 
 
 _POOLED = f"""SELECT sample_id, fold, label, probability FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY fold, probability) AS rn FROM (

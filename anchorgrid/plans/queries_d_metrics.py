@@ -310,9 +310,12 @@ def _(t):
     return out.select("modality", "scope", *[r6(F.col(f"{m}_decrease"), 5).alias(f"{m}_decrease") for m in at.METRICS], "rank")
 
 
+ORDERINGS = 32
+
+
 def shap_sql(bits):
     order = f"""SELECT unit, rev, bit, CASE WHEN rev = 0 THEN r ELSE {bits - 1} - r END AS pos FROM (SELECT unit, bit, row_number() OVER (PARTITION BY unit ORDER BY {h60("'42:' || unit || ':' || bit")}) - 1 AS r
-  FROM (SELECT unnest(range(0, 4)) AS unit), (SELECT unnest(range(0, {bits})) AS bit)), (VALUES (0), (1)) v(rev)"""
+  FROM (SELECT unnest(range(0, {ORDERINGS // 2})) AS unit), (SELECT unnest(range(0, {bits})) AS bit)), (VALUES (0), (1)) v(rev)"""
     steps = f"SELECT *, sum(1 << bit) OVER (PARTITION BY unit, rev ORDER BY pos)::BIGINT AS after FROM ({order})"
     return f"""SELECT fold, sample_id, bit, avg(d) AS value, stddev_samp(d) / sqrt(count(*)) AS standard_error FROM (
   SELECT x.fold, x.sample_id, s.bit, s.unit, avg(x.logit - y.logit) AS d FROM ({steps}) s JOIN co x ON x.coalition = s.after
@@ -323,7 +326,7 @@ _SHAP = shap_sql(BITS)
 
 
 def shapley(t, bits=BITS):
-    return at.sampled_shapley(coalitions(t, bits), bits, 8)
+    return at.sampled_shapley(coalitions(t, bits), bits, ORDERINGS)
 
 
 @query("A20_sampled_shapley", f"WITH co AS MATERIALIZED ({_COAL}) SELECT fold, sample_id, bit, {q6('value', 5)} AS value, {q6('standard_error', 5)} AS standard_error FROM ({_SHAP})")
@@ -336,11 +339,12 @@ def _(t):
     return at.efficiency_gap(shapley(t), coalitions(t), BITS).withColumn("gap", r6(F.abs(F.col("gap")), 8))
 
 
-# on 4 bits: with 8, one of 3,192 rows at sf0.01 differs from the SQL in the third decimal (9.337 and 9.338)
-@query("A21_sample_attributions", f"""WITH co AS MATERIALIZED ({coal_sql(4)}) SELECT fold, sample_id, bit, {q6('abs(value) / sum(abs(value)) OVER (PARTITION BY sample_id) * 100', 3)} AS absolute_share_percent FROM ({shap_sql(4)})""")
+# values are rounded first: a share next to a rounding edge depends on the last bit of a sum
+@query("A21_sample_attributions", f"""WITH co AS MATERIALIZED ({_COAL}), v AS (SELECT fold, sample_id, bit, round(value, 9) AS value FROM ({_SHAP}))
+  SELECT fold, sample_id, bit, {q6('round(abs(value) / sum(abs(value)) OVER (PARTITION BY sample_id) * 100, 9)', 3)} AS absolute_share_percent FROM v""")
 def _(t):
-    out = at.sample_attributions(shapley(t, 4))
-    return out.select("fold", "sample_id", F.col("bit").cast("bigint").alias("bit"), r6(F.col("absolute_share_percent"), 3).alias("absolute_share_percent"))
+    out = at.sample_attributions(shapley(t).withColumn("value", F.round("value", 9)))
+    return out.select("fold", "sample_id", F.col("bit").cast("bigint").alias("bit"), r6(F.round("absolute_share_percent", 9), 3).alias("absolute_share_percent"))
 
 
 @query("A21_modality_attributions", f"""WITH co AS MATERIALIZED ({_COAL}) SELECT bit, {q6('avg(value)')} AS mean_signed, {q6('avg(abs(value))')} AS mean_absolute, {q6('avg(abs(value)) / (bit + 1)')} AS absolute_per_channel FROM ({_SHAP}) GROUP BY bit""")
@@ -358,33 +362,46 @@ def _(t):
     return out.select("fold", "sample_id", "modality", r6(F.col("difference")).alias("difference"))
 
 
-_ONES = ", ".join(str(c) for c in ONES)
-_VAR = f"""SELECT CASE WHEN c = {FULL} THEN 'full' WHEN c IN ({_ONES}) THEN 'modality_only' ELSE 'leave_one_out' END AS kind, CASE WHEN c = {FULL} THEN NULL WHEN c IN ({_ONES}) THEN 'm' || log2(c)::INTEGER ELSE 'm' || log2({FULL} - c)::INTEGER END AS modality,
-  (tp + tn) / (tp + fp + tn + fn) AS value FROM ({cells_sql(f"SELECT coalition AS c, label, (logit >= 0)::INTEGER AS yy FROM ({_COAL}) WHERE coalition IN ({FULL}, {_ONES}, {', '.join(str(FULL - c) for c in ONES)})", 'c', p='yy')})"""
+LOWER_FACE = 2**BITS - 1 - 6  # without the two bits that stand for the lower face
+_MASKS = ", ".join([f"('full', 'full', NULL, {FULL})", *(f"('modality_only-m{b}', 'modality_only', 'm{b}', {2**b})" for b in range(BITS)),
+                    *(f"('leave_one_out-m{b}', 'leave_one_out', 'm{b}', {FULL - 2**b})" for b in range(BITS)), f"('lower-face', 'lower_face', 'Facial', {LOWER_FACE})"])
+_VAR = f"""SELECT variant, kind, modality, {', '.join(f'{SQL[m]} AS {m}' for m in ('accuracy', 'macro_f1'))} FROM ({cells_sql(f"SELECT v.variant, v.kind, v.modality, label, (logit >= 0)::INTEGER AS yy FROM ({_COAL}) JOIN (VALUES {_MASKS}) v(variant, kind, modality, mask) ON mask = coalition", 'variant, kind, modality', p='yy')})"""
+
+
+def variant_scores(t):
+    variants = at.retraining_variants(t.spark, [f"m{b}" for b in range(BITS)])
+    bit = F.pow(F.lit(2.0), F.regexp_extract("modality", "m([0-9]+)", 1).try_cast("int"))
+    mask = F.when(F.col("kind") == "full", FULL).when(F.col("kind") == "modality_only", bit).when(F.col("kind") == "lower_face", LOWER_FACE).otherwise(FULL - bit)
+    # eighteen variants of eight modalities
+    rows = coalitions(t).withColumn("y", (F.col("logit") >= 0).cast("int")).join(F.broadcast(variants.withColumn("coalition", mask.cast("bigint"))), "coalition")
+    return mt.threshold_metrics(rows, ["variant", "kind", "modality"], prediction="y")
+
+
+@query("A22_retraining_variants", f"""SELECT v.variant, v.kind, v.modality, {q6('v.macro_f1')} AS macro_f1, {q6('f.macro_f1 - v.macro_f1')} AS decrease FROM ({_VAR}) v, (SELECT macro_f1 FROM ({_VAR}) WHERE kind = 'full') f""")
+def _(t):
+    scores = variant_scores(t).select("variant", "kind", "modality", "macro_f1")
+    rows = attach_row(scores, scores.filter("kind = 'full'").select(F.col("macro_f1").alias("__full")))
+    return rows.select("variant", "kind", "modality", r6(F.col("macro_f1")).alias("macro_f1"), r6(at.decrease(F.col("__full"), F.col("macro_f1"), "macro_f1")).alias("decrease"))
 
 
-@query("A22_retraining_rankings", f"""SELECT v.kind, v.modality, {q6('v.value')} AS value, row_number() OVER (PARTITION BY v.kind ORDER BY CASE WHEN v.kind = 'modality_only' THEN v.value ELSE f.value - v.value END DESC, v.modality)::INTEGER AS rank
-  FROM ({_VAR}) v, (SELECT value FROM ({_VAR}) WHERE kind = 'full') f WHERE v.kind <> 'full'""")
+@query("A22_retraining_rankings", f"""SELECT v.kind, v.modality, {q6('v.accuracy')} AS value, row_number() OVER (PARTITION BY v.kind ORDER BY CASE WHEN v.kind = 'modality_only' THEN v.accuracy ELSE f.accuracy - v.accuracy END DESC, v.modality)::INTEGER AS rank
+  FROM ({_VAR}) v, (SELECT accuracy FROM ({_VAR}) WHERE kind = 'full') f WHERE v.kind IN ('modality_only', 'leave_one_out')""")
 def _(t):
-    full = 2**BITS - 1
-    variants = at.retraining_variants(t.spark, [f"m{b}" for b in range(BITS)], lower_face=False)
-    bit = F.regexp_extract("modality", "m([0-9]+)", 1).try_cast("int")
-    mask = F.when(F.col("kind") == "full", full).when(F.col("kind") == "modality_only", F.pow(F.lit(2.0), bit)).otherwise(full - F.pow(F.lit(2.0), bit))
-    variants = variants.withColumn("coalition", mask.cast("bigint"))
-    rows = coalitions(t).withColumn("y", (F.col("logit") >= 0).cast("int")).join(F.broadcast(variants), "coalition")
-    scores = mt.threshold_metrics(rows, ["variant", "kind", "modality"], prediction="y").withColumnRenamed("accuracy", "value")
+    scores = variant_scores(t).withColumnRenamed("accuracy", "value")
     return at.retraining_rankings(scores.select("variant", "kind", "modality", "value")).select("kind", "modality", r6(F.col("value")).alias("value"), "rank")
 
 
+TARGETS = [*(f"m{b}" for b in range(BITS)), "All"]
+CONDITIONS = [*(("shift", m) for m in (-4, -2, -1, 1, 2, 4)), ("scale", 2), ("scale", 3)]
 # perturbed logits: the full logit moved by a hash that grows with the magnitude
 _ROB = f"""SELECT target, kind, magnitude, target || '/' || kind || '/' || magnitude AS ky, fold, sample_id, group_id, label, threshold, logit AS baseline_logit,
   round(logit + (abs(magnitude) / 4.0::DOUBLE) * ({h32("'r:' || target || ':' || kind || ':' || magnitude || ':' || sample_id")} % 2001 - 1000) / 500.0::DOUBLE, 6) AS perturbed_logit
-  FROM (SELECT c.*, source AS group_id FROM ({_COAL}) c JOIN documents d ON d.doc_id = c.sample_id WHERE coalition = {2**BITS - 1}), (VALUES ('m0'), ('m1'), ('All')) t(target), (VALUES ('shift', -2), ('shift', 1), ('scale', 3)) k(kind, magnitude)"""
+  FROM (SELECT c.*, source AS group_id FROM ({_COAL}) c JOIN documents d ON d.doc_id = c.sample_id WHERE coalition = {2**BITS - 1}), (VALUES {', '.join(f"('{x}')" for x in TARGETS)}) t(target), (VALUES {', '.join(map(str, CONDITIONS))}) k(kind, magnitude)"""
 
 
 def robustness_rows(t):
     cond = F.explode(F.array(*[F.struct(F.lit(a).alias("target"), F.lit(k).alias("kind"), F.lit(m).alias("magnitude"))
-                               for a in ("m0", "m1", "All") for k, m in (("shift", -2), ("shift", 1), ("scale", 3))])).alias("c")
+                               for a in TARGETS for k, m in CONDITIONS])).alias("c")
     rows = coalitions(t).filter(F.col("coalition") == 2**BITS - 1).select("*", cond).select("*", "c.target", "c.kind", "c.magnitude")
     noise = (draw("r", F.col("target"), F.col("kind"), F.col("magnitude"), F.col("sample_id")) % 2001 - 1000) / F.lit(500.0)
     return rows.withColumn("baseline_logit", F.col("logit")).withColumn(
