@@ -276,18 +276,3 @@ def features(values: Column, *blocks: tuple[str, dict], rows: int = 512) -> Colu
         return pd.Series(out)
 
     return extract(values)
-
-
-def feature_budget(samples: int) -> int:
-    """Nominal number of features by the number of samples."""
-    return 10_000 if samples < 1_000 else 2_000 if samples < 100_000 else 200
-
-
-def shared_budget_plan(samples: int, length: int, kernels: int = 8) -> dict[str, int]:
-    """Fixed-kernel and competing-kernel sizes that share one feature budget in equal parts."""
-    half = feature_budget(samples) // 2
-    dilations = int(np.ceil(np.log2((length - 1) / (TAPS - 1))))
-    if dilations < 1:
-        raise ValueError("series too short for competing kernels")
-    return {"budget": feature_budget(samples), "pattern_kernels": int(half / 2 / 4), "dilations": dilations,
-            "groups": int(half // (dilations * kernels) / 2)}

@@ -482,9 +482,18 @@ def _(t):
     return token_rows(t).select("sample_id", _text(e).alias("encoder"), _text(d).alias("decoder"))
 
 
-@query("K5_span_corruption")
+def _chosen_sql(low, high, count, name):
+    drawn = h60(f"'{name}:' || sample_id || ':' || i")
+    return f"list_sort([z.i FOR z IN list_sort([{{'h': {drawn}, 'i': i}} FOR i IN range({low}, {high} + 1)])[1:{count}]])"
+
+
+# eight tokens, four of them hidden in two spans
+@query("K5_span_corruption", f"""SELECT sample_id, '{_AT.task},{_AT.som},' || array_to_string(list_concat(tokens[1:b1], [{_AT.sentinel}], tokens[e1 + 1:b2], [{_AT.sentinel + 1}], tokens[e2 + 1:8]), ',') || ',{_AT.eom}' AS encoder,
+  array_to_string(list_concat([{_AT.sentinel}], tokens[b1 + 1:e1], [{_AT.sentinel + 1}], tokens[b2 + 1:e2], [{_AT.eos}]), ',') AS decoder
+  FROM (SELECT *, place[1] AS b1, place[1] + cut[1] AS e1, place[2] + cut[1] AS b2, place[2] + 4 AS e2 FROM (SELECT *, {_chosen_sql(1, 3, 1, 'cut')} AS cut, {_chosen_sql(0, 4, 2, 'place')} AS place FROM ({_TOK})))""")
 def _(t):
-    return tk.denoise_examples(token_rows(t), _AT, "tokens", "sample_id").select("sample_id", _text("encoder_input").alias("encoder"), _text("decoder_target").alias("decoder"))
+    made = tk.denoise_examples(token_rows(t), _AT, "tokens", "sample_id", rate=0.5)
+    return made.select("sample_id", _text("encoder_input").alias("encoder"), _text("decoder_target").alias("decoder"))
 
 
 @query("K6_predict_tail", f"""SELECT sample_id, '{_AT.task + 1},{_AT.som},' || array_to_string(tokens[1:4], ',') || ',{_AT.eom}' AS encoder, array_to_string(tokens[5:8], ',') || ',{_AT.eos}' AS decoder FROM ({_TOK})""")

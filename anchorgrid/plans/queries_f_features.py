@@ -82,10 +82,8 @@ def _(t):
 
 @query("C18_shared_budget_matrix")
 def _(t):
-    plan = ke.shared_budget_plan(t.read("embeddings").count(), 16)
     x = training_sample(t)
-    return summary(featured(t, ("pattern", ke.fit_patterns(x, min(plan["pattern_kernels"], 168), poolings=ke.POOLINGS[:4])),
-                            ("competing", ke.fit_competing(4, 16, min(plan["groups"], 8), 8, 42))))
+    return summary(featured(t, ("pattern", ke.fit_patterns(x, 168, poolings=ke.POOLINGS[:4])), ("competing", ke.fit_competing(4, 16, 8, 8, 42))))
 
 
 # counts per order line: scaled to non-negative numbers with many zeros
