@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from anchorgrid.functions.hashing import draw
 from anchorgrid.plans.registry import query
 from anchorgrid.plans.roles import q6, r6
 from anchorgrid.session import scratch
@@ -17,6 +18,16 @@ def stream(t):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def arriving(t, late, turn, **marks):
+    """The events as files that arrive one after another in the order of ``turn``, and a closing row."""
+    folder = f"{scratch(t.spark, 'arriving')}/events"
+    rows = t.read("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for place in range(3):
+        rows.filter(turn == place).write.mode("append").parquet(folder)
+    sw.closing_rows(rows, late, **marks).coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def finish(out):
     folder = scratch(out.sparkSession, "stream")
     return sw.run_available(out, f"{folder}/out", f"{folder}/state")
@@ -31,24 +42,38 @@ def _(t):
     return finish(out).select("anchor_id", "event_id")
 
 
-@query("Z2_stream_rates", f"""SELECT event_type, user_id, count(*) AS n, {q6('sum(rate)', 4)} AS total FROM (SELECT event_type, user_id, CASE WHEN lag(ts) OVER w IS NULL OR ts <= lag(ts) OVER w THEN 0.0
-  ELSE (value - lag(value) OVER w) / (epoch_us(ts) - epoch_us(lag(ts) OVER w)) * 1000000.0::DOUBLE END AS rate FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts)) GROUP BY 1, 2""")
+# every row arrives up to 12 hours late, in one of three turns
+@query("Z2_stream_rates", f"""SELECT event_type, user_id, count(*) AS n, {q6('sum(rate)', 9)} AS total, {q6('max(rate)', 9)} AS largest FROM (SELECT event_type, user_id, CASE WHEN lag(ts) OVER w IS NULL OR ts <= lag(ts) OVER w THEN 0.0
+  ELSE (value - lag(value) OVER w) / (epoch_us(ts) - epoch_us(lag(ts) OVER w)) * 1000000.0::DOUBLE END AS rate FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, value)) GROUP BY 1, 2""")
+def _(t):
+    arrival = F.unix_seconds("ts") + draw("late", F.col("event_id")) % 43_200
+    span = t.read("events").agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("b")).first()
+    turn = F.least(F.lit(2), F.floor((arrival - span["a"]) * 3 / F.lit(span["b"] - span["a"] + 43_200)))
+    rows = arriving(t, "2 days", turn, event_type="closing", user_id=-1)
+    out = finish(sw.stream_rates(rows.select("event_type", "user_id", "ts", "value"), ["event_type", "user_id"], "2 days"))
+    out = out.filter("event_type <> 'closing'")
+    return out.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("rate"), 9).alias("total"), r6(F.max("rate"), 9).alias("largest"))
+
+
+@query("Z3_stream_presence", f"""SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS start_us, event_type, count(*) AS n, {q6('avg(value)')} AS mean_value FROM events GROUP BY 1, 2""")
 def _(t):
-    out = finish(sw.stream_rates(stream(t).select("event_type", "user_id", "ts", "value"), ["event_type", "user_id"], "1 hour"))
-    return out.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("rate"), 4).alias("total"))
+    rows = arriving(t, "1 day", F.lit(0), event_type="closing")
+    out = finish(sw.stream_presence(rows, "6 hours", None, "1 day"))
+    return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n", r6(F.col("mean_value")).alias("mean_value"))
 
 
-# append mode emits a window once the watermark (one day behind the newest row) has passed it
-@query("Z3_stream_presence", f"""SELECT epoch_us(d) AS start_us, event_type, count(*) AS n, {q6('avg(value)')} AS mean_value FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS d FROM events)
-  WHERE d + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""")
+# every row lies in four windows of a day that start six hours apart
+@query("Z3_stream_sliding", f"""SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) - i * 21600000000 AS start_us, event_type, count(*) AS n, {q6('avg(value)')} AS mean_value FROM events, (SELECT unnest(range(0, 4)) AS i) GROUP BY 1, 2""")
 def _(t):
-    out = finish(sw.stream_presence(stream(t), "6 hours", None, "1 day"))
+    rows = arriving(t, "1 day", F.lit(0), event_type="closing")
+    out = finish(sw.stream_presence(rows, "1 day", "6 hours", "1 day"))
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n", r6(F.col("mean_value")).alias("mean_value"))
 
 
 @query("Z3_stream_turns", """SELECT epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 12 HOUR) AS end_us, user_id, count(*) AS n FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
-  GROUP BY user_id, session HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+  GROUP BY user_id, session""")
 def _(t):
-    out = finish(sw.stream_turns(stream(t), "12 hours", "1 day", ["user_id"]))
+    rows = arriving(t, "1 day", F.lit(0), user_id=-1)
+    out = finish(sw.stream_turns(rows, "12 hours", "1 day", ["user_id"]))
     return out.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "user_id", "n")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,36 +31,53 @@ def stream_anchor_windows(
     return a.join(e, near, "inner")
 
 
-def stream_rates(events: DataFrame, key: list[str], late: str, t: str = "ts", value: str = "value") -> DataFrame:
-    """Rate of change to the previous event of the same stream, kept as per-key state.
+def stream_rates(events: DataFrame, key: list[str], late: str, t: str = "ts", value: str = "value", forget_ms: int | None = None) -> DataFrame:
+    """Rate of change to the previous event of the same stream, in event-time order.
 
-    An event older than the state is dropped; the first event of a stream has rate zero. Keys
-    idle past the watermark give up their state.
+    Rows wait in the state of their stream until the watermark has passed them, so a row that
+    arrives late but inside the watermark still gets its place; only rows that come after their
+    place was left are dropped. The first event of a stream and one without time since the last
+    have rate zero. A stream's state holds its last row and what arrived in the last ``late``; with
+    ``forget_ms`` a stream begins anew after a longer pause, and gives its state up when the watermark is that far.
     """
     kinds = dict(events.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in key) + f", {t} timestamp, {value} double, rate double"
+    state_schema = "micros bigint, value double, waiting_micros array<bigint>, waiting_values array<double>"
+
+    longest = float("inf") if forget_ms is None else forget_ms
 
     def step(ids: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        past, before, times, values = state.get if state.exists else (None, None, [], [])
+        times, values = [np.asarray(times, dtype=np.int64)], [np.asarray(values, dtype=float)]
+        for batch in batches:
+            times.append(batch[t].astype("datetime64[us]").astype("int64").to_numpy())
+            values.append(batch[value].to_numpy(dtype=float))
+        times, values = np.concatenate(times), np.concatenate(values)
+        keep = times >= past if past is not None else np.ones(len(times), bool)
+        order = np.lexsort((values[keep], times[keep]))  # rows of one time by their value, whatever came first
+        times, values = times[keep][order], values[keep][order]
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = int(np.searchsorted(times, mark, side="right"))
+        if ready:
+            at = np.concatenate([[past], times[:ready]]) if past is not None else np.concatenate([times[:1], times[:ready]])
+            x = np.concatenate([[before], values[:ready]]) if past is not None else np.concatenate([values[:1], values[:ready]])
+            seconds = np.diff(at) / 1e6
+            rate = np.divide(np.diff(x), seconds, out=np.zeros(ready), where=(seconds > 0) & (seconds * 1000 <= longest))
+            past, before = int(times[ready - 1]), float(values[ready - 1])
+            when = pd.to_datetime(times[:ready], unit="us")
+            yield pd.DataFrame({**{k: [v] * ready for k, v in zip(key, ids)}, t: when, value: values[:ready], "rate": rate})
+        newest = int(times[-1] if len(times) else past) // 1000
+        waits = ready < len(times)
+        if state.hasTimedOut and not waits and forget_ms is not None and newest + forget_ms < state.getCurrentWatermarkMs():
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(t)
-        last = state.get if state.exists else None
-        out = []
-        for when, x in zip(rows[t], rows[value]):
-            now = int(pd.Timestamp(when).value // 1000)
-            if last is not None and now < last[0]:
-                continue
-            seconds = 0.0 if last is None else (now - last[0]) / 1e6
-            out.append((*ids, when, float(x), (float(x) - last[1]) / seconds if seconds > 0 else 0.0))
-            last = (now, float(x))
-        state.update(last)
-        # the watermark may already be past this stream's newest row
-        state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=[*key, t, value, "rate"])
+        state.update((past, before, times[ready:].tolist(), values[ready:].tolist()))
+        if waits or forget_ms is not None:
+            # the watermark may already be past this stream's newest row
+            state.setTimeoutTimestamp(max(newest + (0 if waits else forget_ms), state.getCurrentWatermarkMs()) + 1)
 
     return events.withWatermark(t, late).groupBy(*key).applyInPandasWithState(
-        step, schema, "micros bigint, value double", "append", GroupStateTimeout.EventTimeTimeout)
+        step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_presence(events: DataFrame, size: str, slide: str | None, late: str, kind: str = "event_type", t: str = "ts", value: str = "value") -> DataFrame:
@@ -82,3 +100,15 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def closing_rows(events: DataFrame, late: str, t: str = "ts", **marks) -> DataFrame:
+    """One row of ``events``' columns that lies past every window and wait of ``late``: what ends a stored stream.
+
+    ``marks`` are the values that tell it apart; everything else is null. A window, a session or a waiting row is only given out
+    once the watermark has passed it, so the last ones of a stored stream need a row after them.
+    """
+    # twice the delay and a year: beyond the end of any window that an event can lie in
+    end = events.agg((F.max(t) + F.expr(f"INTERVAL {late}") * 2 + F.expr("INTERVAL 366 DAYS")).alias(t))
+    given = {t: F.col(t), **{name: F.lit(value) for name, value in marks.items()}}
+    return end.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
