@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorgrid.functions.naming import parse_family, window_label
 
@@ -69,3 +69,19 @@ def fold_result_issues(folds: DataFrame, required: list[str]) -> DataFrame:
         F.isnan(value) | (F.abs(value) == float("inf")), F.concat(F.lit("not finite "), "metric"))
     bad = checked.select("run", "fold", issue.alias("issue")).filter("issue is not null")
     return duplicate.unionByName(bad).distinct()
+
+
+def selection_counts(selected: DataFrame, by: list[str], feature: str, fallback: Column) -> DataFrame:
+    """(by, selected, features, fallbacks): rows, different features and rows chosen as a fallback."""
+    return selected.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("selected"), F.countDistinct(feature).alias("features"), F.sum(fallback.cast("int")).alias("fallbacks"))
+
+
+def selected_distribution(selected: DataFrame, attributes: list[str], none: str = "none") -> DataFrame:
+    """(category, value, selected): how many selected features each value of each attribute has; null counts as ``none``.
+
+    The rows are read and shuffled once: counts of whole attribute tuples are unpivoted, never the rows.
+    """
+    cells = selected.groupBy(*attributes).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("category"), F.coalesce(F.col(a).cast("string"), F.lit(none)).alias("value")) for a in attributes]))
+    return cells.select(pairs.alias("p"), "__n").groupBy("p.category", "p.value").agg(F.sum("__n").alias("selected"))

@@ -63,7 +63,12 @@ def _(t):
 
 @query("S6_load_fold_dataset", _FOLD_SQL)
 def _(t):
-    return files.check_fold(_fold_table(t), {"sample_id", "label"})
+    folder = scratch(t.spark, "dataset")
+    table = _fold_table(t)
+    for name in ("train", "validation", "test"):
+        rows = table.filter(F.col("split") == name).drop("split")
+        rows.write.partitionBy("fold").parquet(f"{folder}/data/{name}")
+    return files.load_fold_dataset(t.spark, folder, {"sample_id", "label"}).select("sample_id", "group_id", "label", "fold", "split")
 
 
 @query("S11_fold_sink", f"SELECT fold, split, count(*) AS n FROM ({_FOLD_SQL}) GROUP BY 1, 2")
@@ -99,21 +104,24 @@ def _(t):
 _FAMILY_SQL = "'tgt-cue_bal-05_src-' || lang || '_wL-500_wR-m' || (100 + 10 * fold) || '_spl-5'"
 
 
-@query("S8_read_summaries", f"""SELECT model, 'target-cue_window-' || 100 * (1 + fold) AS family, 7::BIGINT AS seed,
-  'accuracy' AS metric, {q6('avg((label = prediction)::INTEGER)')} AS mean, count(DISTINCT group_id)::INTEGER AS num_valid_folds
-  FROM ({PREDS}) GROUP BY model, fold""")
+@query("S8_read_summaries", f"""SELECT model, 'target-cue_window-' || 100 * (1 + fold) AS family, CASE WHEN fold % 2 = 0 THEN 'pooled' END AS variant, 7::BIGINT AS seed,
+  metric, {q6("CASE metric WHEN 'accuracy' THEN accuracy ELSE share END")} AS mean, n::INTEGER AS num_valid_folds
+  FROM (SELECT model, fold, avg((label = prediction)::INTEGER) AS accuracy, avg(prediction) AS share, count(DISTINCT group_id) AS n FROM ({PREDS}) GROUP BY model, fold), (VALUES ('accuracy'), ('positive_share')) m(metric)""")
 def _(t):
     per = t.preds.groupBy("model", "fold").agg(
-        F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("mean"),
+        F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("accuracy"), F.avg("prediction").alias("share"),
         F.countDistinct("group_id").cast("int").alias("num_valid_folds"))
-    metric = F.create_map(F.lit("accuracy"), F.struct("mean", "num_valid_folds"))
-    text = F.to_json(F.struct(
+    made = lambda c: F.struct(F.col(c).alias("mean"), "num_valid_folds")
+    metric = F.create_map(F.lit("accuracy"), made("accuracy"), F.lit("positive_share"), made("share"))
+    summary = F.struct(
         F.struct(metric.alias("validation"), metric.alias("test")).alias("fold_statistics"),
-        F.create_map(F.lit("0"), F.struct(F.lit("r").alias("run_name"))).alias("folds")))
-    path = F.concat(F.lit("out/"), "model", F.lit("/target-cue_window-"), (100 * (1 + F.col("fold"))).cast("string"),
-                    F.lit("/cross_validation_seed-7/x_cross_validation_summary.json"))
-    parsed = files.parse_summaries(per.select(path.alias("path"), text.alias("text")))
-    return files.summary_metrics(parsed).drop("variant").withColumn("mean", r6(F.col("mean")))
+        F.create_map(F.lit("0"), F.struct(F.lit("r").alias("run_name"))).alias("folds"))
+    runs = per.select(
+        "model", F.concat(F.lit("target-cue_window-"), (100 * (1 + F.col("fold"))).cast("string")).alias("family"),
+        F.when(F.col("fold") % 2 == 0, "pooled").alias("variant"), F.lit(7).alias("seed"), summary.alias("summary"))
+    folder = scratch(t.spark, "summaries")
+    files.write_summaries(runs, folder)
+    return files.summary_metrics(files.read_summaries(t.spark, folder)).withColumn("mean", r6(F.col("mean")))
 
 
 _TOKENS = """SELECT conv_id, turn, role, i - 1 AS token, conv_id || '-' || turn || '-' || (i - 1) AS word_id, word

@@ -10,6 +10,8 @@ from anchorgrid.operators import attribution as at, metrics as mt, resampling as
 from anchorgrid.operators.ordered import attach_row, exact_quantile
 from anchorgrid.plans.registry import query
 from anchorgrid.plans.roles import CUES, EV, PREDS, h32, h60, q6, r6
+from anchorgrid.session import scratch
+from anchorgrid.sources import files
 
 LOGIT = "ln(probability / (1 - probability))"
 
@@ -111,12 +113,26 @@ def _(t):
     return out.select("model", *[r6(F.col(c)).alias(c) for c in ("macro_f1", "accuracy", "roc_auc", "average_precision")])
 
 
-@query("A8_cv_summary", f"""SELECT user_id AS model, count(DISTINCT k) AS samples, count(DISTINCT k) - count(DISTINCT CASE WHEN n = 1 THEN k END) AS duplicated_samples,
+# the metric summary of both models: the first stands for validation, the second for test
+@query("S12_metric_summary_csv", f"""SELECT CASE WHEN model = 'a' THEN 'validation' ELSE 'test' END AS split, metric, {_STATS} FROM ({_FOLDM}) GROUP BY 1, 2""")
+def _(t):
+    split = F.when(F.col("model") == "a", "validation").otherwise("test")
+    out = mt.fold_statistics(fold_metrics(t).withColumn("split", split), ["split", "metric"])
+    folder = scratch(t.spark, "csv")
+    files.write_metric_summary(out, folder)
+    kinds = {"split": "string", "metric": "string", "num_folds": "bigint", "num_valid_folds": "bigint"}
+    back = t.spark.read.option("header", True).schema(", ".join(f"{c} {kinds.get(c, 'double')}" for c in files.METRIC_SUMMARY)).csv(folder)
+    return back.select(*kinds, *[r6(F.col(c)).alias(c) for c in _STAT_COLUMNS])
+
+
+@query("A8_cv_summary", f"""SELECT *, (SELECT string_agg(f || ':' || n, ',' ORDER BY f) FROM (SELECT (chunk % 4)::VARCHAR AS f, count(*) AS n FROM ({EV}) WHERE user_id = s.model GROUP BY 1)) AS predictions_per_fold FROM (
+  SELECT user_id AS model, count(DISTINCT k) AS samples, count(DISTINCT k) - count(DISTINCT CASE WHEN n = 1 THEN k END) AS duplicated_samples,
   coalesce(sum(CASE WHEN rn = 1 AND n > 1 THEN n END), 0)::BIGINT AS duplicate_occurrences, count(DISTINCT chunk % 4) AS folds, count(*) AS predictions
-  FROM (SELECT *, count(*) OVER (PARTITION BY user_id, k) AS n, row_number() OVER (PARTITION BY user_id, k) AS rn FROM ({EV})) GROUP BY 1""")
+  FROM (SELECT *, count(*) OVER (PARTITION BY user_id, k) AS n, row_number() OVER (PARTITION BY user_id, k) AS rn FROM ({EV})) GROUP BY 1) s""")
 def _(t):
     rows = t.ev.select(F.col("user_id").alias("model"), (F.col("chunk") % 4).alias("fold"), F.col("k").alias("sample_id"))
-    return mt.cv_summary(rows, ["model"]).drop("predictions_per_fold")
+    listed = F.transform(F.array_sort(F.map_entries("predictions_per_fold")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return mt.cv_summary(rows, ["model"]).withColumn("predictions_per_fold", F.concat_ws(",", listed))
 
 
 @query("A9_seed_statistics", f"SELECT metric, {_STATS} FROM (SELECT metric, fold % 3 AS seed, avg(value) AS value FROM ({_FOLDM}) GROUP BY 1, 2) GROUP BY 1")
@@ -127,8 +143,17 @@ def _(t):
 
 @query("A10_selection_counts", f"""SELECT l_returnflag AS expert, l_linestatus AS family, count(*) AS selected, count(DISTINCT l_suppkey) AS features, sum((l_discount = 0)::INTEGER)::BIGINT AS fallbacks FROM lineitem GROUP BY 1, 2""")
 def _(t):
-    return t.read("lineitem").groupBy(F.col("l_returnflag").alias("expert"), F.col("l_linestatus").alias("family")).agg(
-        F.count(F.lit(1)).alias("selected"), F.countDistinct("l_suppkey").alias("features"), F.sum((F.col("l_discount") == 0).cast("int")).alias("fallbacks"))
+    rows = t.read("lineitem").withColumnsRenamed({"l_returnflag": "expert", "l_linestatus": "family"})
+    return rl.selection_counts(rows, ["expert", "family"], "l_suppkey", F.col("l_discount") == 0)
+
+
+_ATTRIBUTES = {"expert": "l_returnflag", "view": "l_suppkey % 7", "dilation_regime": "nullif(l_linenumber, 1)", "pooling": "l_linestatus"}
+
+
+@query("A10_selected_distribution", " UNION ALL ".join(f"SELECT '{name}' AS category, coalesce(({column})::VARCHAR, 'none') AS value, count(*) AS selected FROM lineitem GROUP BY 2" for name, column in _ATTRIBUTES.items()))
+def _(t):
+    rows = t.read("lineitem").select(*[F.expr(column).alias(name) for name, column in _ATTRIBUTES.items()])
+    return rl.selected_distribution(rows, list(_ATTRIBUTES))
 
 
 # -- bootstrap ----------------------------------------------------------------------------------

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from anchorgrid.operators.ordered import attach_row
 
@@ -33,6 +36,32 @@ def load_fold(spark: SparkSession, path: str, columns: set[str] = FOLD_COLUMNS)
     return check_fold(spark.read.parquet(path), columns)
 
 
+#: Split and fold of a stored file, from its folder (``split=train``, ``train/``) or its name (``train-00000.parquet``).
+SPLIT_IN_PATH = r"/(?:split=)?(train|validation|test)(?=[-/.])"
+FOLD_IN_PATH = r"/fold[=-]([0-9]+)/"
+
+
+def load_fold_dataset(spark: SparkSession, dataset: str, columns: set[str] = FOLD_COLUMNS) -> DataFrame:
+    """The fold rows that ``dataset`` names: a table of the catalog, else a folder of Parquet files at any depth.
+
+    A file without a split or fold column takes them from its path. What is neither, lacks a required column or one of the
+    splits is an error.
+    """
+    if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?", dataset) and spark.catalog.tableExists(dataset):
+        return check_fold(spark.table(dataset), columns)
+    try:
+        rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(dataset)
+    except AnalysisException as error:
+        raise SourceError(f"{dataset} is neither a table nor a folder of Parquet files") from error
+    path = F.col("_metadata.file_path")
+    found = lambda pattern: F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+    if "split" not in rows.columns:
+        rows = rows.withColumn("split", found(SPLIT_IN_PATH))
+    if "fold" not in rows.columns:
+        rows = rows.withColumn("fold", found(FOLD_IN_PATH).try_cast("int"))
+    return check_fold(rows, columns)
+
+
 def write_folds(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """One partition per (fold, split); only the partitions that are written get replaced.
 
@@ -114,16 +143,26 @@ def write_csv(df: DataFrame, path: str) -> None:
     union_tables([df]).write.mode("overwrite").option("header", True).csv(path)
 
 
+# fixed values: columns of the metric summary
+METRIC_SUMMARY = ("split", "metric", "num_folds", "num_valid_folds", "mean", "standard_deviation", "standard_error", "median", "minimum", "maximum")
 METRIC = "struct<mean:double,num_valid_folds:int>"
 SUMMARY_SCHEMA = (
     f"fold_statistics struct<validation:map<string,{METRIC}>,test:map<string,{METRIC}>>, "
     "folds map<string,struct<test_metrics:map<string,double>,validation_metrics:map<string,double>,"
     "decision_threshold:double,run_name:string>>"
 )
-# fixed values: <model>/<family>[/<variant>]/cross_validation_seed-<n>/<name>_cross_validation_summary.json
+# fixed values: <model>/<family>[/<variant>..]/cross_validation_seed-<n>/<name>_cross_validation_summary.json
 SUMMARY_PATH = (
-    r"([^/]+)/((?:target|tgt)-[^/]+)(?:/([^/]+))?/cross_validation_seed-([0-9]+)/[^/]*$"
+    r"([^/]+)/((?:target|tgt)-[^/]+)(?:/(.+?))?/cross_validation_seed-([0-9]+)/[^/]*$"
 )
+SUMMARY_FILES = "{*_cross_validation_summary.json,part-*}"
+
+
+def plain_path(path: Column) -> Column:
+    """A path with ``name=value`` folders, as Spark writes them, in the layout of plain folders."""
+    for pattern, put in ((r"/(?:model|family|variant)=", "/"), (r"/__HIVE_DEFAULT_PARTITION__(?=/)", ""), (r"/seed=", "/cross_validation_seed-")):
+        path = F.regexp_replace(path, pattern, put)
+    return path
 
 
 def parse_summaries(files: DataFrame) -> DataFrame:
@@ -142,9 +181,23 @@ def parse_summaries(files: DataFrame) -> DataFrame:
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     text = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*_cross_validation_summary.json").text(path, wholetext=True)
+        .option("pathGlobFilter", SUMMARY_FILES).text(path, wholetext=True)
     )
-    return parse_summaries(text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return parse_summaries(text.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")))
+
+
+def write_summaries(df: DataFrame, path: str) -> None:
+    """model, family, variant, seed and summary as one JSON file per run below folders of these names.
+
+    A run is one row; a null variant has no folder of its own when read back.
+    """
+    rows = json_safe(df).select("model", "family", "variant", "seed", F.to_json("summary").alias("value"))
+    rows.repartition("model", "family", "variant", "seed").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("model", "family", "variant", "seed").text(path)
+
+
+def write_metric_summary(statistics: DataFrame, path: str) -> None:
+    """Split, metric and its statistics over folds as CSV."""
+    write_csv(statistics.select(*METRIC_SUMMARY), path)
 
 
 def summary_metrics(summaries: DataFrame, split: str = "test") -> DataFrame:

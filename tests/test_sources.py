@@ -58,3 +58,40 @@ def test_negation_table_is_replaced(spark, tmp_path):
 def test_checks_raise(spark):
     with pytest.raises(checks.CheckError):
         checks.require_empty(checks.duplicate_ids(spark.range(2).union(spark.range(1)), "id"), "duplicates")
+
+
+def test_datasets_are_found_by_table_or_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 2, s) for i, s in enumerate(["train", "train", "validation", "test"])], "id int, label int, split string")
+    for name in ("train", "validation", "test"):
+        part = rows.where(F.col("split") == name).drop("split")
+        part.write.parquet(str(tmp_path / "deep" / "fold-3" / name))
+    (tmp_path / "flat").mkdir()
+    for name in ("train", "validation", "test"):
+        rows.where(F.col("split") == name).drop("split").toPandas().to_parquet(tmp_path / "flat" / f"{name}-00000-of-00001.parquet")
+    files.write_folds(rows.withColumn("fold", F.lit(1)), str(tmp_path / "written"))
+    rows.write.mode("overwrite").saveAsTable("anchorgrid_fold_test")
+    want = sorted((r.id, r.label, r.split) for r in rows.collect())
+    for dataset, fold in ((str(tmp_path / "deep"), 3), (str(tmp_path / "flat"), None), (str(tmp_path / "written"), 1), ("anchorgrid_fold_test", None)):
+        got = files.load_fold_dataset(spark, dataset, {"id", "label"})
+        assert sorted((r.id, r.label, r.split) for r in got.collect()) == want, dataset
+        if fold is not None:
+            assert {r.fold for r in got.collect()} == {fold}
+    spark.sql("DROP TABLE anchorgrid_fold_test")
+    for bad in (str(tmp_path / "nothing"), "no_such_table"):
+        with pytest.raises(files.SourceError):
+            files.load_fold_dataset(spark, bad)
+    with pytest.raises(files.SourceError, match="lacks columns"):
+        files.load_fold_dataset(spark, str(tmp_path / "flat"), {"word"})
+
+
+def test_written_summaries_are_read_back(spark, tmp_path):
+    summary = "struct(struct(map('f1', struct(m AS mean, 3 AS num_valid_folds)) AS validation, map('f1', struct(m AS mean, 3 AS num_valid_folds)) AS test) AS fold_statistics, map('0', struct('r' AS run_name)) AS folds)"
+    runs = spark.createDataFrame([("a", "tgt-x_wL-5", None, 1, 0.25), ("a", "tgt-x_wL-5", "v 1", 2, 0.5), ("b", "target-y", "v", 1, float("nan"))], "model string, family string, variant string, seed int, m double")
+    files.write_summaries(runs.withColumn("summary", F.expr(summary)), str(tmp_path / "s"))
+    got = files.read_summaries(spark, str(tmp_path / "s"))
+    assert got.where("issue IS NOT NULL").isEmpty()
+    rows = sorted((r.model, r.family, r.seed, r.mean) for r in files.summary_metrics(got).where("model = 'a'").collect())
+    assert rows == [("a", "tgt-x_wL-5", 1, 0.25), ("a", "tgt-x_wL-5", 2, 0.5)]
+    variants = {(r.model, r.seed): r.variant for r in got.collect()}
+    assert variants[("a", 1)] is None and variants[("b", 1)] == "v" and variants[("a", 2)].replace("%20", " ") == "v 1"
+    assert files.summary_metrics(got).where("model = 'b'").first()["mean"] is None
