@@ -60,6 +60,39 @@ def finger_vector(event: dict[str, Column]) -> Column:
     )
 
 
+_PLACE, _TURN = "struct<x:double,y:double,z:double>", "struct<x:double,y:double,z:double,w:double>"
+_POSE = f"struct<Position:{_PLACE},Orientation:{_TURN}>"
+
+#: Payload of each event type. Confidences are text, since a bit pattern and a number differ in how they are written.
+PAYLOADS = {
+    "Eye": f"eyeGazes array<struct<Confidence:double,IsValid:boolean,Pose:{_POSE}>>",
+    "Facial": "expressionWeights array<double>, expressionWeightConfidences array<double>, status struct<IsValid:boolean,IsEyeFollowingBlendshapesValid:boolean>",
+    **dict.fromkeys(("Head", "Body", "LeftHand", "RightHand"), f"position {_PLACE}, rotation {_TURN}"),
+    **dict.fromkeys(("LeftFinger", "RightFinger"), (
+        f"handConfidence string, handScale double, pointerPose {_POSE}, rootPose {_POSE}, boneRotations array<{_TURN}>, "
+        "fingerConfidences array<string>, pinchStrength array<double>")),
+}
+
+#: Feature vector of each event type from its parsed payload.
+VECTORS = {
+    "Eye": lambda p: eye_vector(p["eyeGazes"]),
+    "Facial": lambda p: face_vector(p["expressionWeights"], p["expressionWeightConfidences"], p["status"]),
+    **dict.fromkeys(("Head", "Body", "LeftHand", "RightHand"), lambda p: pose_vector(p["position"], p["rotation"])),
+    **dict.fromkeys(("LeftFinger", "RightFinger"), lambda p: finger_vector(p)),
+}
+
+
+def extract_payloads(events: DataFrame, payload: str = "payload") -> DataFrame:
+    """Add ``features`` from the JSON ``payload`` by event type: each row is parsed once, with the schema of its type.
+
+    Finger events with fewer than 26 bones are heartbeats without a measurement and go; an unknown type is an error.
+    """
+    vectors = {kind: let(F.from_json(F.col(payload), PAYLOADS[kind]), VECTORS[kind]) for kind in PAYLOADS}
+    fingers = F.col("event_type").isin("LeftFinger", "RightFinger")
+    bones = F.json_array_length(F.get_json_object(payload, "$.boneRotations"))
+    return extract(events.filter(~fingers | (F.coalesce(bones, F.lit(0)) >= 26)), vectors)
+
+
 def finger_flags(status: Column, pinches: Column) -> Column:
     """13 flags: 8 status bits and 5 pinch bits."""
     return F.concat(v.bit_flags(status, 8), v.bit_flags(pinches, FLAG_WIDTH["LeftFinger"] - 8))

@@ -123,6 +123,83 @@ def _(t):
     return out.select("vec_id", r6(F.col("features")[7], 5).alias("vx"), r6(F.col("features")[11], 5).alias("ay"), F.size("features").alias("width"))
 
 
+# nested payloads whose numbers follow from the event and their place in the vector
+KINDS = ("Eye", "Facial", "Head", "LeftFinger", "RightHand")
+
+
+def payload_rows(t):
+    g = lambda ix: ((F.col("event_id") * 7 + F.lit(ix) * 13) % 41 - 20) / F.lit(10.0)
+    many = lambda a, b: F.array(*[g(i) for i in range(a, b)])
+    place = lambda at: F.struct(*[g(at + i).alias(c) for i, c in enumerate("xyz")])
+    turn = lambda at: F.struct(*[g(at + i).alias(c) for i, c in enumerate("xyzw")])
+    pose = lambda at: F.struct(place(at).alias("Position"), turn(at + 3).alias("Orientation"))
+    gaze = lambda e: F.struct(g(9 * e).alias("Confidence"), ((F.col("event_id") + e) % 2 == 1).alias("IsValid"), pose(9 * e + 2).alias("Pose"))
+    body = F.struct(place(0).alias("position"), turn(3).alias("rotation"))
+    # every second confidence is written as the bit pattern of 0.5
+    hand = F.struct(
+        F.when(F.col("event_id") % 2 == 0, F.lit(1056964608)).otherwise(F.lit(1)).alias("handConfidence"), g(1).alias("handScale"), pose(2).alias("pointerPose"), pose(9).alias("rootPose"),
+        F.array(*[turn(16 + 4 * b) for b in range(26)]).alias("boneRotations"), many(120, 125).alias("fingerConfidences"), many(125, 130).alias("pinchStrength"))
+    face = F.struct(many(0, 63).alias("expressionWeights"), many(63, 65).alias("expressionWeightConfidences"),
+                    F.struct((F.col("event_id") % 2 == 1).alias("IsValid"), (F.col("event_id") % 3 == 0).alias("IsEyeFollowingBlendshapesValid")).alias("status"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = t.ev.select("event_id", "user_id", "t", kind.alias("event_type"))
+    text = F.when(F.col("event_type") == "Eye", F.to_json(F.struct(F.array(gaze(0), gaze(1)).alias("eyeGazes")))).when(F.col("event_type") == "Facial", F.to_json(face))
+    text = text.when(F.col("event_type") == "LeftFinger", F.to_json(hand)).otherwise(F.to_json(body))
+    return rows.withColumn("payload", text)
+
+
+def _slots():
+    """(kind, ix, what, start): what stands at each place of each vector, and where a rotation begins."""
+    turns = {"Eye": [5, 14], "Facial": [], "Head": [3], "RightHand": [3], "LeftFinger": [5, 12, *range(16, 120, 4)]}
+    special = {("Eye", 1): "odd", ("Eye", 10): "even", ("Facial", 65): "odd", ("Facial", 66): "third", ("LeftFinger", 0): "half"}
+    width = {"Eye": 18, "Facial": 67, "Head": 7, "RightHand": 7, "LeftFinger": 130}
+    for kind in KINDS:
+        inside = {at + i: at for at in turns[kind] for i in range(4)}
+        for ix in range(width[kind]):
+            yield kind, ix, special.get((kind, ix), "turn" if ix in inside else "number"), inside.get(ix, ix)
+
+
+def _moving():
+    """(kind, place in the motion vector, place of the number or of the rotation, component; -1 for a plain rate)."""
+    pose = lambda at: [(at + i, -1) for i in range(3)] + [(at + 3, c) for c in range(3)]
+    parts = {"Eye": pose(2) + pose(11), "Facial": [(i, -1) for i in range(63)], "Head": pose(0), "RightHand": pose(0),
+             "LeftFinger": [(1, -1), *pose(2), *pose(9), *[(16 + 4 * b, c) for b in range(26) for c in range(3)], *[(i, -1) for i in range(125, 130)]]}
+    for kind in KINDS:
+        yield from ((kind, place, at, c) for place, (at, c) in enumerate(parts[kind]))
+
+
+def _num(e, ix):
+    return f"((({e}) * 7 + ({ix}) * 13) % 41 - 20) / 10.0::DOUBLE"
+
+
+def _unit(e, at, ix):
+    norm = "sqrt(" + " + ".join(f"pow({_num(e, f'{at} + {i}')}, 2)" for i in range(4)) + ")"
+    return f"CASE WHEN {norm} < 1e-8 THEN 0.0 ELSE {_num(e, ix)} / {norm} * CASE WHEN {_num(e, f'{at} + 3')} < 0 THEN -1 ELSE 1 END END"
+
+
+_SLOTS = "(VALUES " + ", ".join(map(str, _slots())) + ") s(kind, ix, what, start)"
+_MOVES = "(VALUES " + ", ".join(map(str, _moving())) + ") s(kind, place, start, c)"
+_KINDS = f"SELECT event_id, user_id, t, [{', '.join(repr(k) for k in KINDS)}][event_id % 5 + 1] AS kind FROM ({EV})"
+_PAIRS = f"SELECT *, lag(event_id) OVER w AS before, (t - lag(t) OVER w) / 1000.0::DOUBLE AS seconds FROM ({_KINDS}) WINDOW w AS (PARTITION BY kind, user_id ORDER BY t, event_id)"
+_VALUES = f"""SELECT kind, ix, CASE what WHEN 'odd' THEN event_id % 2 WHEN 'even' THEN (event_id + 1) % 2 WHEN 'third' THEN (event_id % 3 = 0)::INTEGER WHEN 'half' THEN CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1 END
+  WHEN 'turn' THEN {_unit('event_id', 'start', 'ix')} ELSE {_num('event_id', 'ix')} END::DOUBLE AS x FROM ({_KINDS}) JOIN {_SLOTS} USING (kind)"""
+_ROTATED = ", ".join(f"{_unit('event_id', 'start', f'start + {i}')} AS a{i}, {_unit('before', 'start', f'start + {i}')} AS b{i}" for i in range(4))
+_MOTION = f"""SELECT kind, ix, CASE WHEN before IS NULL OR seconds <= 0 THEN 0.0 WHEN c < 0 THEN rate WHEN len < 1e-8 THEN 0.0 ELSE [rx, ry, rz][c + 1] / len * CASE WHEN rw < 0 THEN -1 ELSE 1 END * 2 * atan2(len, least(abs(rw), 1.0)) / seconds END AS x
+  FROM (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS len FROM (SELECT *, a3 * -b0 + b3 * a0 + (a1 * -b2 - a2 * -b1) AS rx, a3 * -b1 + b3 * a1 + (a2 * -b0 - a0 * -b2) AS ry, a3 * -b2 + b3 * a2 + (a0 * -b1 - a1 * -b0) AS rz, a3 * b3 + a0 * b0 + a1 * b1 + a2 * b2 AS rw
+  FROM (SELECT kind, place + CASE kind WHEN 'Eye' THEN 18 WHEN 'Facial' THEN 67 WHEN 'LeftFinger' THEN 130 ELSE 7 END AS ix, before, seconds, c, ({_num('event_id', 'start')} - {_num('before', 'start')}) / nullif(seconds, 0) AS rate, {_ROTATED} FROM ({_PAIRS}) JOIN {_MOVES} USING (kind))))"""
+
+
+# every value and every motion of every modality, from one pass over nested payloads
+@query("F12_T5_payload_motion", f"""SELECT kind AS modality, ix::BIGINT AS ix, count(*) AS n, {q6('avg(x)', 5)} AS mean, {q6('sqrt(avg(x * x))', 5)} AS size, {q6('min(x)', 5)} AS low, {q6('max(x)', 5)} AS high
+  FROM ({_VALUES} UNION ALL {_MOTION}) GROUP BY 1, 2""")
+def _(t):
+    made = motion.with_motion(motion.extract_payloads(payload_rows(t)), ["event_type", "user_id"], ["t", "event_id"], "t", kinds=KINDS)
+    x = made.select(F.col("event_type").alias("modality"), F.posexplode("features").alias("ix", "x"))
+    out = x.groupBy("modality", "ix").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("size"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return out.select("modality", F.col("ix").cast("bigint").alias("ix"), "n", *[r6(F.col(c), 5).alias(c) for c in ("mean", "size", "low", "high")])
+
+
 _NORM = f"""SELECT event_type, ix, avg(x) AS mean, CASE WHEN stddev_pop(x) < 1e-6 THEN 1.0 ELSE stddev_pop(x) END AS std FROM (
   SELECT event_type, 0 AS ix, value AS x FROM ({EV}) WHERE k % 5 <> 0 UNION ALL SELECT event_type, 1, k::DOUBLE FROM ({EV}) WHERE k % 5 <> 0) GROUP BY 1, 2"""
 
