@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from anchorgrid.operators.ordered import Ordered
@@ -110,6 +112,39 @@ def scope_of_cues(cues: DataFrame, words: DataFrame, min_distance_ms: int = 1100
 SOURCES = ("speaker", "listener", "both")
 
 
+def window_sums(
+    anchors: DataFrame, events: DataFrame, windows: Sequence[tuple[int, int]], sums: dict[str, Column], *, source: str = ANY,
+    anchor_player: str = "player", event_player: str = "event_player", anchor_id: str = "anchor_id", t_anchor: str = "t0", t_event: str = "t",
+) -> DataFrame:
+    """(anchor_id, left_ms, right_ms, sums): sums over the events with ``t0 - left <= t < t0 + right``, without one anchor-event pair.
+
+    Hopping windows share their borders: each different border of an anchor is one mark on the time line of the events, and
+    a window is the running sum at its end less the one at its start. So the work is events plus anchors x borders, however
+    many events a window holds. ``listener`` is ``both`` less ``speaker``.
+    """
+    if source == "listener":
+        parts = [window_sums(anchors, events, windows, sums, source=s, anchor_player=anchor_player, event_player=event_player,
+                             anchor_id=anchor_id, t_anchor=t_anchor, t_event=t_event) for s in ("both", "speaker")]
+        at = [anchor_id, "left_ms", "right_ms"]
+        joined = parts[0].join(parts[1].select(*at, *[F.col(n).alias(f"__{n}") for n in sums]), at)
+        return joined.select(*at, *[(F.col(n) - F.col(f"__{n}")).alias(n) for n in sums])
+    borders = sorted({b for left, right in windows for b in (-left, right)})
+    keys = ["__player"] if source == "speaker" else []
+    totals = events.groupBy(*([F.col(event_player).alias("__player")] if keys else []), F.col(t_event).alias("__t")).agg(*[F.sum(c).alias(f"__v_{n}") for n, c in sums.items()])
+    # one row for each time, so the order is the same whenever the plan is read; what lies on a border belongs behind it
+    line = totals.select(*keys, "__t", F.lit(1).alias("__kind"), F.lit(None).cast(dict(anchors.dtypes)[anchor_id]).alias("__id"), F.lit(0).cast("bigint").alias("__b"), *[f"__v_{n}" for n in sums])
+    nothing = [F.lit(0).cast(dict(totals.dtypes)[f"__v_{n}"]).alias(f"__v_{n}") for n in sums]
+    marks = anchors.select(
+        F.col(anchor_player).alias("__player"), F.explode(F.array(*[F.lit(b).cast("bigint") for b in borders])).alias("__b"), F.col(t_anchor).alias("__t0"),
+        F.col(anchor_id).alias("__id")).select(*keys, (F.col("__t0") + F.col("__b")).alias("__t"), F.lit(0).alias("__kind"), "__id", "__b", *nothing)
+    run = Ordered(marks.unionByName(line), keys, ["__t", "__kind", "__id", "__b"]).running({n: F.col(f"__v_{n}") for n in sums}).done()
+    upto = run.filter("__kind = 0").groupBy(F.col("__id").alias(anchor_id)).agg(
+        F.map_from_entries(F.collect_list(F.struct("__b", F.struct(*sums)))).alias("__m"))
+    spans = F.array(*[F.struct(F.lit(left).cast("bigint").alias("left_ms"), F.lit(right).cast("bigint").alias("right_ms")) for left, right in windows])
+    rows = upto.select(anchor_id, "__m", F.explode(spans).alias("w")).select(anchor_id, "w.*", F.try_element_at("__m", F.col("w.right_ms")).alias("__z"), F.try_element_at("__m", -F.col("w.left_ms")).alias("__a"))
+    return rows.select(anchor_id, "left_ms", "right_ms", *[(F.col(f"__z.{n}") - F.col(f"__a.{n}")).alias(n) for n in sums])
+
+
 def window_grid(spark: SparkSession, size_ms: int = 1000, step_ms: int = 500, per_source: int = 10) -> DataFrame:
     """Sliding window settings: ``per_source`` hops per event source, in (left, right) ms.
 

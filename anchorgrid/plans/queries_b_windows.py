@@ -45,10 +45,10 @@ def _(t):
   UNION ALL SELECT 'both', count(*), sum(e.event_id)::BIGINT FROM ({CUES}) c JOIN ({EV}) e ON e.t >= c.t - 600000 AND e.t < c.t + 600000""")
 def _(t):
     out = None
+    sums = {"n": F.lit(1).cast("bigint"), "total": F.col("event_id")}
     for source in windows.SOURCES:
-        part = windows.attach_windows(anchors(t), stream(t), left=10 * MINUTE, right=10 * MINUTE, source=source,
-                                      bucket_ms=20 * MINUTE)
-        part = part.agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total")).withColumn("source", F.lit(source))
+        part = windows.window_sums(anchors(t), stream(t), [(10 * MINUTE, 10 * MINUTE)], sums, source=source)
+        part = part.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumn("source", F.lit(source))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -105,15 +105,14 @@ def _(t):
   WHERE source = 'both' OR (source = 'speaker') = (cu = eu) GROUP BY 1, 2, 3""")
 def _(t):
     settings = windows.window_grid(t.spark, size_ms=10 * MINUTE, step_ms=5 * MINUTE)
-    # the hops of one source share their scan of the events: one join over all window sizes
-    sizes = settings.filter("source = 'both'").agg(F.collect_list(F.struct("left_ms", "right_ms")).alias("s"))
-    sized = attach_row(anchors(t), sizes).select("*", F.explode("s").alias("w")).select(
-        "anchor_id", "player", "t0", "w.left_ms", "w.right_ms")
-    pairs = windows.attach_windows(sized, stream(t), left="left_ms", right="right_ms", bucket_ms=10 * MINUTE)
-    same = F.col("player") == F.col("event_player")
-    sources = F.array(F.lit("both"), F.when(same, "speaker").otherwise("listener"))
-    return pairs.select("left_ms", "right_ms", F.explode(sources).alias("source")).groupBy(
-        "source", "left_ms", "right_ms").agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for source in windows.SOURCES:
+        # ten settings by argument
+        sizes = [(r.left_ms, r.right_ms) for r in settings.filter(F.col("source") == source).collect()]
+        part = windows.window_sums(anchors(t), stream(t), sizes, {"n": F.lit(1).cast("bigint")}, source=source)
+        part = part.groupBy("left_ms", "right_ms").agg(F.sum("n").alias("n")).withColumn("source", F.lit(source))
+        out = part if out is None else out.unionByName(part)
+    return out.filter("n > 0")
 
 
 # -- turns and transcripts ------------------------------------------------------------------

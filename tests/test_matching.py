@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from anchorgrid.operators import matching, windows
 from anchorgrid.operators.folds import group_folds, leaking_groups, rotate_splits
@@ -27,6 +28,30 @@ def test_window_join_equals_brute_force(spark):
             assert sorted((r.aid, r.eid) for r in got.select("aid", "eid").collect()) == want
 
 
+@pytest.mark.parametrize("segment_rows", [1_000_000, 40])
+def test_window_sums_equal_the_pairs(spark, monkeypatch, segment_rows):
+    from anchorgrid.operators.ordered import Ordered
+
+    rng = np.random.default_rng(8)
+    a = pd.DataFrame({"anchor_id": range(30), "player": rng.integers(0, 3, 30), "t0": rng.integers(-500, 500, 30)})
+    e = pd.DataFrame({"eid": range(300), "event_player": rng.integers(0, 3, 300), "t": rng.integers(-60, 60, 300) * 10})
+    e.loc[:20, "t"] = a.t0[:21] + 40  # on a border
+    sizes = [(50, 70), (-20, 90), (100, -40), (50, 40), (-40, 70)]
+    init = Ordered.__init__
+    monkeypatch.setattr(Ordered, "__init__", lambda self, d, k, o: init(self, d, k, o, segment_rows))
+    cross = a.merge(e, how="cross")
+    for source in windows.SOURCES:
+        got = windows.window_sums(spark.createDataFrame(a), spark.createDataFrame(e), sizes, {"n": F.lit(1).cast("long"), "s": F.col("eid")}, source=source).toPandas()
+        assert len(got) == 30 * len(sizes)
+        for left, right in sizes:
+            keep = (cross.t >= cross.t0 - left) & (cross.t < cross.t0 + right)
+            if source != "both":
+                keep &= (cross.player == cross.event_player) == (source == "speaker")
+            want = cross[keep].groupby("anchor_id")["eid"].agg(["count", "sum"]).reindex(range(30), fill_value=0)
+            part = got[(got.left_ms == left) & (got.right_ms == right)].set_index("anchor_id").sort_index()
+            assert part.n.tolist() == want["count"].tolist() and part.s.tolist() == want["sum"].tolist()
+
+
 def test_scope_controls_equal_the_sequential_choice(spark):
     rng = np.random.default_rng(3)
     edges = pd.DataFrame({"cue_id": rng.integers(0, 25, 90), "word_id": rng.integers(20, 50, 90)}).drop_duplicates()
