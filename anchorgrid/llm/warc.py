@@ -193,8 +193,10 @@ def _reader(with_payload: bool, rows: int = 500, most: int = 16 << 20):
 
 
 def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
-    """All records of the archives listed in ``files`` (column path), a file per task at a time; a revisit has no payload of its own."""
-    paths = files.select("path").repartition(F.col("path"))
+    """All records of the archives listed in ``files`` (column path), each archive in a task of its own; a revisit has no payload of its own."""
+    paths = files.select("path")
+    # a path is a few bytes and its archive hundreds of megabytes: a count of partitions that is given is not coalesced
+    paths = paths.repartitionByRange(max(1, paths.count()), "path")
     return paths.mapInArrow(_reader(with_payload), _RECORD)
 
 

@@ -357,6 +357,15 @@ def test_fold_and_align():
     assert [(r["l"], r.get("o", False)) for r in hw.align(rule("a", "b", "c"), rule("a", "c", "d"))] == [("a", False), ("b", True), ("c", False), ("d", True)]
 
 
+def test_warc_reader_has_a_task_for_each_archive(spark, tmp_path):
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.sha2((F.col("id") * 100 + i).cast("string"), 512))).alias("html")).repartition(3)
+    files = warc.write_warc(pages, f"file://{tmp_path}/out", file_bytes=8000)
+    n = files.count()
+    read = warc.read_warc(files, with_payload=False)
+    where = read.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("path").alias("archives")).collect()
+    assert n >= 8 and len(where) == n and {r.archives for r in where} == {1} and read.count() == 60
+
+
 def test_empty_tables(spark):
     docs = documents(spark, []).select("*")
     assert sd.substring_dedup(docs).count() == mh.near_duplicates(docs).count() == ld.line_classes(docs).count() == 0
