@@ -18,7 +18,8 @@ SPREAD = (
     "V5_duplicate_audit W1_speaker_turns X1_sentences T3_rates T9_grid_interpolation T14_highpass_local_norm T20_derived_standardization "
     "T21_mirror_copies T25_grid_warp A1_threshold_metrics A2_roc_auc A5_best_threshold A11_bootstrap_roc_auc A12_paired_bootstrap "
     "A20_sampled_shapley A36_model_ranking D6_inverse_distance_knn D10_frame_tags W7_decode_spans C6_sparse_scaler C13_chi2_top_words "
-    "C15_interval_features L4_stable_ranking L5_budget_allocation K2_tokenize K7_inbetween Z2_stream_rates flagship_anchor_grid"
+    "C15_interval_features L4_stable_ranking L5_budget_allocation K2_tokenize K5_span_corruption K7_inbetween Z2_stream_rates Z3_stream_sliding S6_load_fold_dataset "
+    "S8_read_summaries V6_fold_compatibility V9_window_grid D5_keyed_components A11_bootstrap_macro_f1 A22_retraining_variants flagship_anchor_grid"
 ).split()
 NAMES = list(QUERIES) if os.environ.get("ANCHORGRID_ORACLES") == "all" else SPREAD
 
