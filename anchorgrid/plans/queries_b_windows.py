@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from anchorgrid.functions.hashing import draw
 from anchorgrid.operators import folds, grid, matching, turns, windows
 from anchorgrid.plans.queries_a_sources import _TOKENS, tokens
-from anchorgrid.operators.ordered import attach_row
 from anchorgrid.plans.registry import query
 from anchorgrid.plans.roles import (
     CUES, EV, LINKS, PREDS, SCOPES, WORDS, h32, h60, links, q6, r6, words,
