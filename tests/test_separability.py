@@ -179,3 +179,31 @@ def test_search_by_old_name_takes_plain_traces(spark):
     refs = spark.createDataFrame([(10, 0, [0.0, 1.0, 2.0]), (11, 1, [5.0, 5.0])], "reference_id long, label int, values array<double>").withColumn("g", F.lit(0))
     got = sim.nearest_references(rows, refs, ["g"], 1, window=1.0).where("rank = 1").toPandas()
     assert isinstance(got, pd.DataFrame) and got.set_index("query_id")["distance"].to_dict() == pytest.approx({1: 0.0, 2: np.sqrt(1 / 3)})
+
+
+@pytest.mark.parametrize("window", [0.0, 0.2])
+@pytest.mark.parametrize("d", [1, 3])
+def test_whole_costs_leave_few_pairs_of_noise(window, d):
+    rng = np.random.default_rng(13)
+    rows = [rng.normal(size=(rng.integers(9, 15), d)) * 1e-3 + 50 for _ in range(620)]
+    q, n = wp.padded(rows[:20])
+    r, m = wp.padded(rows[20:])
+    whole = np.stack([wp.warp_pairs(q[[i] * 600], r, n[[i] * 600], m, window) for i in range(20)])
+    assert (wp.cost_bounds(q, n, r, m, window) <= whole).all()
+    labels = rng.integers(0, 2, 600)
+    found, reached = wp.search(q, n, r, m, labels, 3, window, np.full((20, 3), np.inf))
+    assert reached < 0.5 * whole.size
+    for i in range(20):
+        assert np.argsort(found[i], kind="stable")[:3].tolist() == np.argsort(whole[i], kind="stable")[:3].tolist()
+        assert all(found[i][labels == y].min() == whole[i][labels == y].min() for y in (0, 1))
+
+
+def test_long_pairs_and_pairs_along_the_band_agree():
+    rng = np.random.default_rng(17)
+    q, r = rng.normal(size=(30, 12, 2)), rng.normal(size=(30, 10, 2))
+    n, m = np.full(30, 12), np.full(30, 10)
+    for window in (0.0, 0.3, 1.0):
+        assert wp._along_band(q, r, n, m, window, None).tolist() == wp._along_diagonals(q, r, n, m, window, None).tolist()
+    q[3, 2], labels = np.nan, np.arange(30) % 2
+    found, _ = wp.search(q, n, r, m, labels, 2, 0.3, np.full((30, 3), np.inf))
+    assert np.isinf(found[3]).all() and (np.isfinite(np.delete(found, 3, axis=0)).sum(axis=1) >= 2).all()
