@@ -18,6 +18,7 @@ from anchorgrid.operators.attribution import scored
 from anchorgrid.operators.metrics import confusion, metric_columns
 from anchorgrid.operators.ordered import attach_row
 from anchorgrid.operators.warping import QUERY_BLOCK, REFERENCE_BLOCK, blocked, nearest_by_warping
+from anchorgrid.session import cut_lineage
 
 ZERO_DISTANCE = 1e-12
 
@@ -39,37 +40,102 @@ def latent_statistics(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
     return means.select(*by, (F.round("m", 6) + 0.0).alias("mean_norm"), (F.round("s", 6) + 0.0).alias("latent_std"))
 
 
-# -- kernels: one query against a padded block of references -------------------------------------
+# -- euclidean distance: a block of queries against a block of references ---------------------------
 
+EUCLIDEAN_QUERIES, EUCLIDEAN_REFERENCES = 8192, 16384  # rows of a block
+TILE = 1 << 20  # distances of one matrix product
 
-def euclidean_block(query: np.ndarray, refs: np.ndarray, lengths: np.ndarray, window: float) -> np.ndarray:
-    return np.sqrt(((refs - query[None]) ** 2).sum(axis=(1, 2)))
 
+def exact_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return np.sqrt(((r - q) ** 2).sum(axis=-1))
 
-KERNELS = {"euclidean": euclidean_block}
 
+def _kept(d: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest and of the nearest of each label, ties to the smaller id."""
+    order = np.lexsort((ids, d))
+    firsts = [same[:1] for y in (0, 1) if len(same := order[labels[order] == y])]
+    return np.unique(np.concatenate([order[:k], *firsts]))
 
-def _matrix(values) -> np.ndarray:
-    rows = [np.atleast_1d(np.asarray(v, dtype=np.float64)) for v in values]
-    return np.stack(rows)
+
+def nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, reference, distance) of the k nearest references of each query and the nearest of each label.
+
+    Squared distances come as matrix products of tiles, which only say what can be among the nearest within their rounding; distances are then taken from the
+    vectors. Rows with values that are not finite have no such product and are compared one by one.
+    """
+    whole_q, whole_r = np.isfinite(q).all(axis=1), np.isfinite(r).all(axis=1)
+    plain = np.flatnonzero(whole_r)
+    kinds = [np.flatnonzero(whole_r & (labels == y)) for y in (0, 1)]
+    if len(plain) < min(k, len(r)) or any((labels == y).any() and not len(kind) for y, kind in enumerate(kinds)):
+        whole_q = np.zeros(len(q), bool)
+    out: list = [[], [], []]
+
+    def add(row: int, at: np.ndarray, d: np.ndarray) -> None:
+        best = _kept(d, ids[at], labels[at], k)
+        for part, values in zip(out, (np.full(len(best), row), at[best], d[best])):
+            part.append(values)
+
+    for row in np.flatnonzero(~whole_q):
+        add(row, np.arange(len(r)), exact_distances(q[row], r))
+    rows = np.flatnonzero(whole_q)
+    if len(rows):
+        # the references of each label one behind the other, so that each has a stretch of the columns
+        plain = np.concatenate([*kinds, np.setdiff1d(plain, np.concatenate(kinds))])
+        edges = np.cumsum([0, *(len(kind) for kind in kinds)])
+        centre = r[plain].mean(axis=0)
+        y = r[plain] - centre
+        norms = (y**2).sum(axis=1)
+        right = np.vstack([-2 * y.T, norms])
+        # of sums of so many products, each off by a rounding
+        error = 4 * (q.shape[1] + 4) * np.finfo(float).eps
+        height = max(1, TILE // len(plain))
+        for a in range(0, len(rows), height):
+            x = q[rows[a : a + height]] - centre
+            own = (x**2).sum(axis=1)
+            far = np.hstack([x, np.ones((len(x), 1))]) @ right  # less the norm of the query
+            slack = 2 * error * (own + norms.max())
+            kth = np.partition(far, k - 1, axis=1)[:, k - 1] if k < len(plain) else np.full(len(x), np.inf)
+            limit = kth.copy()
+            for first, last in zip(edges, edges[1:]):
+                if last > first:
+                    np.maximum(limit, far[:, first:last].min(axis=1), out=limit)
+            at, found = np.nonzero(far <= (limit + slack)[:, None])
+            # a label far away would let all nearer ones of the other pass
+            near = far[at, found] <= (kth + slack)[at]
+            for first, last in zip(edges, edges[1:]):
+                if last > first:
+                    near |= (found >= first) & (found < last) & (far[at, found] <= (far[:, first:last].min(axis=1) + slack)[at])
+            at, found = at[near], plain[found[near]]
+            d = exact_distances(q[rows[a : a + height]][at], r[found])
+            for row, part in enumerate(np.split(np.arange(len(at)), np.searchsorted(at, np.arange(1, len(x))))):
+                add(rows[a + row], found[part], d[part])
+    return tuple(np.concatenate(part) if part else np.array([], dtype=int) for part in out)
+
+
+def _matrix(values: pd.Series) -> np.ndarray:
+    return np.stack(values.to_list()).astype(float)
 
 
 def nearest_references(
     queries: DataFrame, references: DataFrame, keys: list[str], k: int, *, metric: str = "dtw", window: float = 1.0,
-    query_block: int = QUERY_BLOCK, reference_block: int = REFERENCE_BLOCK,
+    query_block: int | None = None, reference_block: int | None = None,
 ) -> DataFrame:
     """(keys, query_id, reference_id, reference_label, distance, rank): k nearest, plus the
     nearest one of each label (rank may exceed k for those).
 
     queries: keys, query_id, values array<double> or array<array<double>>; references: keys,
-    reference_id, label, values.
+    reference_id, label, values. For the euclidean metric all rows of a key are of one length.
     """
+    if metric not in ("dtw", "euclidean"):
+        raise KeyError(metric)
     if metric == "dtw":
         frames = lambda df: df.withColumn("values", F.transform("values", lambda x: F.array(x))) if dict(df.dtypes)["values"] == "array<double>" else df
         return nearest_by_warping(
-            frames(queries).withColumn("window", F.lit(float(window))), frames(references), keys, k, query_block=query_block, reference_block=reference_block).drop("window")
-    kernel = KERNELS[metric]
-    q, r = blocked(queries, keys, "query_id", query_block, "qb"), blocked(references, keys, "reference_id", reference_block, "rb")
+            frames(queries).withColumn("window", F.lit(float(window))), frames(references), keys, k, query_block=query_block or QUERY_BLOCK, reference_block=reference_block or REFERENCE_BLOCK).drop("window")
+    flat = lambda df: df if dict(df.dtypes)["values"] == "array<double>" else df.withColumn("values", F.flatten("values"))
+    # both sides are read several times from here on
+    q = cut_lineage(blocked(flat(queries), keys, "query_id", query_block or EUCLIDEAN_QUERIES, "qb"))
+    r = cut_lineage(blocked(flat(references), keys, "reference_id", reference_block or EUCLIDEAN_REFERENCES, "rb"))
     grid_q = r.groupBy(*keys).agg(F.max("rbs").alias("rbs"))
     grid_r = q.groupBy(*keys).agg(F.max("qbs").alias("qbs"))
     q = q.join(grid_q, keys).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rbs") - 1)))
@@ -82,28 +148,18 @@ def nearest_references(
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        refs = [_matrix(v) for v in right["r_values"]]
-        lengths = np.array([len(x) for x in refs])
-        padded = np.zeros((len(refs), lengths.max(), refs[0].reshape(len(refs[0]), -1).shape[1]))
-        for i, x in enumerate(refs):
-            padded[i, :len(x)] = x.reshape(len(x), -1)
         labels, ids = right["label"].to_numpy(), right["reference_id"].to_numpy()
-        out = []
-        for query_id, values in zip(left["query_id"], left["q_values"]):
-            query = _matrix(values)
-            d = kernel(query.reshape(len(query), -1), padded, lengths, window)
-            order = np.lexsort((ids, d))
-            keep = set(order[:k].tolist())
-            for label in (0, 1):
-                same = order[labels[order] == label]
-                if len(same):
-                    keep.add(int(same[0]))
-            out += [(*key[:len(keys)], query_id, ids[i], labels[i], d[i]) for i in sorted(keep)]
+        row, at, distance = nearest_in_block(_matrix(left["q_values"]), _matrix(right["r_values"]), ids, labels, k)
+        out = {c: [value] * len(row) for c, value in zip(keys, key)}
+        out |= {"query_id": left["query_id"].to_numpy()[row], "reference_id": ids[at], "reference_label": labels[at], "distance": distance}
         return pd.DataFrame(out, columns=columns)
 
     # both sides may come from one table, so each gets column names of its own
     q = q.select(*[F.col(c).alias(f"q_{c}") for c in at], "query_id", F.col("values").alias("q_values"))
     r = r.select(*[F.col(c).alias(f"r_{c}") for c in at], "reference_id", "label", F.col("values").alias("r_values"))
+    # a pair of blocks is small in bytes and long in work, so the partitions are not to be coalesced by size
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, r = q.repartition(n, *[f"q_{c}" for c in at]), r.repartition(n, *[f"r_{c}" for c in at])
     found = q.groupBy(*[f"q_{c}" for c in at]).cogroup(r.groupBy(*[f"r_{c}" for c in at])).applyInPandas(search, schema)
     place = Window.partitionBy(*keys, "query_id").orderBy("distance", "reference_id")
     per_label = Window.partitionBy(*keys, "query_id", "reference_label").orderBy("distance", "reference_id")

@@ -13,6 +13,7 @@ from anchorgrid.plans.queries_c_series import long_form, traces16
 from anchorgrid.plans.queries_d_metrics import SQL, cells_sql, ranking_sql
 from anchorgrid.plans.registry import query
 from anchorgrid.plans.roles import CUES, EV, GRID, LINKS, PGRID, h32, q6, r6
+from anchorgrid.session import cut_lineage
 
 # fold by hash of the vector; train 0-2, validation 3, test 4
 _FOLD = h32("'split:' || sample_id") + " % 5"
@@ -76,10 +77,8 @@ def _(t):
     _, _, rows = sides(t, "validation")
     near = neighbours(t, 5, "validation")
     truth = rows.select("channel", F.col("sample_id").alias("query_id"), "label")
-    scored = None
-    for k in (1, 3, 5):
-        p = sim.knn_inverse_distance(near, ["channel"], k).withColumn("window", F.lit(1.0)).withColumn("k", F.lit(k))
-        scored = p if scored is None else scored.unionByName(p)
+    tried = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5)]))).withColumn("window", F.lit(1.0))
+    scored = sim.knn_inverse_distance(tried, ["channel", "window", "k"], F.col("k"))
     out = sim.select_neighbour_settings(scored.join(truth, ["channel", "query_id"]), ["channel"])
     return out.withColumn("macro_f1", r6(F.col("macro_f1")))
 
@@ -87,7 +86,8 @@ def _(t):
 def knn_predictions(t):
     _, _, rows = sides(t, "test")
     truth = rows.select("channel", F.col("sample_id").alias("query_id"), "label")
-    return sim.knn_inverse_distance(neighbours(t, 5), ["channel"], 5).join(truth, ["channel", "query_id"])
+    # read for each summary, so it is searched once
+    return cut_lineage(sim.knn_inverse_distance(neighbours(t, 5), ["channel"], 5).join(truth, ["channel", "query_id"]))
 
 
 _KP = f"SELECT *, (probability >= 0.5)::INTEGER AS prediction FROM ({_knn_sql(5)}) JOIN ({_LAB}) USING (query_id)"

@@ -168,3 +168,19 @@ def test_redundancy_over_all_rows(spark):
     budgets = spark.createDataFrame([("m", 3)], "family string, budget bigint")
     got = se.suppress_redundant(df, "f", ranking, budgets).orderBy("place").collect()
     assert [r["ix"] for r in got] == [0, 2, 5]
+
+
+def test_products_of_blocks_find_what_single_distances_find():
+    rng = np.random.default_rng(2)
+    r = rng.normal(size=(400, 5)) + 1000
+    r[200:250] = r[:50]  # copies: ties go to the smaller id
+    q = np.vstack([r[:30], rng.normal(size=(30, 5)) + 1000])
+    ids, labels = rng.permutation(400), (rng.random(400) < 0.02).astype(int)
+    q[40, 1], r[7, 2] = np.nan, np.inf
+    row, at, d = sim.nearest_in_block(q, r, ids, labels, 3)
+    for i in range(60):
+        want = sim._kept(sim.exact_distances(q[i], r), ids, labels, 3)
+        assert sorted(at[row == i]) == want.tolist()
+        assert np.array_equal(np.sort(d[row == i]), np.sort(sim.exact_distances(q[i], r[want])), equal_nan=True)
+    row, at, _ = sim.nearest_in_block(q[:1], r[:2], ids[:2], labels[:2], 3)
+    assert sorted(at) == [0, 1]
