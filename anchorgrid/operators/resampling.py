@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from anchorgrid.functions.hashing import draw60
 from anchorgrid.operators.metrics import metric_columns, ranking_metrics
 from anchorgrid.operators.ordered import Ordered, attach_row
+from anchorgrid.session import cut_lineage
 
 MAX_CELLS = 4096
+BROADCAST_ROWS = 2_000_000  # of three numbers each
 
 
 class ComparisonError(ValueError):
@@ -126,15 +128,27 @@ def indexed(df: DataFrame, order: list[str]) -> DataFrame:
     return Ordered(df, [], order).numbered("ix").done().withColumn("ix", F.col("ix") - 1)
 
 
+def drawn_rows(drawn: DataFrame, df: DataFrame) -> DataFrame:
+    """Draws joined to the rows of ``df`` (with ix) that they name.
+
+    The planner takes draws for few, as it does not see how far a range is exploded, and would send all of them through the driver. So the side is
+    named: the rows up to a checked number are broadcast, more are hashed after a shuffle.
+    """
+    return drawn.join(F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash"), "ix")
+
+
 def row_draws(df: DataFrame, reps: int, seed: int = 42) -> DataFrame:
     """Rows of ``df`` (with ix) joined to how often each repetition draws them: + rep, n."""
     hit = draws(df.sparkSession, df.count(), reps, seed).groupBy("rep", "ix").agg(F.count(F.lit(1)).alias("n"))
-    return hit.join(df, "ix")
+    return drawn_rows(hit, df)
 
 
 def bootstrap_ranking_metric(df: DataFrame, metric: str, reps: int, order: list[str], seed: int = 42, level: float = 0.95) -> DataFrame:
-    drawn = row_draws(indexed(df, order), reps, seed)
-    per = ranking_metrics(drawn, ["rep"], weight=F.col("n")).select("rep", F.col(metric).alias("value"))
+    rows = cut_lineage(indexed(df, order).select("ix", "probability", "label"))
+    # draws are counted per score where they are made; read by the running counts and their count pass, so they are made once
+    drawn = drawn_rows(draws(df.sparkSession, rows.count(), reps, seed), rows)
+    cells = cut_lineage(drawn.groupBy("rep", "probability", "label").agg(F.count(F.lit(1)).alias("n")))
+    per = ranking_metrics(cells, ["rep"], weight=F.col("n")).select("rep", F.col(metric).alias("value"))
     point = ranking_metrics(df, []).select(F.col(metric).alias("point"))
     # a repetition that drew one class only has no value and counts as dropped
     return attach_row(percentile_interval(per, [], level=level), point)

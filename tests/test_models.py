@@ -184,3 +184,22 @@ def test_products_of_blocks_find_what_single_distances_find():
         assert np.array_equal(np.sort(d[row == i]), np.sort(sim.exact_distances(q[i], r[want])), equal_nan=True)
     row, at, _ = sim.nearest_in_block(q[:1], r[:2], ids[:2], labels[:2], 3)
     assert sorted(at) == [0, 1]
+
+
+def test_draws_are_never_the_broadcast_side(spark):
+    rows = spark.range(50).select(F.col("id").alias("ix"), (F.col("id") % 7).alias("x"))
+    plan = rs.row_draws(rows, 10)._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert rs.row_draws(rows, 10).agg(F.sum("n")).first()[0] == 500
+
+
+def test_marginals_do_not_depend_on_the_rows_taken_together(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=(int(rng.integers(1, 5)), 5)).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, e array<array<double>>").coalesce(1)
+    trans, edge = np.full((5, 5), -0.5) + np.eye(5), np.zeros(5)
+    seen = [n for n, _ in ((len(where), e) for where, e in sp._by_length(pd.Series([np.ravel(e) for _, e in rows]), 5, most=3))]
+    assert max(seen) <= 3 and sum(seen) == 40
+    got = {r.i: r.p for r in df.select("i", sp.positive_marginal(F.col("e"), trans, edge, edge).alias("p")).collect()}
+    one = df.repartition(40).select("i", sp.positive_marginal(F.col("e"), trans, edge, edge).alias("p")).collect()
+    assert all(got[r.i] == pytest.approx(r.p) and len(r.p) == len(rows[r.i][1]) for r in one)
