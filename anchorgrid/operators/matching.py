@@ -23,11 +23,12 @@ def hashed_rank(df: DataFrame, keys: list[str], id_column: str, seed, name: str)
 
 def coarse_controls(
     positives: DataFrame, references: DataFrame, pool: DataFrame, *, min_distance_ms: int,
-    balance: float = 0.5, seed: int = 42, id_column: str = "word_id", t: str = "time_ms",
+    balance: float = 0.5, seed: int = 42, id_column: str = "word_id", t: str = "time_ms", required: bool = True,
 ) -> DataFrame:
     """Seeded sample of pool words at least ``min_distance_ms`` from every reference word.
 
-    The sample size is set by the wanted positive share; too small a pool is an error.
+    The sample size is set by the wanted positive share; too small a pool is an error, or, if the
+    size is not ``required``, given out whole.
     """
     far = nearest_distance(pool, references, t=t, id_column=id_column)
     # read by the ranking and its count pass, so the distances are computed once
@@ -36,7 +37,7 @@ def coarse_controls(
     n = positives.count()
     wanted = int((n - balance * n) / balance)
     chosen = hashed_rank(far, [], id_column, seed, "__rank").filter(F.col("__rank") <= wanted)
-    have = chosen.count()
+    have = chosen.count() if required else wanted
     if have < wanted:
         raise MatchError(f"{wanted} controls wanted, {have} far enough from every cue")
     return chosen.drop("__rank", "distance_ms")

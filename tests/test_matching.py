@@ -165,3 +165,12 @@ def test_brackets_leave_no_free_control_on_their_side(spark, side):
                 spare.pop(0)
                 want += 1
     assert len(got) == want
+
+
+def test_coarse_controls_give_out_a_short_pool_when_told(spark):
+    cues = spark.createDataFrame([(i, i * 1000) for i in range(20)], "word_id long, time_ms long")
+    pool = spark.createDataFrame([(100 + i, i * 10_000) for i in range(10)], "word_id long, time_ms long")
+    with pytest.raises(matching.MatchError):
+        matching.coarse_controls(cues, cues, pool, min_distance_ms=5_000)
+    got = matching.coarse_controls(cues, cues, pool, min_distance_ms=5_000, required=False)
+    assert sorted(r.word_id for r in got.collect()) == [103 + i for i in range(7)]
