@@ -18,14 +18,26 @@ def stream(t):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def arriving(t, late, turn, **marks):
-    """The events as files that arrive one after another in the order of ``turn``, and a closing row."""
-    folder = f"{scratch(t.spark, 'arriving')}/events"
+def arriving(t, form, late, turn=None, **marks):
+    """``form`` of the events, which arrive in three turns in the order of ``turn`` or all at once, and then of a closing row.
+
+    Each arrival is one run over all files that came, so the number of batches is that of the arrivals however many files a turn has,
+    and no file of a turn is late behind another.
+    """
+    folder, kept = f"{scratch(t.spark, 'arriving')}/events", scratch(t.spark, "stream")
     rows = t.read("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    for place in range(3):
-        rows.filter(turn == place).write.mode("append").parquet(folder)
-    sw.closing_rows(rows, late, **marks).coalesce(1).write.mode("append").parquet(folder)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    turns = [rows] if turn is None else [rows.filter(turn == place) for place in range(3)]
+    closing, idle = sw.closing_rows(rows, late, **marks).coalesce(1), "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = t.spark.conf.get(idle)
+    try:
+        for part in (*turns, closing):
+            # the stream goes on after a turn, so only the last run has a batch without rows
+            t.spark.conf.set(idle, before if part is closing else "false")
+            part.write.mode("append").parquet(folder)
+            out = sw.run_available(form(t.spark.readStream.schema(rows.schema).parquet(folder)), f"{kept}/out", f"{kept}/state")
+    finally:
+        t.spark.conf.set(idle, before)
+    return out
 
 
 def finish(out):
@@ -49,24 +61,22 @@ def _(t):
     arrival = F.unix_seconds("ts") + draw("late", F.col("event_id")) % 43_200
     span = t.read("events").agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("b")).first()
     turn = F.least(F.lit(2), F.floor((arrival - span["a"]) * 3 / F.lit(span["b"] - span["a"] + 43_200)))
-    rows = arriving(t, "2 days", turn, event_type="closing", user_id=-1)
-    out = finish(sw.stream_rates(rows.select("event_type", "user_id", "ts", "value"), ["event_type", "user_id"], "2 days"))
+    form = lambda rows: sw.stream_rates(rows.select("event_type", "user_id", "ts", "value"), ["event_type", "user_id"], "2 days")
+    out = arriving(t, form, "2 days", turn, event_type="closing", user_id=-1)
     out = out.filter("event_type <> 'closing'")
     return out.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("rate"), 9).alias("total"), r6(F.max("rate"), 9).alias("largest"))
 
 
 @query("Z3_stream_presence", f"""SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS start_us, event_type, count(*) AS n, {q6('avg(value)')} AS mean_value FROM events GROUP BY 1, 2""")
 def _(t):
-    rows = arriving(t, "1 day", F.lit(0), event_type="closing")
-    out = finish(sw.stream_presence(rows, "6 hours", None, "1 day"))
+    out = arriving(t, lambda rows: sw.stream_presence(rows, "6 hours", None, "1 day"), "1 day", event_type="closing")
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n", r6(F.col("mean_value")).alias("mean_value"))
 
 
 # every row lies in four windows of a day that start six hours apart
 @query("Z3_stream_sliding", f"""SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) - i * 21600000000 AS start_us, event_type, count(*) AS n, {q6('avg(value)')} AS mean_value FROM events, (SELECT unnest(range(0, 4)) AS i) GROUP BY 1, 2""")
 def _(t):
-    rows = arriving(t, "1 day", F.lit(0), event_type="closing")
-    out = finish(sw.stream_presence(rows, "1 day", "6 hours", "1 day"))
+    out = arriving(t, lambda rows: sw.stream_presence(rows, "1 day", "6 hours", "1 day"), "1 day", event_type="closing")
     return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n", r6(F.col("mean_value")).alias("mean_value"))
 
 
@@ -74,6 +84,5 @@ def _(t):
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
   GROUP BY user_id, session""")
 def _(t):
-    rows = arriving(t, "1 day", F.lit(0), user_id=-1)
-    out = finish(sw.stream_turns(rows, "12 hours", "1 day", ["user_id"]))
+    out = arriving(t, lambda rows: sw.stream_turns(rows, "12 hours", "1 day", ["user_id"]), "1 day", user_id=-1)
     return out.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "user_id", "n")

@@ -72,3 +72,14 @@ def test_idle_streams_begin_anew_only_when_told(spark, tmp_path, rows, forget_ms
     stream = sw.stream_rates(arriving(spark, f"{tmp_path}/in", parts, "1 hour"), ["kind"], "1 hour", forget_ms=forget_ms)
     got = sw.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/state").where("kind IN ('a', 'b', 'c')").toPandas()
     assert len(got) == 2 * len(rows) and (got.rate == 0).sum() - (rates(rows).rate == 0).sum() * 2 + 6 == begins
+
+
+def test_files_of_one_arrival_are_not_late_behind_each_other(spark, tmp_path):
+    from anchorgrid.plans import load_all
+
+    days = lambda a, b, step: [(START + pd.Timedelta(days=a) + pd.Timedelta(minutes=i)) for i in range(0, (b - a) * 1440, step)]
+    for part in (days(10, 30, 20), days(0, 10, 60)):  # the larger file, which is read first, holds the later rows
+        frame = pd.DataFrame({"event_id": range(len(part)), "ts": part, "user_id": 1, "event_type": "a", "value": 1.0, "props": "{}"})
+        spark.createDataFrame(frame).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = load_all()[0]["Z2_stream_rates"](spark, str(tmp_path)).collect()
+    assert [r.n for r in got] == [20 * 72 + 10 * 24]
