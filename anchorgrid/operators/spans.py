@@ -208,12 +208,17 @@ def bio_constraints(transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndar
     return transitions, start
 
 
-def _by_length(emissions: pd.Series):
-    """(positions, [n, T, tags]) for every sequence length of the batch."""
-    lengths = emissions.map(len)
-    for length in lengths.unique():
-        where = np.flatnonzero((lengths == length).to_numpy())
-        yield where, np.array([[list(map(float, f)) for f in emissions.iloc[i]] for i in where])
+ROWS = 512  # sequences decoded together: what a task holds does not grow with its batch
+
+
+def _by_length(emissions: pd.Series, tags: int, most: int = ROWS):
+    """(positions, [n, T, tags]) of up to ``most`` sequences of one length; the scores of a sequence lie frame behind frame in one array."""
+    lengths = emissions.map(len).to_numpy()
+    for length in np.unique(lengths):
+        same = np.flatnonzero(lengths == length)
+        for at in range(0, len(same), most):
+            where = same[at : at + most]
+            yield where, np.stack([emissions.iloc[i] for i in where]).astype(float).reshape(len(where), length // tags, tags)
 
 
 def viterbi(emissions: Column, transitions: np.ndarray, start: np.ndarray, end: np.ndarray) -> Column:
@@ -224,7 +229,7 @@ def viterbi(emissions: Column, transitions: np.ndarray, start: np.ndarray, end:
     @F.pandas_udf("array<int>")
     def decode(scores: pd.Series) -> pd.Series:
         out = [None] * len(scores)
-        for where, e in _by_length(scores):
+        for where, e in _by_length(scores, len(first)):
             n, steps, _ = e.shape
             score, back = first + e[:, 0], []
             for t in range(1, steps):
@@ -239,7 +244,7 @@ def viterbi(emissions: Column, transitions: np.ndarray, start: np.ndarray, end:
                 out[i] = row.tolist()
         return pd.Series(out)
 
-    return decode(emissions)
+    return decode(F.flatten(emissions))
 
 
 def positive_marginal(emissions: Column, transitions: np.ndarray, start: np.ndarray, end: np.ndarray, positive=(1, 2, 3, 4)) -> Column:
@@ -255,7 +260,7 @@ def positive_marginal(emissions: Column, transitions: np.ndarray, start: np.ndar
     @F.pandas_udf("array<double>")
     def marginal(scores: pd.Series) -> pd.Series:
         out = [None] * len(scores)
-        for where, e in _by_length(scores):
+        for where, e in _by_length(scores, len(first)):
             n, steps, tags = e.shape
             alpha, beta = np.empty((n, steps, tags)), np.empty((n, steps, tags))
             alpha[:, 0] = first + e[:, 0]
@@ -270,4 +275,4 @@ def positive_marginal(emissions: Column, transitions: np.ndarray, start: np.ndar
                 out[i] = row.tolist()
         return pd.Series(out)
 
-    return marginal(emissions)
+    return marginal(F.flatten(emissions))
