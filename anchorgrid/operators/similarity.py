@@ -42,8 +42,11 @@ def latent_statistics(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
 
 # -- euclidean distance: a block of queries against a block of references ---------------------------
 
-EUCLIDEAN_QUERIES, EUCLIDEAN_REFERENCES = 8192, 16384  # rows of a block
+EUCLIDEAN_QUERIES, EUCLIDEAN_REFERENCES = 8192, 32768  # rows of a block
 TILE = 1 << 20  # distances of one matrix product
+GROUP = 64  # references that share their least distance
+LARGE = 1e150  # values beyond have no square
+NOWHERE = np.float32(1e30)  # a place without a reference
 
 
 def exact_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -57,58 +60,88 @@ def _kept(d: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int) -> np.ndar
     return np.unique(np.concatenate([order[:k], *firsts]))
 
 
+def _grouped(kinds: list[np.ndarray], width: int) -> tuple[np.ndarray, list[int]]:
+    """[width, groups] places of references, -1 where there is none, and the edges between the groups of each kind."""
+    parts, edges = [], [0]
+    for kind in kinds:
+        many = -(-len(kind) // width)
+        part = np.full(width * many, -1)
+        part[: len(kind)] = kind
+        parts.append(part.reshape(width, many))
+        edges.append(edges[-1] + many)
+    return np.concatenate(parts, axis=1), edges
+
+
+def _nearest_of_rows(row: np.ndarray, at: np.ndarray, d: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
+    """What :func:`_kept` keeps of each row, for all rows of a tile at once."""
+    order = np.lexsort((ids[at], d, row))
+    row = row[order]
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    keep = np.arange(len(row)) - np.repeat(begins, np.diff(begins, append=len(row))) < k
+    for y in (0, 1):
+        same = np.flatnonzero(labels[at[order]] == y)
+        keep[same[np.diff(row[same], prepend=-1) != 0]] = True
+    return order[keep]
+
+
 def nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, reference, distance) of the k nearest references of each query and the nearest of each label.
 
-    Squared distances come as matrix products of tiles, which only say what can be among the nearest within their rounding; distances are then taken from the
-    vectors. Rows with values that are not finite have no such product and are compared one by one.
+    Squared distances come as matrix products of tiles in single precision. References of one label share a group and its least distance; the least distances of the
+    groups bound the k-th and that of the label, and within the rounding only groups below a bound are looked into. Distances are then taken from the vectors. Rows with
+    values that are not finite, or too large for a square, have no such product and are compared one by one.
     """
-    whole_q, whole_r = np.isfinite(q).all(axis=1), np.isfinite(r).all(axis=1)
+    # written so that what is not a number is not plain
+    whole_q, whole_r = (np.abs(q) < LARGE).all(axis=1), (np.abs(r) < LARGE).all(axis=1)
     plain = np.flatnonzero(whole_r)
     kinds = [np.flatnonzero(whole_r & (labels == y)) for y in (0, 1)]
     if len(plain) < min(k, len(r)) or any((labels == y).any() and not len(kind) for y, kind in enumerate(kinds)):
         whole_q = np.zeros(len(q), bool)
     out: list = [[], [], []]
 
-    def add(row: int, at: np.ndarray, d: np.ndarray) -> None:
-        best = _kept(d, ids[at], labels[at], k)
-        for part, values in zip(out, (np.full(len(best), row), at[best], d[best])):
+    def add(row: np.ndarray, at: np.ndarray, d: np.ndarray) -> None:
+        for part, values in zip(out, (row, at, d)):
             part.append(values)
 
     for row in np.flatnonzero(~whole_q):
-        add(row, np.arange(len(r)), exact_distances(q[row], r))
+        d = exact_distances(q[row], r)
+        best = _kept(d, ids, labels, k)
+        add(np.full(len(best), row), best, d[best])
     rows = np.flatnonzero(whole_q)
-    if len(rows):
-        # the references of each label one behind the other, so that each has a stretch of the columns
-        plain = np.concatenate([*kinds, np.setdiff1d(plain, np.concatenate(kinds))])
-        edges = np.cumsum([0, *(len(kind) for kind in kinds)])
+    if len(rows) and len(plain):
+        kinds.append(np.setdiff1d(plain, np.concatenate(kinds)))
+        width = int(np.clip(len(plain) // (8 * k), 1, GROUP))
+        places, edges = _grouped(kinds, width)
+        groups, filled = places.shape[1], places.ravel() >= 0
         centre = r[plain].mean(axis=0)
-        y = r[plain] - centre
-        norms = (y**2).sum(axis=1)
-        right = np.vstack([-2 * y.T, norms])
-        # of sums of so many products, each off by a rounding
-        error = 4 * (q.shape[1] + 4) * np.finfo(float).eps
-        height = max(1, TILE // len(plain))
+        y = r[places.ravel()[filled]] - centre
+        # the largest value becomes one, so that no square leaves single precision
+        scale = max(np.abs(y).max(initial=0), np.abs(q[rows] - centre).max(initial=0)) or 1.0
+        norms = ((y / scale) ** 2).sum(axis=1)
+        right = np.zeros((q.shape[1] + 1, places.size), np.float32)
+        right[:-1, filled], right[-1, filled], right[-1, ~filled] = -2 * (y / scale).T, norms, NOWHERE
+        # of sums of so many products, each off by a rounding, and of what is too small for single precision
+        error = 4 * (q.shape[1] + 4) * float(np.finfo(np.float32).eps)
+        height = max(1, TILE // places.size)
         for a in range(0, len(rows), height):
-            x = q[rows[a : a + height]] - centre
-            own = (x**2).sum(axis=1)
-            far = np.hstack([x, np.ones((len(x), 1))]) @ right  # less the norm of the query
-            slack = 2 * error * (own + norms.max())
-            kth = np.partition(far, k - 1, axis=1)[:, k - 1] if k < len(plain) else np.full(len(x), np.inf)
-            limit = kth.copy()
-            for first, last in zip(edges, edges[1:]):
-                if last > first:
-                    np.maximum(limit, far[:, first:last].min(axis=1), out=limit)
-            at, found = np.nonzero(far <= (limit + slack)[:, None])
-            # a label far away would let all nearer ones of the other pass
-            near = far[at, found] <= (kth + slack)[at]
-            for first, last in zip(edges, edges[1:]):
+            x = (q[rows[a : a + height]] - centre) / scale
+            slack = (2 * error * ((x**2).sum(axis=1) + norms.max()) + 1e-30)[:, None]
+            far = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) @ right).reshape(len(x), width, groups)  # less the norm of the query
+            least = far.min(axis=1)
+            # k groups hold k references, so the k-th is no further than their least ones
+            limit = np.full((len(x), groups), np.inf)
+            if k < groups:
+                limit[:] = np.partition(least, k - 1, axis=1)[:, k - 1 : k]
+            for first, last in zip(edges[:2], edges[1:3]):
                 if last > first:
-                    near |= (found >= first) & (found < last) & (far[at, found] <= (far[:, first:last].min(axis=1) + slack)[at])
-            at, found = at[near], plain[found[near]]
-            d = exact_distances(q[rows[a : a + height]][at], r[found])
-            for row, part in enumerate(np.split(np.arange(len(at)), np.searchsorted(at, np.arange(1, len(x))))):
-                add(rows[a + row], found[part], d[part])
+                    np.maximum(limit[:, first:last], least[:, first:last].min(axis=1, keepdims=True), out=limit[:, first:last])
+            limit += slack
+            row, group = np.nonzero(least <= limit)
+            near, member = np.nonzero((far[row, :, group] <= limit[row, group][:, None]) & (places[:, group].T >= 0))
+            row, at = row[near], places[member, group[near]]
+            d = np.concatenate([exact_distances(q[rows[a + row[i : i + TILE // 16]]], r[at[i : i + TILE // 16]]) for i in range(0, len(row), TILE // 16)])
+            best = _nearest_of_rows(row, at, d, ids, labels, k)
+            add(rows[a + row[best]], at[best], d[best])
     return tuple(np.concatenate(part) if part else np.array([], dtype=int) for part in out)
 
 

@@ -186,6 +186,19 @@ def test_products_of_blocks_find_what_single_distances_find():
     assert sorted(at) == [0, 1]
 
 
+@pytest.mark.parametrize(("n", "k"), [(3, 5), (700, 1), (3000, 5)])
+def test_whole_rows_are_searched_without_a_step_for_each(monkeypatch, n, k):
+    rng = np.random.default_rng(n)
+    r = np.round(rng.normal(size=(n, 4)), 1) * 1e-6 + 1e3  # far from zero, with ties
+    q = np.vstack([r[:40], rng.normal(size=(40, 4)) * 1e-6 + 1e3, np.full((1, 4), 1e9)])
+    ids, labels = rng.permutation(n), rng.choice([0, 1, 2], n, p=[0.01, 0.5, 0.49])
+    want = [sim._kept(sim.exact_distances(x, r), ids, labels, k).tolist() for x in q]
+    monkeypatch.setattr(sim, "_kept", None)
+    row, at, d = sim.nearest_in_block(q, r, ids, labels, k)
+    assert [sorted(at[row == i].tolist()) for i in range(len(q))] == want
+    assert np.array_equal(d, sim.exact_distances(q[row], r[at]))
+
+
 def test_draws_are_never_the_broadcast_side(spark):
     rows = spark.range(50).select(F.col("id").alias("ix"), (F.col("id") % 7).alias("x"))
     plan = rs.row_draws(rows, 10)._jdf.queryExecution().sparkPlan().toString()
