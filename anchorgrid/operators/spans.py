@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from anchorgrid.functions.traces import let
 from anchorgrid.operators.metrics import confusion, metric_columns, ranking_metrics, ratio
 from anchorgrid.operators.ordered import attach_row, exact_quantile, join_on
 
@@ -76,25 +77,18 @@ def label_statistics(tags: DataFrame, spans: DataFrame, by: list[str]) -> DataFr
 def span_array(tags: Column) -> Column:
     """array<struct<span_type, start_frame, stop_frame>> of one tag array, lenient BIO decoding.
 
-    A span opens at B, or at I of another type than the frame before. The array is folded
-    once; a window has as many tags as its grid has frames, so this needs no shuffle.
+    A span opens at B, or at I of another type than the frame before. Stretches begin where that happens or where the type ends, and each ends where the
+    next begins; a window has as many tags as its grid has frames, so this needs no shuffle.
     """
-    nothing = F.lit(None).cast("string")
-    state = "struct<done:array<struct<span_type:string,start_frame:int,stop_frame:int>>,kind:string,start:int,at:int>"
+    kind = lambda tag: F.when(tag.isin(1, 2), F.lit(1)).when(tag.isin(3, 4), F.lit(2)).otherwise(F.lit(0))
 
-    def close(acc):
-        one = F.array(F.struct(acc["kind"].alias("span_type"), acc["start"].alias("start_frame"), acc["at"].alias("stop_frame")))
-        return F.when(acc["kind"].isNotNull(), F.concat(acc["done"], one)).otherwise(acc["done"])
+    def stretches(x):
+        begins = F.transform(x, lambda tag, i: F.when(tag.isin(1, 3) | (i == 0) | (kind(tag) != kind(F.get(x, i - 1))), i))
+        return let(F.filter(begins, lambda i: i.isNotNull()), lambda at: F.transform(at, lambda start, j: F.struct(
+            F.element_at(F.array(F.lit(None).cast("string"), F.lit("CUE"), F.lit("SCOPE")), kind(F.get(x, start)) + 1).alias("span_type"),
+            start.alias("start_frame"), F.coalesce(F.get(at, j + 1), F.size(x)).alias("stop_frame"))))
 
-    def step(acc, tag):
-        kind = F.when(tag.isin(1, 2), F.lit("CUE")).when(tag.isin(3, 4), F.lit("SCOPE")).otherwise(nothing)
-        goes_on = tag.isin(2, 4) & kind.eqNullSafe(acc["kind"])
-        return F.struct(
-            F.when(goes_on, acc["done"]).otherwise(close(acc)).alias("done"), kind.alias("kind"),
-            F.when(goes_on, acc["start"]).otherwise(acc["at"]).alias("start"), (acc["at"] + 1).alias("at")).cast(state)
-
-    first = F.struct(F.array().alias("done"), nothing.alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("at")).cast(state)
-    return F.aggregate(tags, first, step, close)
+    return F.filter(let(tags, stretches), lambda s: s["span_type"].isNotNull())
 
 
 def decode_spans(tags: DataFrame, sample: str = "sample_id") -> DataFrame:
@@ -133,11 +127,33 @@ def score_exact(predicted: DataFrame, reference: DataFrame, sample: str = "sampl
     return _scores(both.select("span_type", "predicted", "reference", F.least("predicted", "reference").alias("tp")))
 
 
+def _matches(predicted: Column, reference: Column, tau: float) -> Column:
+    """Types of the predicted spans that take a reference: each, in order, the free one of its type with the largest IoU >= tau, ties to the first."""
+    span = "struct<start_frame:int,stop_frame:int,span_type:string>"
+    state = f"struct<free:array<{span}>,hit:array<string>>"
+
+    def step(acc, x):
+        def judged(y, i):
+            common = F.least(x["stop_frame"], y["stop_frame"]) - F.greatest(x["start_frame"], y["start_frame"])
+            union = F.greatest(x["stop_frame"], y["stop_frame"]) - F.least(x["start_frame"], y["start_frame"])
+            fits = (x["span_type"] == y["span_type"]) & (common > 0) & (common / F.greatest(union, F.lit(1)) >= tau)
+            return F.when(fits, F.struct((common / union).alias("iou"), (-i).alias("at")))
+
+        def take(best):
+            rest = F.filter(acc["free"], lambda y, i: i != -best["at"])
+            return F.when(best.isNotNull(), F.struct(rest.alias("free"), F.concat(acc["hit"], F.array(x["span_type"])).alias("hit")).cast(state)).otherwise(acc)
+
+        return let(F.array_max(F.transform(acc["free"], judged)), take)
+
+    first = F.struct(reference.alias("free"), F.array().cast("array<string>").alias("hit")).cast(state)
+    return F.aggregate(predicted, first, step, lambda acc: acc["hit"])
+
+
 def score_overlap(predicted: DataFrame, reference: DataFrame, tau: float, sample: str = "sample_id") -> DataFrame:
     """Each predicted span, in order, takes its best free reference of the type with IoU >= tau.
 
-    Above one half disjoint references cannot compete, so a plain join decides. Otherwise the
-    spans of a window (bounded by its frames) are walked in a small Arrow helper.
+    Above one half disjoint references cannot compete, so a plain join decides. Otherwise the spans of a window (bounded by its frames) meet as two arrays of one row
+    and are walked by array expressions.
     """
     if tau > 0.5:
         r = reference.select(sample, "span_type", F.col("start_frame").alias("rs"), F.col("stop_frame").alias("re"))
@@ -146,30 +162,10 @@ def score_overlap(predicted: DataFrame, reference: DataFrame, tau: float, sample
         union = F.greatest("stop_frame", "re") - F.least("start_frame", "rs")
         return _totals(predicted, reference, met.filter((common > 0) & (common / union >= tau)))
 
-    def packed(df, name):
-        return df.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct("start_frame", "stop_frame", "span_type"))).alias(name))
-
-    @F.pandas_udf("array<string>")
-    def matched(p: pd.Series, r: pd.Series) -> pd.Series:
-        out = []
-        for ps, rs in zip(p, r):
-            free, hit = list(rs), []
-            for x in ps:
-                best, score = None, 0.0
-                for i, y in enumerate(free):
-                    common = min(x["stop_frame"], y["stop_frame"]) - max(x["start_frame"], y["start_frame"])
-                    if y["span_type"] != x["span_type"] or common <= 0:
-                        continue
-                    iou = common / (max(x["stop_frame"], y["stop_frame"]) - min(x["start_frame"], y["start_frame"]))
-                    if iou >= tau and iou > score:
-                        best, score = i, iou
-                if best is not None:
-                    hit.append(free.pop(best)["span_type"])
-            out.append(hit)
-        return pd.Series(out)
-
-    both = packed(predicted, "p").join(packed(reference, "r"), sample)
-    return _totals(predicted, reference, both.select(F.explode(matched("p", "r")).alias("span_type")))
+    sided = lambda df, side: df.select(sample, F.lit(side).alias("side"), F.struct("start_frame", "stop_frame", "span_type").alias("span"))
+    packed = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("span"))))
+    both = sided(predicted, "p").unionByName(sided(reference, "r")).filter(F.col(sample).isNotNull()).groupBy(sample).agg(packed("p").alias("p"), packed("r").alias("r"))
+    return _totals(predicted, reference, both.select(F.explode(_matches(F.col("p"), F.col("r"), tau)).alias("span_type")))
 
 
 def frame_metrics(df: DataFrame, by: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from anchorgrid.functions.hashing import draw
+from anchorgrid.functions.traces import let
 from anchorgrid.operators import attribution as at, separability as sep, similarity as sim, spans as sp
 from anchorgrid.operators.ordered import exact_quantile
 from anchorgrid.plans.queries_b_windows import links
@@ -264,11 +265,20 @@ def _(t):
 _PRED = f"""SELECT sample_id, frame, CASE WHEN h < 8 THEN 0 WHEN h < 14 AND tag IN (1, 3) THEN tag + 1 WHEN h < 17 AND tag = 0 THEN 4 ELSE tag END AS tag FROM (SELECT *, {h32("'tag:' || sample_id || ':' || frame")} % 100 AS h FROM ({_TAGS}))"""
 
 
-def predicted(t):
+def predicted(t, rows=None):
     def change(x, f):
         h = draw("tag", F.col("sample_id"), f) % 100
-        return F.when(h < 8, 0).when((h < 14) & x.isin(1, 3), x + 1).when((h < 17) & (x == 0), 4).otherwise(x)
-    return tags(t).withColumn("tags", F.transform("tags", change))
+        return let(h, lambda h: F.when(h < 8, 0).when((h < 14) & x.isin(1, 3), x + 1).when((h < 17) & (x == 0), 4).otherwise(x))
+    return (tags(t) if rows is None else rows).withColumn("tags", F.transform("tags", change))
+
+
+def decoded(t):
+    """(predicted, reference) spans; the tags of both, and the passes that count links, are made once.
+
+    Tags are small in bytes and long in work, so the partitions are not to be coalesced by size.
+    """
+    rows = cut_lineage(tags(t).repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "sample_id"))
+    return sp.decode_spans(cut_lineage(predicted(t, rows))), sp.decode_spans(rows)
 
 
 def _decode_sql(source):
@@ -296,18 +306,18 @@ def _rounded(out):
 
 @query("D12_score_exact", _score_sql("p.start_frame = r.start_frame AND p.stop_frame = r.stop_frame"))
 def _(t):
-    return _rounded(sp.score_exact(sp.decode_spans(predicted(t)), sp.decode_spans(tags(t))))
+    return _rounded(sp.score_exact(*decoded(t)))
 
 
 @query("D12_score_overlap_high", _score_sql("""least(p.stop_frame, r.stop_frame) > greatest(p.start_frame, r.start_frame)
   AND (least(p.stop_frame, r.stop_frame) - greatest(p.start_frame, r.start_frame)) / (greatest(p.stop_frame, r.stop_frame) - least(p.start_frame, r.start_frame))::DOUBLE >= 0.6"""))
 def _(t):
-    return _rounded(sp.score_overlap(sp.decode_spans(predicted(t)), sp.decode_spans(tags(t)), 0.6))
+    return _rounded(sp.score_overlap(*decoded(t), 0.6))
 
 
 @query("D12_score_overlap_low")
 def _(t):
-    return _rounded(sp.score_overlap(sp.decode_spans(predicted(t)), sp.decode_spans(tags(t)), 0.3))
+    return _rounded(sp.score_overlap(*decoded(t), 0.3))
 
 
 @query("A31_frame_metrics", f"""SELECT {', '.join(f'{q6(SQL[m])} AS {m}' for m in ('precision', 'recall', 'f1', 'balanced_accuracy'))}, tp + fn AS positive_support, (SELECT {q6('avg((a.tag = b.tag)::INTEGER)')} FROM ({_PRED}) a JOIN ({_TAGS}) b USING (sample_id, frame)) AS tag_accuracy

@@ -60,6 +60,38 @@ def test_span_decoding_and_overlap(spark):
     assert exact["CUE"] == (1, 1, 0)
 
 
+def test_overlap_walks_windows_without_python_and_decodes_any_tags(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [None if x == 5 else int(x) for x in rng.integers(0, 6, rng.integers(0, 14))]) for i in range(150)] + [(150, None), (None, [1, 2])]
+    tags = spark.createDataFrame(rows, "sample_id int, tags array<int>")
+
+    def runs(x):
+        out, before = [], None
+        for f, tag in enumerate(x or []):
+            kind = {1: "CUE", 2: "CUE", 3: "SCOPE", 4: "SCOPE"}.get(tag)
+            if kind and tag in (2, 4) and kind == before:
+                out[-1][2] = f + 1
+            elif kind:
+                out.append([kind, f, f + 1])
+            before = kind
+        return [tuple(s) for s in out]
+
+    got = sp.decode_spans(tags)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(repr((i, *s)) for i, x in rows for s in runs(x))
+    other = sp.decode_spans(tags.withColumn("tags", F.transform("tags", lambda x: F.when(x == 2, 1).when(x == 0, 4).otherwise(x))))
+    scores = sp.score_overlap(other, got, 0.3)
+    assert "Python" not in scores._jdf.queryExecution().executedPlan().toString()
+    want = 0
+    left = {i: [r[1:] for r in rs] for i, rs in ((i, [tuple(r) for r in got.collect() if r.sample_id == i]) for i in range(150))}
+    for i, kind, a, b in sorted((tuple(r) for r in other.collect() if r.sample_id is not None), key=lambda r: (r[0], r[2], r[3], r[1])):
+        fits = [(-(min(b, y[2]) - max(a, y[1])) / (max(b, y[2]) - min(a, y[1])), y) for y in sorted(left[i], key=lambda y: (y[1], y[2])) if y[0] == kind and min(b, y[2]) > max(a, y[1])]
+        fits = [(s, n, y) for n, (s, y) in enumerate(fits) if -s >= 0.3]
+        if fits:
+            want += 1
+            left[i].remove(min(fits)[2])
+    assert {r.span_type: r.tp for r in scores.collect()}["micro"] == want > 100
+
+
 def test_fixed_kernel_responses():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2, 30))
