@@ -15,10 +15,10 @@ class MatchError(ValueError):
     """The requested controls do not exist."""
 
 
-def hashed_rank(df: DataFrame, keys: list[str], id_column: str, seed, name: str) -> DataFrame:
-    """Row number in md5 order inside each key."""
+def hashed_rank(df: DataFrame, keys: list[str], id_column: str, seed, name: str, most: int | None = None) -> DataFrame:
+    """Row number in md5 order inside each key; ``most`` as in :class:`Ordered`."""
     ranked = df.withColumn("__h", draw60(seed, F.col(id_column)))
-    return Ordered(ranked, keys, ["__h", id_column]).numbered(name).done().drop("__h")
+    return Ordered(ranked, keys, ["__h", id_column], most=most).numbered(name).done().drop("__h")
 
 
 def coarse_controls(
@@ -127,21 +127,32 @@ def strict_controls(
     ten-second step that holds one; the cue with the fewest controls wins a contested one. Both
     stages run ``ROUNDS`` times, and what conflicts leave over is matched like brackets on the
     time line. The number of joins does not depend on the data, and no pair list is built.
+    The rows of the largest group are counted once, as no time line of any step is longer.
     """
     cues = cut_lineage(cues.select(*group, chunk, "cue_id", F.col("time_ms").alias("cue_ms")))
     free = cut_lineage(pool.select(*group, chunk, "control_id", F.col("time_ms").alias("control_ms")))
-    inside = _matched(cues, free, [*group, chunk], seed, min_distance_ms, _paired_suitable).withColumn("stage", F.lit("chunk"))
+    most = _longest_line(cues, free, group)
+    inside = _matched(cues, free, [*group, chunk], seed, min_distance_ms, _paired_suitable, most).withColumn("stage", F.lit("chunk"))
     cues = cut_lineage(cues.join(inside, "cue_id", "left_anti"))
     free = cut_lineage(free.join(inside, "control_id", "left_anti"))
-    outside = _matched(cues, free, group, seed, min_distance_ms, _drawn_suitable).withColumn("stage", F.lit("radius"))
+    outside = _matched(cues, free, group, seed, min_distance_ms, _drawn_suitable, most).withColumn("stage", F.lit("radius"))
     return inside.unionByName(outside)
 
 
-def _matched(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap: int, choose) -> DataFrame:
+MARKS = 4  # places of a cue on a time line at most
+
+
+def _longest_line(cues: DataFrame, free: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest key with all marks of its cues; finer keys and what a step leaves over have no more."""
+    rows = cues.select(*keys, F.lit(MARKS).alias("__n")).unionByName(free.select(*keys, F.lit(1).alias("__n")))
+    return rows.groupBy(*keys).agg(F.sum("__n").alias("__n")).agg(F.max("__n")).first()[0] or 0
+
+
+def _matched(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap: int, choose, most: int | None = None) -> DataFrame:
     """(cue_id, control_id, distance_ms): rounds of ``choose``, then controls before and after the cues left."""
     done = None
-    steps = [lambda c, f, turn=turn: choose(c, f, keys, f"{seed}:{turn}", gap) for turn in range(ROUNDS)]
-    steps += [lambda c, f, side=side: _bracketed(c, f, keys, gap, side) for side in (-1, 1)]
+    steps = [lambda c, f, turn=turn: choose(c, f, keys, f"{seed}:{turn}", gap, most) for turn in range(ROUNDS)]
+    steps += [lambda c, f, side=side: _bracketed(c, f, keys, gap, side, most) for side in (-1, 1)]
     for step in steps:
         pairs = cut_lineage(step(cues, free))
         done = pairs if done is None else done.unionByName(pairs)
@@ -150,25 +161,26 @@ def _matched(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap: int,
     return done
 
 
-def _paired_suitable(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap: int) -> DataFrame:
+def _paired_suitable(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap: int, most: int | None = None) -> DataFrame:
     """Cues and controls of a key with equal md5 ranks, where they are far enough apart."""
-    left = hashed_rank(cues, keys, "cue_id", f"{seed}:cue", "__rank")
-    right = hashed_rank(free, keys, "control_id", f"{seed}:control", "__rank")
+    left = hashed_rank(cues, keys, "cue_id", f"{seed}:cue", "__rank", most)
+    right = hashed_rank(free, keys, "control_id", f"{seed}:control", "__rank", most)
     pairs = left.join(right.select(*keys, "__rank", "control_id", "control_ms"), [*keys, "__rank"])
     return pairs.withColumn("distance_ms", F.abs(F.col("cue_ms") - F.col("control_ms"))).filter(F.col("distance_ms") >= gap).select(*PAIR)
 
 
-def _drawn_suitable(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap: int) -> DataFrame:
+def _drawn_suitable(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap: int, most: int | None = None) -> DataFrame:
     """Each cue draws a control between ``gap`` and its search radius; a contested one goes to the cue with the fewest controls."""
-    near = _nearest_suitable(cues, free, keys, gap)
-    asked = cues.join(near.select("cue_id", "__n", search_radius(F.col("distance_ms")).alias("__r")), "cue_id")
+    near = _nearest_suitable(cues, free, keys, gap, most)
+    # read for the marks and for the wishes, so the time line behind it is walked once
+    asked = cut_lineage(cues.join(near.select("cue_id", "__n", search_radius(F.col("distance_ms")).alias("__r")), "cue_id"))
     # how many controls of the key lie before each end of the two stretches that hold candidates
     ends = {"__a": (-F.col("__r"), False), "__b": (F.lit(-gap), True), "__c": (F.lit(gap), False), "__d": (F.col("__r"), True)}
     marks = asked.select(*keys, "cue_id", F.explode(F.array(*[
         F.struct(F.lit(name).alias("mark"), (F.col("cue_ms") + shift).cast("bigint").alias("t"), F.lit(2 if closed else 0).alias("kind"))
         for name, (shift, closed) in ends.items()])).alias("m")).select(*keys, "m.t", "m.kind", F.col("cue_id").alias("id"), "m.mark")
     points = free.select(*keys, F.col("control_ms").alias("t"), F.lit(1).alias("kind"), F.col("control_id").alias("id"), F.lit("").alias("mark"))
-    line = Ordered(marks.unionByName(points), keys, ["t", "kind", "id", "mark"]).running({"upto": (F.col("kind") == 1).cast("bigint")}).done()
+    line = Ordered(marks.unionByName(points), keys, ["t", "kind", "id", "mark"], most=most).running({"upto": (F.col("kind") == 1).cast("bigint")}).done()
     counted = line.filter("kind <> 1").groupBy(F.col("id").alias("cue_id")).agg(*[F.max(F.when(F.col("mark") == name, F.col("upto"))).alias(name) for name in ends])
     before, after = F.col("__b") - F.col("__a"), F.col("__d") - F.col("__c")
     drawn = draw60(seed, "draw", F.col("cue_id")) % (before + after)
@@ -180,7 +192,7 @@ def _drawn_suitable(cues: DataFrame, free: DataFrame, keys: list[str], seed, gap
     return met.groupBy("control_id").agg(first.alias("c")).select("c.cue_id", "control_id", "c.distance_ms")
 
 
-def _bracketed(cues: DataFrame, free: DataFrame, keys: list[str], gap: int, side: int) -> DataFrame:
+def _bracketed(cues: DataFrame, free: DataFrame, keys: list[str], gap: int, side: int, most: int | None = None) -> DataFrame:
     """Controls before (side -1) or after (side 1) the cues, matched like brackets: a control opens, a cue closes ``gap`` later.
 
     On a level of the running sum openings and closings take turns, so a cue takes the opening before it on its level, and none is left while an
@@ -189,14 +201,14 @@ def _bracketed(cues: DataFrame, free: DataFrame, keys: list[str], gap: int, side
     closing = cues.select(*keys, ((F.col("cue_ms") + side * gap) * -side).alias("t"), F.lit(1).alias("kind"), F.col("cue_id").alias("id"), F.col("cue_ms").alias("ms"))
     opening = free.select(*keys, (F.col("control_ms") * -side).alias("t"), F.lit(0).alias("kind"), F.col("control_id").alias("id"), F.col("control_ms").alias("ms"))
     step = F.when(F.col("kind") == 0, 1).otherwise(-1).cast("bigint")
-    line = Ordered(opening.unionByName(closing), keys, ["t", "kind", "id"]).running({"level": step}).done()
+    line = Ordered(opening.unionByName(closing), keys, ["t", "kind", "id"], most=most).running({"level": step}).done()
     line = line.withColumn("level", F.col("level") + F.col("kind"))  # the level a closing leaves, an opening reaches
-    turns = Ordered(line, [*keys, "level"], ["t", "kind", "id"]).neighbour(["kind", "id", "ms"], "last", -1).done()
+    turns = Ordered(line, [*keys, "level"], ["t", "kind", "id"], most=most).neighbour(["kind", "id", "ms"], "last", -1).done()
     met = turns.filter((F.col("kind") == 1) & (F.col("last.kind") == 0))
     return met.select(F.col("id").alias("cue_id"), F.col("last.id").alias("control_id"), F.abs(F.col("ms") - F.col("last.ms")).alias("distance_ms"))
 
 
-def _nearest_suitable(cues, free, keys, gap) -> DataFrame:
+def _nearest_suitable(cues, free, keys, gap, most=None) -> DataFrame:
     """(cue_id, control_id, distance_ms, __n): nearest control at least ``gap`` away.
 
     Each cue is put on the time line twice, at cue_ms - gap and cue_ms + gap; the control
@@ -214,7 +226,7 @@ def _nearest_suitable(cues, free, keys, gap) -> DataFrame:
         F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("cue_ms"), F.col("control_ms").alias("cms"))
     held = F.when(F.col("kind") == 1, F.struct(F.col("cms"), F.col("id").alias("control_id")))
     line = (
-        Ordered(points.unionByName(controls), keys, ["t", "kind", "id"])
+        Ordered(points.unionByName(controls), keys, ["t", "kind", "id"], most=most)
         .carried(held, "before", -1).carried(held, "after", 1)
         .running({"upto": (F.col("kind") == 1).cast("bigint")}).done()
     )

@@ -35,12 +35,15 @@ class Ordered:
     """Rows of ``df`` in the order ``order`` inside each ``keys`` group.
 
     ``order`` must be a total order; its columns may have any type that can be compared.
+    ``most`` is a number of rows that no key exceeds, where the caller knows one; up to a
+    segment it spares the count pass.
     """
 
     df: DataFrame
     keys: list[str]
     order: list[str]
     segment_rows: int = SEGMENT_ROWS
+    most: int | None = None
     split: bool = field(init=False, default=False)
 
     def __post_init__(self) -> None:
@@ -48,6 +51,9 @@ class Ordered:
         self._cut()
 
     def _cut(self) -> None:
+        if self.most is not None and self.most <= self.segment_rows:
+            self.df = self.df.withColumn(SEG, F.lit(0))
+            return
         counts = self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n"))
         total, largest = counts.agg(F.sum("__n"), F.max("__n")).first()
         limit = max(self.segment_rows, (total or 0) // MAX_CUTS)
@@ -85,7 +91,7 @@ class Ordered:
     def _with(self, df: DataFrame) -> "Ordered":
         copy = object.__new__(Ordered)
         copy.df, copy.keys, copy.order = df, self.keys, self.order
-        copy.segment_rows, copy.split = self.segment_rows, self.split
+        copy.segment_rows, copy.most, copy.split = self.segment_rows, self.most, self.split
         return copy
 
     # -- operators -------------------------------------------------------------------

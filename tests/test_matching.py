@@ -174,3 +174,46 @@ def test_coarse_controls_give_out_a_short_pool_when_told(spark):
         matching.coarse_controls(cues, cues, pool, min_distance_ms=5_000)
     got = matching.coarse_controls(cues, cues, pool, min_distance_ms=5_000, required=False)
     assert sorted(r.word_id for r in got.collect()) == [103 + i for i in range(7)]
+
+
+def _strict_rows(spark):
+    rng = np.random.default_rng(12)
+    cues = pd.DataFrame({"cue_id": range(90), "g": rng.integers(0, 3, 90), "chunk": rng.integers(0, 4, 90), "time_ms": rng.integers(0, 40_000, 90)})
+    pool = pd.DataFrame({"control_id": range(1000, 1120), "g": rng.integers(0, 3, 120), "chunk": rng.integers(0, 4, 120), "time_ms": rng.integers(0, 40_000, 120)})
+    return spark.createDataFrame(cues), spark.createDataFrame(pool)
+
+
+def _strict(cues, pool):
+    return matching.strict_controls(cues, pool, group=["g"], chunk="chunk").toPandas().sort_values("cue_id").reset_index(drop=True)
+
+
+def test_strict_controls_count_their_keys_once(spark, monkeypatch):
+    """No step counts the rows of its keys again, as long as the largest group is no longer than a segment."""
+    taken, kind = [], type(spark.range(1))
+    first = kind.first
+    monkeypatch.setattr(kind, "first", lambda self: taken.append(1) or first(self))
+    got = _strict(*_strict_rows(spark))
+    assert len(got) > 60 and set(got.stage) == {"chunk", "radius"} and len(taken) == 1
+
+
+def test_strict_controls_of_a_cut_group_are_the_same(spark, monkeypatch):
+    from anchorgrid.operators.ordered import Ordered
+
+    cues, pool = _strict_rows(spark)
+    whole = _strict(cues, pool)
+    cut, init = [], Ordered.__init__
+
+    def short(self, d, k, o, most=None):
+        init(self, d, k, o, 30, most)
+        cut.append(self.split)
+
+    monkeypatch.setattr(Ordered, "__init__", short)
+    assert _strict(cues, pool).equals(whole) and any(cut)
+
+
+def test_longest_line_holds_every_time_line(spark):
+    cues = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (None, 4)], "g long, cue_id long")
+    free = spark.createDataFrame([(0, 5), (1, 6), (1, 7), (2, 8), (None, 9), (None, 10), (None, 11), (None, 12), (None, 13), (None, 14)], "g long, control_id long")
+    assert matching._longest_line(cues, free, ["g"]) == 10
+    assert matching._longest_line(cues.where("g = 0"), free, ["g"]) == 9
+    assert matching._longest_line(cues.limit(0), free.limit(0), ["g"]) == 0
