@@ -42,9 +42,10 @@ def latent_statistics(df: DataFrame, vector: str, by: list[str]) -> DataFrame:
 
 # -- euclidean distance: a block of queries against a block of references ---------------------------
 
-EUCLIDEAN_QUERIES, EUCLIDEAN_REFERENCES = 8192, 32768  # rows of a block
-TILE = 1 << 20  # distances of one matrix product
-GROUP = 64  # references that share their least distance
+EUCLIDEAN_QUERIES, EUCLIDEAN_REFERENCES = 16384, 32768  # rows of a block
+TILE = 1 << 21  # distances of one matrix product
+HEIGHT = 256  # queries of one matrix product
+GROUP = 32  # references that share their least distance
 LARGE = 1e150  # values beyond have no square
 NOWHERE = np.float32(1e30)  # a place without a reference
 
@@ -120,14 +121,20 @@ def nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, labels: np.n
         norms = ((y / scale) ** 2).sum(axis=1)
         right = np.zeros((q.shape[1] + 1, places.size), np.float32)
         right[:-1, filled], right[-1, filled], right[-1, ~filled] = -2 * (y / scale).T, norms, NOWHERE
+        # a product is of many queries and few groups, so that it stays in the cache until its least distances are known
+        right, step = right.reshape(-1, width, groups), max(1, TILE // (HEIGHT * width))
+        tiles = [np.ascontiguousarray(right[:, :, g : g + step]).reshape(len(right), -1) for g in range(0, groups, step)]
+        together = np.full((groups, width, q.shape[1]), np.sqrt(NOWHERE), np.float32)
+        together[places.T >= 0] = ((r[places.T[places.T >= 0]] - centre) / scale).astype(np.float32)
         # of sums of so many products, each off by a rounding, and of what is too small for single precision
         error = 4 * (q.shape[1] + 4) * float(np.finfo(np.float32).eps)
-        height = max(1, TILE // places.size)
-        for a in range(0, len(rows), height):
-            x = (q[rows[a : a + height]] - centre) / scale
-            slack = (2 * error * ((x**2).sum(axis=1) + norms.max()) + 1e-30)[:, None]
-            far = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float32) @ right).reshape(len(x), width, groups)  # less the norm of the query
-            least = far.min(axis=1)
+        some = max(1, TILE // (width * q.shape[1]))  # groups looked into at a time
+        for a in range(0, len(rows), HEIGHT):
+            x = (q[rows[a : a + HEIGHT]] - centre) / scale
+            own = (x**2).sum(axis=1)
+            slack = (2 * error * (own + norms.max()) + 1e-30)[:, None]
+            left = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+            least = np.concatenate([(left @ tile).reshape(len(x), width, -1).min(axis=1) for tile in tiles], axis=1)  # less the norm of the query
             # k groups hold k references, so the k-th is no further than their least ones
             limit = np.full((len(x), groups), np.inf)
             if k < groups:
@@ -136,10 +143,15 @@ def nearest_in_block(q: np.ndarray, r: np.ndarray, ids: np.ndarray, labels: np.n
                 if last > first:
                     np.maximum(limit[:, first:last], least[:, first:last].min(axis=1, keepdims=True), out=limit[:, first:last])
             limit += slack
-            row, group = np.nonzero(least <= limit)
-            near, member = np.nonzero((far[row, :, group] <= limit[row, group][:, None]) & (places[:, group].T >= 0))
-            row, at = row[near], places[member, group[near]]
-            d = np.concatenate([exact_distances(q[rows[a + row[i : i + TILE // 16]]], r[at[i : i + TILE // 16]]) for i in range(0, len(row), TILE // 16)])
+            all_rows, all_groups = np.nonzero(least <= limit)
+            found: list = []
+            for i in range(0, len(all_rows), some):
+                row, group = all_rows[i : i + some], all_groups[i : i + some]
+                apart = together[group] - left[row, None, :-1]
+                near, member = np.nonzero((np.einsum("gmd,gmd->gm", apart, apart) <= (limit[row, group] + own[row])[:, None]) & (places[:, group].T >= 0))
+                row, at = row[near], places[member, group[near]]
+                found.append((row, at, exact_distances(q[rows[a + row]], r[at])))
+            row, at, d = (np.concatenate(part) for part in zip(*found))
             best = _nearest_of_rows(row, at, d, ids, labels, k)
             add(rows[a + row[best]], at[best], d[best])
     return tuple(np.concatenate(part) if part else np.array([], dtype=int) for part in out)

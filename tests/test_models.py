@@ -248,3 +248,22 @@ def test_marginals_do_not_depend_on_the_rows_taken_together(spark, monkeypatch):
     got = {r.i: r.p for r in df.select("i", sp.positive_marginal(F.col("e"), trans, edge, edge).alias("p")).collect()}
     one = df.repartition(40).select("i", sp.positive_marginal(F.col("e"), trans, edge, edge).alias("p")).collect()
     assert all(got[r.i] == pytest.approx(r.p) and len(r.p) == len(rows[r.i][1]) for r in one)
+
+
+def test_search_in_small_products(monkeypatch):
+    """Products of few queries and few groups, looked into a few groups at a time, find what comparing every pair finds."""
+    from anchorgrid.operators import similarity as sim
+
+    monkeypatch.setattr(sim, "HEIGHT", 7)
+    monkeypatch.setattr(sim, "TILE", 300)
+    monkeypatch.setattr(sim, "GROUP", 8)
+    rng = np.random.default_rng(21)
+    for q, r in ((rng.normal(size=(40, 5)) + 50, rng.normal(size=(900, 5)) + 50), (rng.integers(0, 3, (40, 3)).astype(float), rng.integers(0, 3, (900, 3)).astype(float))):
+        ids, labels = rng.permutation(900), (rng.random(900) < 0.03).astype(int)
+        row, at, d = sim.nearest_in_block(q, r, ids, labels, 4)
+        for i in range(len(q)):
+            all_d = sim.exact_distances(q[i], r)
+            order = np.lexsort((ids, all_d))
+            want = {*order[:4].tolist(), *(int(order[labels[order] == y][0]) for y in (0, 1))}
+            assert set(at[row == i].tolist()) == want and (row == i).sum() == len(want)
+            assert d[row == i].tolist() == all_d[at[row == i]].tolist()
