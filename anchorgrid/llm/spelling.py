@@ -135,10 +135,10 @@ def near_pairs(words: DataFrame, *, parts_two: int = 4, parts_one: int = 3) -> D
     """(a, n_a, b, n_b) for all pairs of different words of ``words`` (word, n) that differ by one inserted, deleted or replaced code point, each once.
 
     Both sides of the join read one exchange of signatures. A signature that many words share is split by the skew join; its pairs never leave
-    the join unless they verify.
+    the join unless they verify. Nothing is broadcast: a compressed file of words is small and its signatures are a hundred times as large, which no estimate knows.
     """
     signed = words.select("word", "n").mapInArrow(partial(_signed, parts_two=parts_two, parts_one=parts_one), "signature long, kind byte, word string, n long")
-    a, b = signed.alias("a"), signed.alias("b")
+    a, b = signed.hint("merge").alias("a"), signed.alias("b")
     # (SAME, SAME) or (SHORT, LONG); written over both sides at once, or each side would filter and shuffle for itself
     kinds = F.col("b.kind") - 2 * F.col("a.kind") == 0
     order = (F.col("a.kind") != SAME) | (F.col("a.word") < F.col("b.word"))

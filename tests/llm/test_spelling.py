@@ -113,3 +113,12 @@ def test_pairs_read_one_exchange(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ReusedExchange" in plan
+
+
+def test_signatures_are_never_broadcast(spark, tmp_path):
+    # read from files, whose size says nothing of the signatures
+    spark.createDataFrame([("station", 2), ("statiin", 3)], "word string, n long").write.parquet(f"{tmp_path}/words")
+    pairs = sp.near_pairs(spark.read.parquet(f"{tmp_path}/words"))
+    assert [(r.a, r.b) for r in pairs.collect()] == [("statiin", "station")]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "ReusedExchange" in plan
