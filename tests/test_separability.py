@@ -207,3 +207,40 @@ def test_long_pairs_and_pairs_along_the_band_agree():
     q[3, 2], labels = np.nan, np.arange(30) % 2
     found, _ = wp.search(q, n, r, m, labels, 2, 0.3, np.full((30, 3), np.inf))
     assert np.isinf(found[3]).all() and (np.isfinite(np.delete(found, 3, axis=0)).sum(axis=1) >= 2).all()
+
+
+@pytest.mark.parametrize("window", [0.0, 0.2, 1.0])
+@pytest.mark.parametrize("d", [1, 3])
+def test_limits_leave_out_no_near_pair_and_few_others(window, d):
+    rng = np.random.default_rng(19)
+    rows = [rng.normal(size=(rng.integers(4, 15), d)) * 1e-3 + 50 for _ in range(620)]
+    rows[30] = rows[0]  # of distance zero
+    q, n = wp.padded(rows[:20])
+    r, m = wp.padded(rows[20:])
+    whole = np.stack([wp.warp_pairs(q[[i] * 600], r, n[[i] * 600], m, window) for i in range(20)])
+    kind = rng.integers(0, 3, 600)
+    limit = np.stack([np.sort(np.where(kind == z, whole, np.inf), axis=1)[:, 3 * z] for z in range(3)], axis=1)  # itself a distance, which is to be found
+    i, j = wp.near_places(q, n, r, m, kind, window, limit)
+    within = whole <= limit[:, kind]
+    found = np.zeros(whole.shape, int)
+    np.add.at(found, (i, j), 1)
+    assert found.max() == 1 and found[within].all() and found.sum() < 0.12 * whole.size
+    i, j = wp.near_places(q, n, r, m, kind, window, np.full((20, 3), 1e9))
+    assert len(i) == whole.size
+
+
+def test_windows_searched_together_find_what_each_finds_alone(spark):
+    rng = np.random.default_rng(23)
+    rows = [rng.normal(size=(rng.integers(4, 12), 2)) for _ in range(1500)]
+    rows[700][1, 1] = np.nan  # with these the windows are searched one by one
+    q = [(g, i % 90, rows[i].tolist()) for g in (0, 1) for i in range(100)]  # some ids come twice
+    r = [(g, i, i % 2, rows[i].tolist()) for g in (0, 1) for i in range(100, 1500) if g or i != 700]
+    windows = (0.0, 0.1, 0.3)
+    dq = spark.createDataFrame(q, "g int, query_id long, values array<array<double>>")
+    dr = spark.createDataFrame(r, "g int, reference_id long, label int, values array<array<double>>")
+    asked = dq.where("query_id >= 10").withColumn("window", F.explode(F.array(*[F.lit(w) for w in windows])))
+    names = ["g", "query_id", "window", "rank"]
+    got = wp.nearest_by_warping(asked, dr, ["g"], 4, query_block=64, reference_block=600).where("rank <= 4").toPandas().sort_values(names)
+    alone = [wp.nearest_by_warping(asked.where(F.col("window") == w), dr, ["g"], 4).where("rank <= 4").toPandas() for w in windows]
+    alone = pd.concat(alone).sort_values(names)
+    assert len(got) == 2 * 80 * 3 * 4 and got[[*names, "reference_id", "distance"]].to_numpy().tolist() == alone[[*names, "reference_id", "distance"]].to_numpy().tolist()
