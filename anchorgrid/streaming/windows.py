@@ -31,7 +31,18 @@ def stream_anchor_windows(
     return a.join(e, near, "inner")
 
 
-def stream_rates(events: DataFrame, key: list[str], late: str, t: str = "ts", value: str = "value", forget_ms: int | None = None) -> DataFrame:
+def _codes(columns: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stream of each row, first row of each stream) for rows of the same key values; null is a value."""
+    code = np.zeros(n, np.int64)
+    for column in columns:
+        part = pd.factorize(column, use_na_sentinel=False)[0]
+        code = pd.factorize(code * (part.max(initial=0) + 1) + part)[0]
+    return code, np.unique(code, return_index=True)[1]
+
+
+def stream_rates(
+    events: DataFrame, key: list[str], late: str, t: str = "ts", value: str = "value", forget_ms: int | None = None, groups: int = 2048,
+) -> DataFrame:
     """Rate of change to the previous event of the same stream, in event-time order.
 
     Rows wait in the state of their stream until the watermark has passed them, so a row that
@@ -39,45 +50,71 @@ def stream_rates(events: DataFrame, key: list[str], late: str, t: str = "ts", va
     place was left are dropped. The first event of a stream and one without time since the last
     have rate zero. A stream's state holds its last row and what arrived in the last ``late``; with
     ``forget_ms`` a stream begins anew after a longer pause, and gives its state up when the watermark is that far.
+
+    Streams are dealt to ``groups`` groups by the hash of their key. A group is one call and one state, in which all its streams are
+    arrays, so a stream costs its rows and no call of its own.
     """
     kinds = dict(events.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + f", {t} timestamp, {value} double, rate double"
-    state_schema = "micros bigint, value double, waiting_micros array<bigint>, waiting_values array<double>"
+    # keys go as text, as numbers beside a null would become floating
+    schema = ", ".join(f"{k} string" for k in key) + f", {t} timestamp, {value} double, rate double"
+    # the streams that have given out a row, and the rows that wait; each with its key
+    lists = ", ".join(f"{side}_{i} array<string>" for side in ("given", "waiting") for i in range(len(key)))
+    state_schema = f"{lists}, given_micros array<bigint>, given_values array<double>, waiting_micros array<bigint>, waiting_values array<double>"
 
     longest = float("inf") if forget_ms is None else forget_ms
+    wide = len(key)
 
-    def step(ids: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past, before, times, values = state.get if state.exists else (None, None, [], [])
-        times, values = [np.asarray(times, dtype=np.int64)], [np.asarray(values, dtype=float)]
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get) if state.exists else [[]] * (2 * wide + 4)
+
+        def kept(keys: list, micros: list, values: list, old: bool) -> pd.DataFrame:
+            named = {k: pd.Series(list(x), dtype=object) for k, x in zip(key, keys)}
+            return pd.DataFrame({**named, "micros": np.asarray(micros, np.int64), "x": np.asarray(values, float), "old": old})
+
+        frames = [kept(held[:wide], *held[2 * wide : 2 * wide + 2], True), kept(held[wide : 2 * wide], *held[2 * wide + 2 :], False)]
         for batch in batches:
-            times.append(batch[t].astype("datetime64[us]").astype("int64").to_numpy())
-            values.append(batch[value].to_numpy(dtype=float))
-        times, values = np.concatenate(times), np.concatenate(values)
-        keep = times >= past if past is not None else np.ones(len(times), bool)
-        order = np.lexsort((values[keep], times[keep]))  # rows of one time by their value, whatever came first
-        times, values = times[keep][order], values[keep][order]
+            micros = batch[t].astype("datetime64[us]").astype("int64").to_numpy()
+            frames.append(kept([batch[k].astype(object).where(batch[k].notna(), None) for k in key], micros, batch[value].to_numpy(dtype=float), False))
+        rows = pd.concat([f for f in frames if len(f)] or frames[:1], ignore_index=True)
+        code, firsts = _codes([rows[k] for k in key], len(rows))
+        micros, x, old = rows["micros"].to_numpy(), rows["x"].to_numpy(), rows["old"].to_numpy(dtype=bool)
+        # what a stream has given out lies before its rows; rows of one time by their value, whatever came first
+        past = np.full(len(firsts), np.iinfo(np.int64).min)
+        past[code[old]] = micros[old]
+        order = np.lexsort((x, micros, ~old, code))
+        order = order[old[order] | (micros[order] >= past[code[order]])]
+        code, micros, x, old = code[order], micros[order], x[order], old[order]
         mark = state.getCurrentWatermarkMs() * 1000
-        ready = int(np.searchsorted(times, mark, side="right"))
-        if ready:
-            at = np.concatenate([[past], times[:ready]]) if past is not None else np.concatenate([times[:1], times[:ready]])
-            x = np.concatenate([[before], values[:ready]]) if past is not None else np.concatenate([values[:1], values[:ready]])
-            seconds = np.diff(at) / 1e6
-            rate = np.divide(np.diff(x), seconds, out=np.zeros(ready), where=(seconds > 0) & (seconds * 1000 <= longest))
-            past, before = int(times[ready - 1]), float(values[ready - 1])
-            when = pd.to_datetime(times[:ready], unit="us")
-            yield pd.DataFrame({**{k: [v] * ready for k, v in zip(key, ids)}, t: when, value: values[:ready], "rate": rate})
-        newest = int(times[-1] if len(times) else past) // 1000
-        waits = ready < len(times)
-        if state.hasTimedOut and not waits and forget_ms is not None and newest + forget_ms < state.getCurrentWatermarkMs():
-            state.remove()
+        ready = old | (micros <= mark)
+        begins = np.diff(code, prepend=-1) != 0
+        seconds = np.where(begins, 0.0, np.diff(micros, prepend=micros[:1]) / 1e6)
+        rate = np.divide(np.diff(x, prepend=x[:1]), seconds, out=np.zeros(len(x)), where=(seconds > 0) & (seconds * 1000 <= longest))
+        out = ready & ~old
+        if out.any():
+            keys = {k: rows[k].to_numpy()[firsts[code[out]]] for k in key}
+            yield pd.DataFrame({**keys, t: pd.to_datetime(micros[out], unit="us"), value: x[out], "rate": rate[out]})
+        # the last row given out by each stream
+        last = np.flatnonzero(ready)[np.diff(code[ready], append=-1) != 0]
+        waits = np.flatnonzero(~ready)
+        if forget_ms is not None:
+            newest = micros[last] // 1000
+            last = last[(newest + forget_ms >= mark // 1000) | np.isin(code[last], code[waits])]
+        if not len(last) and not len(waits):
+            if state.exists:
+                state.remove()
             return
-        state.update((past, before, times[ready:].tolist(), values[ready:].tolist()))
-        if waits or forget_ms is not None:
-            # the watermark may already be past this stream's newest row
-            state.setTimeoutTimestamp(max(newest + (0 if waits else forget_ms), state.getCurrentWatermarkMs()) + 1)
-
-    return events.withWatermark(t, late).groupBy(*key).applyInPandasWithState(
-        step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+        names = [rows[k].to_numpy()[firsts] for k in key]
+        state.update((*([*name[code[at]]] for at in (last, waits) for name in names), micros[last].tolist(), x[last].tolist(), micros[waits].tolist(), x[waits].tolist()))
+        # the first time at which a row that waits is given out or a stream gives up its state
+        next_ms = [*(micros[waits] // 1000), *([] if forget_ms is None else micros[last] // 1000 + forget_ms)]
+        if next_ms:
+            # the watermark may already be past it
+            state.setTimeoutTimestamp(int(max(min(next_ms), state.getCurrentWatermarkMs())) + 1)
+
+    named = [F.col(k).cast("string").alias(k) for k in key]
+    rows = events.withWatermark(t, late).select(*named, t, F.col(value).cast("double").alias(value), F.pmod(F.hash(*named), F.lit(groups)).alias("__group"))
+    out = rows.groupBy("__group").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*[F.col(k).cast(kinds[k]).alias(k) for k in key], t, value, "rate")
 
 
 def stream_presence(events: DataFrame, size: str, slide: str | None, late: str, kind: str = "event_type", t: str = "ts", value: str = "value") -> DataFrame:

@@ -83,3 +83,31 @@ def test_files_of_one_arrival_are_not_late_behind_each_other(spark, tmp_path):
         spark.createDataFrame(frame).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     got = load_all()[0]["Z2_stream_rates"](spark, str(tmp_path)).collect()
     assert [r.n for r in got] == [20 * 72 + 10 * 24]
+
+
+def test_streams_of_a_group_share_a_state(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    seconds = np.sort(rng.choice(200_000, 1200, replace=False))
+    users = [None if u == 0 else 2**60 + int(u) for u in rng.integers(0, 90, 1200)]  # beyond what a double tells apart
+    kinds = rng.choice(["a", "b", "None", None], 1200).tolist()
+    frame = pd.DataFrame({"kind": kinds, "user": pd.Series(users, dtype=object), "ts": START + pd.to_timedelta(seconds, unit="s"), "value": rng.normal(size=1200).round(3)})
+    turn = np.minimum(2, (seconds + rng.integers(0, 7000, 1200)) // 70_000)
+    schema = "kind string, user long, ts timestamp, value double"
+    rows = lambda part: [(k, u, t.to_pydatetime(), v) for k, u, t, v in part.itertuples(index=False)]
+    for i in range(3):
+        spark.createDataFrame(rows(frame[turn == i]), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    whole = spark.createDataFrame(rows(frame), schema)
+    sw.closing_rows(whole, "2 hours", kind="closing").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = sw.stream_rates(stream, ["kind", "user"], "2 hours", groups=4).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 4
+    got = spark.read.parquet(f"{tmp_path}/out").where("kind IS DISTINCT FROM 'closing'")
+    assert got.dtypes == [("kind", "string"), ("user", "bigint"), ("ts", "timestamp"), ("value", "double"), ("rate", "double")]
+    last, want = {}, []
+    for k, u, t, v in rows(frame):
+        before = last.get((k, u))
+        want.append((t, k, u, v, pytest.approx((v - before[1]) / (t - before[0]).total_seconds() if before else 0.0)))
+        last[(k, u)] = (t, v)
+    assert sorted(((r.ts, r.kind, r.user, r.value, r.rate) for r in got.collect()), key=lambda x: x[0]) == want
