@@ -161,7 +161,8 @@ def fold_separability(
 
     final = cut_lineage(fit_components(usable.where("split IN ('train', 'validation')"), by, variance=variance, max_components=max_components))
     asked = side(("test",), final, "query_id")
-    near = nearest_by_warping(asked.drop("label").join(best.select(*by, "window"), by), side(("train", "validation"), final, "reference_id"), by, max(ks))
+    # read for its scores and for its nearest rows, so it is searched once
+    near = cut_lineage(nearest_by_warping(asked.drop("label").join(best.select(*by, "window"), by), side(("train", "validation"), final, "reference_id"), by, max(ks)))
     found = scored(near.join(best.select(*by, "k"), by), [*by, "window", "k"])
     nearest = near.where("rank = 1").select(*by, "query_id", F.col("reference_label").alias("nearest_reference_label"))
     same = F.when(F.col("label") == 1, F.col("nearest_positive")).otherwise(F.col("nearest_negative"))

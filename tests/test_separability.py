@@ -244,3 +244,22 @@ def test_windows_searched_together_find_what_each_finds_alone(spark):
     alone = [wp.nearest_by_warping(asked.where(F.col("window") == w), dr, ["g"], 4).where("rank <= 4").toPandas() for w in windows]
     alone = pd.concat(alone).sort_values(names)
     assert len(got) == 2 * 80 * 3 * 4 and got[[*names, "reference_id", "distance"]].to_numpy().tolist() == alone[[*names, "reference_id", "distance"]].to_numpy().tolist()
+
+
+def test_folds_are_searched_once_for_validation_and_once_for_test(spark, monkeypatch):
+    runs, search = spark.sparkContext.accumulator(0), wp.nearest_by_warping
+
+    def counted(queries, *args):
+        def seen(batches):
+            for batch in batches:
+                runs.add(len(batch))
+                yield batch
+        return search(queries, *args).mapInPandas(seen, "fold int, modality string, query_id long, window double, reference_id long, reference_label int, distance double, rank int")
+
+    monkeypatch.setattr(sep, "nearest_by_warping", counted)
+    rng = np.random.default_rng(29)
+    data = spark.createDataFrame([(i, i % 2, "m", (rng.normal(size=(6, 1)) + i % 2).tolist()) for i in range(40)], "sample_id long, label int, modality string, values array<array<double>>")
+    folds = spark.createDataFrame([(i, 0, ["test", "validation", "train", "train", "train"][i // 2 % 5]) for i in range(40)], "sample_id long, fold int, split string")
+    _, predictions = sep.fold_separability(data, folds, ["modality"], windows=(0.0,), ks=(1,))
+    assert predictions.count() == 8
+    assert runs.value == 2 * 8 * 2  # of eight queries a time, the nearest of each label
